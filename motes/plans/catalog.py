@@ -1,6 +1,6 @@
 """Collects every registered query."""
 
-from motes.plans import ranking  # noqa: F401
+from motes.plans import history, matching, ranking, summaries, tables  # noqa: F401
 from motes.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]
