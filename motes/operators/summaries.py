@@ -113,7 +113,7 @@ def row_means(tables: Sequence[DataFrame], columns: Sequence[str], order: str =
 def angle_histogram(df: DataFrame, bins: int, rot: str = "rot", tilt: str = "tilt") -> DataFrame:
     """Counts per bin of the two wrapped viewing angles; only filled bins have a row."""
     bx, by = angle_bins(F.col(rot), F.col(tilt), bins)
-    return df.select(bx.alias("bx"), by.alias("by")).dropna().groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(bx.alias("bin_x"), by.alias("bin_y")).dropna().groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def angle_bin_id(df: DataFrame, bins: int, rot: str = "rot", tilt: str = "tilt", out: str = "bin_id") -> DataFrame:

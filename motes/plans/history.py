@@ -9,15 +9,15 @@ from motes.plans.registry import query
 from motes.plans.standins import HISTORY, history, table, with_
 
 STEPS = """b AS (SELECT *, min(metric) OVER (PARTITION BY session ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before,
-    row_number() OVER (PARTITION BY session ORDER BY iteration) AS at, lag(n) OVER (PARTITION BY session ORDER BY iteration) AS prev FROM hist),
-i AS (SELECT *, at > 1 AND metric < best_before AS improved FROM b)"""
+    row_number() OVER (PARTITION BY session ORDER BY iteration) AS pos, lag(n) OVER (PARTITION BY session ORDER BY iteration) AS prev FROM hist),
+i AS (SELECT *, pos > 1 AND metric < best_before AS improved FROM b)"""
 
 
 def _steps_sql(progress: str) -> str:
     return (
         with_(HISTORY, STEPS)
-        + f""", m AS (SELECT *, max(CASE WHEN at = 1 OR {progress} THEN at END) OVER (PARTITION BY session ORDER BY iteration) AS last FROM i)
-    SELECT session, iteration, n, metric, least(metric, coalesce(best_before, metric)) AS best, improved IS TRUE AS improved, at - last AS not_improved FROM m"""
+        + f""", m AS (SELECT *, max(CASE WHEN pos = 1 OR {progress} THEN pos END) OVER (PARTITION BY session ORDER BY iteration) AS last FROM i)
+    SELECT session, iteration, n, metric, least(metric, coalesce(best_before, metric)) AS best, improved IS TRUE AS improved, pos - last AS not_improved FROM m"""
     )
 
 
@@ -80,15 +80,15 @@ def best_count(spark, sf_dir):
     return ops.best_count(history(spark, sf_dir), ["session"], "n", "metric", "iteration")
 
 
-CURVE = """curve AS (SELECT vec_id AS map, i AS at, (i + 1) / 128.0 AS f, CASE WHEN i % 13 = 12 THEN 'nan'::DOUBLE ELSE CAST(embedding[i + 1] AS DOUBLE) * 3 END AS y
-    FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)), clean AS (SELECT map, at, f, CASE WHEN isnan(y) THEN -1 ELSE y END AS y FROM curve),
-nx AS (SELECT *, lead(y) OVER w AS y2, lead(f) OVER w AS f2 FROM clean WINDOW w AS (PARTITION BY map ORDER BY at))"""
+CURVE = """curve AS (SELECT vec_id AS map, i AS pos, (i + 1) / 128.0 AS f, CASE WHEN i % 13 = 12 THEN 'nan'::DOUBLE ELSE CAST(embedding[i + 1] AS DOUBLE) * 3 END AS y
+    FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)), clean AS (SELECT map, pos, f, CASE WHEN isnan(y) THEN -1 ELSE y END AS y FROM curve),
+nx AS (SELECT *, lead(y) OVER w AS y2, lead(f) OVER w AS f2 FROM clean WINDOW w AS (PARTITION BY map ORDER BY pos))"""
 
 
 @query(
     "r12_threshold_crossing",
     with_(CURVE)
-    + """, c AS (SELECT map, arg_min(f + (y - 0.143) / (y - y2) * (f2 - f), at) AS fc FROM nx WHERE y >= 0.143 AND y2 < 0.143 GROUP BY map)
+    + """, c AS (SELECT map, arg_min(f + (y - 0.143) / (y - y2) * (f2 - f), pos) AS fc FROM nx WHERE y >= 0.143 AND y2 < 0.143 GROUP BY map)
     SELECT map, round(fc, 8) AS frequency, round(1 / fc, 6) AS resolution FROM c""",
 )
 def threshold_crossing(spark, sf_dir):

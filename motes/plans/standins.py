@@ -104,6 +104,23 @@ COEFFICIENTS = """co AS (
   FROM (SELECT vec_id AS map, embedding AS e, CAST(unnest(range(len(embedding))) AS INTEGER) AS i FROM embeddings))"""
 
 
+def volume_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vectors as 4 x 4 x 4 Fourier grids."""
+    i = (F.col("ky") + 4) * 8 + F.col("kx") + 4
+    return coefficients(spark, sf_dir).withColumns(
+        {
+            "kz": (F.floor(i / 16) - 2).cast("int"),
+            "ky": (F.floor(i / 4) % 4 - 2).cast("int"),
+            "kx": (i % 4 - 2).cast("int"),
+        }
+    )
+
+
+VOLUME_COEFFICIENTS = COEFFICIENTS + """, cv AS (
+  SELECT map, pair, half, CAST(i // 16 - 2 AS INTEGER) AS kz, CAST((i // 4) % 4 - 2 AS INTEGER) AS ky, CAST(i % 4 - 2 AS INTEGER) AS kx, re, im
+  FROM (SELECT *, (ky + 4) * 8 + kx + 4 AS i FROM co))"""
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log: one session per user, alternating over steps."""
     return table(spark, sf_dir, "events").select(

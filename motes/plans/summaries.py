@@ -104,7 +104,7 @@ def row_means(spark, sf_dir):
 
 
 WRAPPED = """h AS (SELECT *, fmod(fmod((rot + 0.3) * pi() / 180, 2 * pi()) + 2 * pi(), 2 * pi()) - pi() AS a, fmod(fmod((tilt + 0.3) * pi() / 180, pi()) + pi(), pi()) - pi() / 2 AS b FROM p),
-hb AS (SELECT _row, least(CAST(floor((a + 3.1415926535) / (2 * 3.1415926535 / 36)) AS BIGINT), 35) AS bx, least(CAST(floor((b + 1.570796) / (2 * 1.570796 / 36)) AS BIGINT), 35) AS by
+hb AS (SELECT _row, least(CAST(floor((a + 3.1415926535) / (2 * 3.1415926535 / 36)) AS BIGINT), 35) AS bin_x, least(CAST(floor((b + 1.570796) / (2 * 1.570796 / 36)) AS BIGINT), 35) AS bin_y
   FROM h WHERE abs(a) <= 3.1415926535 AND abs(b) <= 1.570796)"""
 
 
@@ -112,12 +112,12 @@ def _shifted(spark, sf_dir):
     return particles(spark, sf_dir).select("_row", (F.col("rot") + 0.3).alias("rot"), (F.col("tilt") + 0.3).alias("tilt"))
 
 
-@query("a10_angle_histogram", with_(PARTICLES, WRAPPED) + "SELECT bx, by, count(*) AS n FROM hb GROUP BY ALL")
+@query("a10_angle_histogram", with_(PARTICLES, WRAPPED) + "SELECT bin_x, bin_y, count(*) AS n FROM hb GROUP BY ALL")
 def angle_histogram(spark, sf_dir):
     return summaries.angle_histogram(_shifted(spark, sf_dir), 36)
 
 
-@query("a10_angle_bin_id", with_(PARTICLES, WRAPPED) + "SELECT p._row, bx + 36 * by AS bin_id FROM p LEFT JOIN hb ON p._row = hb._row")
+@query("a10_angle_bin_id", with_(PARTICLES, WRAPPED) + "SELECT p._row, bin_x + 36 * bin_y AS bin_id FROM p LEFT JOIN hb ON p._row = hb._row")
 def angle_bin_id(spark, sf_dir):
     return summaries.angle_bin_id(_shifted(spark, sf_dir), 36).select("_row", "bin_id")
 
