@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motes.functions.angles import matrix_from_zyz
+from motes.session import written
 
 K = ("kz", "ky", "kx")
 
@@ -88,15 +89,20 @@ def amplitude_falloff(df: DataFrame, keys: Sequence[str], size: int, pixel: floa
     )
 
 
-def least_eigenvalue(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> Column:
-    """Smallest eigenvalue of a symmetric 3 x 3 matrix in closed form."""
-    q = (xx + yy + zz) / 3
-    p2 = ((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6
-    p = F.sqrt(p2)
-    a, b, c, d, e, f = (xx - q) / p, (yy - q) / p, (zz - q) / p, xy / p, xz / p, yz / p
-    det = a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
-    return F.when(p2 > 1e-300, q + 2 * p * F.cos(phi + 2 * math.pi / 3)).otherwise(q)
+def add_least_eigenvalue(df: DataFrame, out: str, xx="xx", yy="yy", zz="zz", xy="xy", xz="xz", yz="yz") -> DataFrame:
+    """Smallest eigenvalue of a symmetric 3 x 3 matrix in closed form, step by step so that
+    no intermediate value is computed twice."""
+    c = {n: F.col(v) for n, v in {"xx": xx, "yy": yy, "zz": zz, "xy": xy, "xz": xz, "yz": yz}.items()}
+    step = df.withColumn("_q", (c["xx"] + c["yy"] + c["zz"]) / 3)
+    step = step.withColumns({f"_d{n}": c[n] - F.col("_q") for n in ("xx", "yy", "zz")})
+    dx, dy, dz = (F.col(f"_d{n}") for n in ("xx", "yy", "zz"))
+    off = c["xy"] * c["xy"] + c["xz"] * c["xz"] + c["yz"] * c["yz"]
+    step = step.withColumn("_p2", (dx * dx + dy * dy + dz * dz + 2 * off) / 6)
+    det = dx * (dy * dz - c["yz"] * c["yz"]) - c["xy"] * (c["xy"] * dz - c["yz"] * c["xz"]) + c["xz"] * (c["xy"] * c["yz"] - dy * c["xz"])
+    step = step.withColumn("_det", det / (2 * F.col("_p2") * F.sqrt("_p2")))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_det")))) / 3 + 2 * math.pi / 3
+    value = F.when(F.col("_p2") > 1e-300, F.col("_q") + 2 * F.sqrt("_p2") * F.cos(angle)).otherwise(F.col("_q"))
+    return step.withColumn(out, value).drop("_q", "_dxx", "_dyy", "_dzz", "_p2", "_det")
 
 
 def direction_isotropy(df: DataFrame, keys: Sequence[str], low: Column, high: Column, size: int, pixel: float, fallback: float | None = 100) -> DataFrame:
@@ -123,10 +129,11 @@ def direction_isotropy(df: DataFrame, keys: Sequence[str], low: Column, high: Co
     def pick(n: str) -> Column:
         return F.when(sparse, F.col(f"_u{n}")).otherwise(F.col(f"_b{n}"))
 
-    total = pick("")
-    moments = [pick(n) / total for n in pairs]
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 3 * least_eigenvalue(*moments)))
-    return agg.select(*keys, F.when(total > 0, score).otherwise(F.lit(1.0)).alias("isotropy_score"))
+    picked = agg.select(*keys, pick("").alias("_t"), *[F.try_divide(pick(n), pick("")).alias(n) for n in pairs])
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 3 * F.col("_min")))
+    return add_least_eigenvalue(picked, "_min").select(
+        *keys, F.when(F.col("_t") > 0, score).otherwise(F.lit(1.0)).alias("isotropy_score")
+    )
 
 
 def equalise_amplitudes(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -216,13 +223,14 @@ def half_map_quality(first: DataFrame, second: DataFrame, keys: Sequence[str], s
 
     keys = list(keys)
     curve = shell_correlation(first, second, keys, bins, size, pixel).filter("fsc is not null and frequency > 0")
+    curve = written(curve, "curve")  # a few rows per pair, read four times below
     nyquist = 0.5 / pixel
     cross = threshold_crossing(curve, keys, "frequency", "fsc", threshold, "shell").select(*keys, F.col("frequency").alias("_f"))
     above = curve.groupBy(*keys).agg(
         F.max(F.when(F.col("fsc") > threshold, F.col("frequency"))).alias("_above"), F.max("frequency").alias("_last")
     )
     cut = above.join(cross, keys, "left").select(*keys, F.coalesce("_f", "_above", "_last").alias("_res"))
-    cut = cut.withColumn("_cut", F.least("_res", F.lit(nyquist)))
+    cut = written(cut.withColumn("_cut", F.least("_res", F.lit(nyquist))), "cut")
     f2 = F.col("frequency") * F.col("frequency")
     inside = F.col("frequency") <= F.col("_cut")
     score = curve.join(cut, keys).groupBy(*keys, "_res", "_cut").agg(

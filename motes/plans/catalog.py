@@ -1,6 +1,6 @@
 """Collects every registered query."""
 
-from motes.plans import fourier, history, matching, ranking, summaries, tables, voxels  # noqa: F401
+from motes.plans import fourier, history, matching, ranking, sources, summaries, tables, voxels  # noqa: F401
 from motes.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

@@ -22,11 +22,11 @@ def _halves(df):
 def curve_sql(t: str, bins: int, span: float, name: str = "fsc") -> str:
     return f""", mx AS (SELECT max(kz * kz + ky * ky + kx * kx) AS m FROM {t}),
 a1 AS (SELECT * FROM {t} WHERE half = 1), b1 AS (SELECT * FROM {t} WHERE half = 2),
-sh AS (SELECT pair, CAST(floor(sqrt((kz * kz + ky * ky + kx * kx) * {bins * bins} / CAST(m AS DOUBLE))) AS INTEGER) AS shell, a1.re * b1.re + a1.im * b1.im AS n, a1.re ** 2 + a1.im ** 2 AS p, b1.re ** 2 + b1.im ** 2 AS q
+sc AS (SELECT pair, CAST(floor(sqrt((kz * kz + ky * ky + kx * kx) * {bins * bins} / CAST(m AS DOUBLE))) AS INTEGER) AS shell, a1.re * b1.re + a1.im * b1.im AS n, a1.re ** 2 + a1.im ** 2 AS p, b1.re ** 2 + b1.im ** 2 AS q
   FROM a1 JOIN b1 USING (pair, kz, ky, kx), mx),
-sums AS (SELECT pair, shell, sum(n) / (sqrt(sum(p) * sum(q)) + 1e-12) AS fsc FROM sh WHERE shell < {bins} GROUP BY 1, 2),
+sums AS (SELECT pair, shell, sum(n) / (sqrt(sum(p) * sum(q)) + 1e-12) AS fsc FROM sc WHERE shell < {bins} GROUP BY 1, 2),
 {name} AS (SELECT pair, CAST(shell AS INTEGER) AS shell, (shell + 0.5) * sqrt(m) / {bins * span} AS frequency, fsc
-  FROM (SELECT DISTINCT pair FROM a1), range({bins}) r(shell), mx LEFT JOIN sums USING (pair, shell))"""
+  FROM (SELECT pair, CAST(shell AS INTEGER) AS shell, m FROM (SELECT DISTINCT pair FROM a1), range({bins}) r(shell), mx) LEFT JOIN sums USING (pair, shell))"""
 
 
 @query("a22_ring_correlation", with_(COEFFICIENTS) + curve_sql("co", 4, 12.0) + " SELECT pair, shell, round(frequency, 9) AS frequency, round(fsc, 6) AS fsc FROM fsc")
