@@ -46,7 +46,7 @@ def stages(df: DataFrame, now: Column | None = None) -> DataFrame:
         "phase": F.when(~ended, F.coalesce(step_phase(F.col("step.step")), F.when(F.col("step").isNull(), F.lit(1)))),
     }
     if now is not None:
-        age = F.unix_seconds(now) - F.unix_seconds("step.ts")
+        age = F.unix_seconds(now) - F.unix_seconds(F.col("step.ts").cast("timestamp"))
         out["step_age_s"] = F.when(~ended, F.greatest(age, F.lit(0).cast("bigint")))
     return latest.select("session", "seq", *[c.alias(n) for n, c in out.items()])
 
