@@ -18,6 +18,8 @@ from motes.operators.ordered import join_on_keys, position
 from motes.session import written
 
 PACK = 256
+# Rounding of a distance near zero; searching a little wider never misses a partner.
+MARGIN = 1e-6
 
 
 # --- pixel rows ------------------------------------------------------------
@@ -238,7 +240,7 @@ def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots:
         "cell", "reach", F.ceil(F.col("_n") / pack).cast("bigint").alias("packs")
     )
     listed = cells.agg(F.collect_list(F.struct("cell", "reach", "packs")).alias("l")).scalar()
-    reached = F.filter("_cells", lambda c: F.element_at("ds", c["cell"] + 1) - c["reach"] <= F.col("bound") + 1e-9)
+    reached = F.filter("_cells", lambda c: F.element_at("ds", c["cell"] + 1) - c["reach"] <= F.col("bound") + MARGIN)
     asked = placed.withColumn("_cells", listed).select(key, "u", F.explode(reached).alias("_c")).select(key, "u", F.col("_c.cell").alias("cell"), F.col("_c.packs").alias("packs"))
     members = _packs(placed.select(key, "u", "cell"), key, ["cell"], pack)
     queries = _packs(asked.select(key, "u", "cell"), key, ["cell"], pack).join(F.broadcast(cells.select("cell", "packs")), "cell")

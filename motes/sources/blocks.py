@@ -145,6 +145,9 @@ def write_loop(df: DataFrame, path: str, block: str = "particles", columns: Sequ
     row. Output is committed by Spark, so lost executors cost a retry, not the file.
     """
     names = [c for c in (columns or df.columns) if c != order and not c == "_file"]
+    unlabelled = [c for c in names if not c.startswith("_")]
+    if unlabelled:
+        raise ValueError(f"labels start with an underscore, unlike {unlabelled}")
     kinds = {f.name: f.dataType for f in df.schema}
     line = F.concat_ws("  ", *[cell_text(F.col(c), kinds[c], missing) for c in names])
     header = "\n".join([f"data_{block}", "", "loop_", *[f"{c} #{i}" for i, c in enumerate(names, 1)], ""])
