@@ -138,17 +138,15 @@ def _bins(value: Column, splits: Sequence[float]) -> Column:
 def splitters(df: DataFrame, by: str, whole_rows: int = WHOLE_ROWS, splits: int = SPLITS) -> list[float]:
     """Quantiles of ``by``; empty when the table is small enough for a plain window.
 
-    One aggregate with a mergeable sketch; only ``splits`` numbers reach the driver. Call
-    it on the table before costly steps and hand the result to ``ranked`` as ``cuts``.
+    A count, and for large tables one mergeable sketch; only ``splits`` numbers reach the
+    driver. Call it on the table before costly steps and hand the result to ``ranked`` as
+    ``cuts``.
     """
-    probs = [(i + 1) / (splits + 1) for i in range(splits)]
-    stats = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(by).cast("double"), probs, 10_000).alias("q"),
-    ).first()
-    if stats["n"] <= whole_rows:
+    if df.count() <= whole_rows:
         return []
-    return sorted({q for q in (stats["q"] or []) if q == q})
+    probs = [(i + 1) / (splits + 1) for i in range(splits)]
+    found = df.agg(F.percentile_approx(F.col(by).cast("double"), probs, 10_000).alias("q")).first()["q"]
+    return sorted({q for q in (found or []) if q == q})
 
 
 def ranked(
@@ -211,7 +209,8 @@ def value_counts(
     whole_rows: int = WHOLE_ROWS,
     splits: int = SPLITS,
 ) -> DataFrame:
-    """Distinct values per group with ``_n`` copies and ``_before`` smaller rows.
+    """Distinct values per group with ``_n`` copies, ``_before`` smaller rows and the group's
+    size ``_total``.
 
     Equal values are merged before the shuffle, so a value that holds a third of all
     rows costs one row.
@@ -221,21 +220,21 @@ def value_counts(
     if cuts is None:
         cuts = splitters(df, by, whole_rows, splits)
     if not cuts:
-        before = (
-            Window.partitionBy(*(keys or [F.lit(0)])).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        group = Window.partitionBy(*(keys or [F.lit(0)]))
+        before = group.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+            "_total", F.sum("_n").over(group)
         )
-        return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     counts, keys = group_key(counts, keys)
     base = counts.withColumn("_bin", _bins(F.col(by).cast("double"), list(cuts)))
     cells = [*keys, "_bin"]
     inner = Window.partitionBy(*cells).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    outer = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    outer = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         base.groupBy(*cells)
         .agg(F.sum("_n").alias("_m"))
-        .select(*cells, F.coalesce(F.sum("_m").over(outer), F.lit(0)).alias("_off"))
+        .select(*cells, F.coalesce(F.sum("_m").over(outer), F.lit(0)).alias("_off"), F.sum("_m").over(group).alias("_total"))
     )
     local = base.withColumn("_before", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
     return (
@@ -258,12 +257,8 @@ def order_statistics(
     """
     keys = list(keys)
     counts = value_counts(df.filter(F.col(by).isNotNull()), keys, by, **cutting)
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    picked = (
-        join_on_keys(counts.withColumnRenamed("_n", "_copies"), sizes, keys, "inner")
-        if keys
-        else counts.withColumnRenamed("_n", "_copies").withColumn("_size", sizes.select("_size").scalar())
-    ).withColumnRenamed("_size", "_n")
+    # inside ``picks`` the group size is called _n
+    picked = counts.withColumnsRenamed({"_n": "_copies", "_total": "_n"})
     aggs = []
     for out, index in picks.items():
         at = index.cast("bigint")

@@ -100,7 +100,7 @@ def _rank_small(placed: DataFrame, score: str, normalise: bool, out: str) -> Dat
 
 
 def even_cuts(rows: int) -> list[float]:
-    """Cut points of a rank spread evenly over [0, 1), one per million rows or so."""
+    """Cut points of a rank spread evenly over [0, 1), none for a small table."""
     parts = min(512, rows // WHOLE_ROWS * 2)
     return [i / parts for i in range(1, parts)]
 

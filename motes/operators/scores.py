@@ -201,7 +201,7 @@ def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pa
     return out
 
 
-def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots: int = 64, pack: int = PACK) -> DataFrame:
+def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots: int | None = None, pack: int = PACK) -> DataFrame:
     """For every image the other image with the highest positive correlation.
 
     Exact, without comparing all pairs: images are unit vectors, so the highest correlation
@@ -210,10 +210,13 @@ def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots:
     be, and only cells that reach within that distance are searched. The search multiplies
     packs of at most ``pack`` images; a cell of any size is many packs.
     """
+    if pivots is None:
+        # cells of several packs, and no more pivots than the driver holds easily
+        pivots = min(1024, max(4, images.count() // (4 * pack)))
     units = _unit(images, key, pixels)
-    order = F.md5(F.col(key).cast("string"))
+    order = F.md5(F.col(key).cast("string"))  # the same pivots on every run
     # a fixed number of pivots, so the driver holds a bounded array
-    chosen = units.orderBy(order).limit(pivots).collect()
+    chosen = _unit(images.orderBy(order).limit(pivots), key, pixels).collect()
     centre = np.array([r["u"] for r in chosen])
     names = np.array([r[key] for r in chosen])
     kind = images.schema[key].dataType.simpleString()

@@ -119,9 +119,9 @@ def finite_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def outlier_fence(df: DataFrame, column: str, **cutting) -> DataFrame:
     """Keep values within 1.5 spreads of the 10th and 70th percentiles."""
     q = percentiles(df, [], column, {"q1": 0.1, "q3": 0.7}, **cutting)
-    low = q.select(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).scalar()
-    high = q.select(F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).scalar()
-    return df.filter((F.col(column) >= low) & (F.col(column) <= high))
+    spread = F.col("q3") - F.col("q1")
+    fence = q.select(F.struct((F.col("q1") - 1.5 * spread).alias("low"), (F.col("q3") + 1.5 * spread).alias("high"))).scalar()
+    return df.filter((F.col(column) >= fence["low"]) & (F.col(column) <= fence["high"]))
 
 
 def finite_images(df: DataFrame, pixels: str = "px") -> tuple[DataFrame, DataFrame]:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from motes.functions.angles import direction, wrapped
 from motes.functions.fixed import VIEW_DEGREE
 
-# Side of a lookup cell in degrees; 8,100 cells cover both full circles.
-CELL = 4
+# Side of a lookup cell in degrees; 32,400 cells cover both full circles.
+CELL = 2
 
 
 def even_views(count: int) -> list[tuple[float, float]]:
@@ -92,5 +92,6 @@ def nearest_view(
         dx, dy, dz = F.col("_x") - v["x"], F.col("_y") - v["y"], F.col("_z") - v["z"]
         return F.struct((dx * dx + dy * dy + dz * dz).alias("d"), v["view"].alias("view"))
 
-    best = F.array_min(F.transform("_views", scored))
-    return joined.withColumn(out, best["view"]).drop("_rc", "_tc", "_x", "_y", "_z", "_views")
+    only = F.when(F.size("_views") == 1, F.col("_views")[0]["view"])
+    best = only.otherwise(F.array_min(F.transform("_views", scored))["view"])
+    return joined.withColumn(out, best).drop("_rc", "_tc", "_x", "_y", "_z", "_views")

@@ -36,7 +36,8 @@ ONE_GROUP = "grouped AS (SELECT *, 1 AS half FROM placed)"
 def flagship(spark, sf_dir):
     p = particles(spark, sf_dir)
     n = p.count()
-    ranked = ranking.equalised_rank(p, VIEW_COUNT, half="subset")
+    small = {"cuts": []} if n <= ranking.WHOLE_ROWS else {}
+    ranked = ranking.equalised_rank(p, VIEW_COUNT, half="subset", **small)
     best = ranking.select_ranked(ranked, n // 2, by="rank", cuts=ranking.even_cuts(n))
     optics = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")

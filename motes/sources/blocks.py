@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from motes.functions.cells import cell_text, typed
 from motes.operators.ordered import position
+from motes.session import written
 from motes.sources.lines import line_table
 
 
@@ -95,17 +96,19 @@ def read_loop(
     block: str = "particles",
     columns: Sequence[str] | None = None,
     types: Mapping[str, str] | None = None,
+    dense: bool = True,
 ) -> DataFrame:
     """Rows of a loop block in all matching files, with ``_row`` (per file) and ``_file``.
 
     Columns are found by label, so files may order them differently; a column that a file
     lacks is NULL. Cells are text unless ``types`` names a type; ``?`` and unreadable cells
-    become NULL there. Only the listed columns are kept.
+    become NULL there. Only the listed columns are kept. ``_row`` counts 0, 1, 2, ...;
+    with ``dense=False`` it only grows in file order, which saves a pass over the rows.
     """
     lines = line_table(spark, path)
     borders = _borders(lines).filter(F.col("block") == block)
     # the end of a block is the next block's start, so borders are cut after numbering
-    layout = _layout(lines, borders).filter("rows_at is not null")
+    layout = written(_layout(lines, borders).filter("rows_at is not null"), "layout")  # a row per file
     if columns is None:
         # distinct labels only: as many as the tables have columns
         found = layout.select(F.posexplode("labels").alias("p", "l")).groupBy("l").agg(F.min("p").alias("p")).orderBy("p", "l").collect()
@@ -123,7 +126,7 @@ def read_loop(
         text = F.when(at > 0, F.try_element_at(cells, F.greatest(at, F.lit(1))))
         values.append((typed(text, types[c]) if types and c in types else text).alias(c))
     picked = body.select(F.col("file").alias("_file"), "at", *values)
-    return position(picked, ["_file"], "at", "_row").drop("at")
+    return position(picked, ["_file"], "at", "_row").drop("at") if dense else picked.withColumnRenamed("at", "_row")
 
 
 def read_pairs(spark: SparkSession, path: str | Sequence[str], block: str | None = None) -> DataFrame:
