@@ -23,8 +23,7 @@ def read_affine(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def read_tilt_angles(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One tilt angle per line, numbered from 1."""
-    numbered = position(line_table(spark, path), ["file"], "at", "_n")
-    return numbered.select("file", (F.col("_n") + 1).alias("tilt_index"), F.split("text", " ")[0].cast("double").alias("tilt_angle"))
+    return line_table(spark, path).select("file", (F.col("at") + 1).alias("tilt_index"), F.split("text", " ")[0].cast("double").alias("tilt_angle"))
 
 
 def read_acquisition(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -67,10 +66,9 @@ def read_defocus(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     lines = line_table(spark, path)
     t = F.split("text", " ")
     number = lambda i: F.try_element_at(t, F.lit(i + 1)).try_cast("double")
-    firsts = lines.groupBy("file").agg(F.min("at").alias("_first"))
-    flags = (F.col("at") == F.col("_first")) & (F.size(t) >= 6) & F.coalesce(F.abs(number(4)) < 1e-6, F.lit(False))
+    flags = (F.col("at") == 0) & (F.size(t) >= 6) & F.coalesce(F.abs(number(4)) < 1e-6, F.lit(False))
     readable = (F.size(t) >= 5) & number(0).isNotNull() & number(1).isNotNull() & number(2).isNotNull() & number(3).isNotNull() & number(4).isNotNull()
-    rows = lines.join(firsts, "file").filter(~flags & readable)
+    rows = lines.filter(~flags & readable)
     wide = (F.size(t) >= 7) & number(5).isNotNull() & number(6).isNotNull()
     return position(rows, ["file"], "at", "entry").select(
         "file",
@@ -102,13 +100,12 @@ def read_picks(spark: SparkSession, path: str | Sequence[str], kind: str = "csv"
         values = [F.try_element_at("_c", F.lit(i + 1)).try_cast("double") for i in range(3)]
         x, y, z = reorder_axes(values, axis_order)
     elif kind == "csv":
-        heads = lines.groupBy("file").agg(F.min(F.struct("at", F.lower("text").alias("t"))).alias("_h"))
-        names = F.split("_h.t", r"\s*[,;]\s*|\s+")
+        names = F.split(F.lower("text"), r"\s*[,;]\s*|\s+")
         spot = lambda n, axis, other: F.when(F.array_contains(names, n), F.array_position(names, n)).when(
             F.array_contains(names, axis), F.array_position(names, axis)
         ).otherwise(F.lit(other))
-        heads = heads.select("file", F.col("_h.at").alias("_head"), *[spot(n, a, o).cast("int").alias(f"_i{n}") for n, a, o in (("x", "axis-2", 1), ("y", "axis-1", 2), ("z", "axis-0", 3))])
-        rows = lines.join(heads, "file").filter(F.col("at") > F.col("_head")).withColumn("_c", cells)
+        heads = lines.filter("at = 0").select("file", *[spot(n, a, o).cast("int").alias(f"_i{n}") for n, a, o in (("x", "axis-2", 1), ("y", "axis-1", 2), ("z", "axis-0", 3))])
+        rows = lines.join(heads, "file").filter("at > 0").withColumn("_c", cells)
         x, y, z = (F.try_element_at("_c", F.col(f"_i{n}")).try_cast("double") for n in "xyz")
     else:
         raise ValueError(f"unknown kind {kind}")

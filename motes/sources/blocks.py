@@ -1,7 +1,8 @@
 """Block-structured table files: named blocks that hold a loop (a table) or key/value pairs.
 
-Reading is a few joins of the line table with the block borders, so a file of any size is
-shared by many tasks. A file has few blocks, so borders stay a small table.
+One pass over the lines keeps only headers and block borders, a few lines per file, as a
+small table. A second pass joins the lines with these borders, so a file of any size is
+shared by many tasks.
 """
 
 from __future__ import annotations
@@ -12,51 +13,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motes.functions.cells import cell_text, typed
-from motes.operators.ordered import position
 from motes.session import written
 from motes.sources.lines import line_table
 
 
-def _borders(lines: DataFrame) -> DataFrame:
-    """Block name with its first and one-past-last place, per file."""
+def _layout(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Per block: its name and place, where its loop and its rows start, and its labels."""
+    text, before = F.col("text"), F.col("previous")
+    header = lambda c: c.startswith("_") | (c == "loop_")
+    # the first row of a loop follows a label, or opens a split
+    marks = line_table(spark, path, previous=True).filter(
+        header(text) | text.startswith("data_") | before.isNull() | header(before)
+    )
+    marks = written(marks.drop("previous"), "marks")
+
     w = Window.partitionBy("file").orderBy("start")  # one row per block of a file
-    return (
-        lines.filter(F.col("text").startswith("data_"))
+    borders = (
+        marks.filter(text.startswith("data_"))
         .select("file", F.col("at").alias("start"), F.trim(F.regexp_replace("text", "^data_", "")).alias("block"))
         .withColumn("end", F.lead("start").over(w))
         .withColumn("block_no", F.row_number().over(w))
     )
-
-
-def _inside(lines: DataFrame, borders: DataFrame) -> DataFrame:
-    """Lines of every block, without its ``data_`` line."""
-    return lines.join(borders, "file").filter(
-        (F.col("at") > F.col("start")) & (F.col("end").isNull() | (F.col("at") < F.col("end")))
-    )
-
-
-def _layout(lines: DataFrame, borders: DataFrame) -> DataFrame:
-    """Per block: where its loop starts, where its rows start, and its labels in order."""
-    inside = _inside(lines, borders)
-    loops = inside.filter(F.col("text") == "loop_").groupBy("file", "start").agg(F.max("at").alias("loop"))
-    body = inside.join(loops, ["file", "start"], "left")
-    label = F.col("text").startswith("_")
-    after = F.col("at") > F.col("loop")
-    ends = body.groupBy("file", "start").agg(
-        F.min(F.when(after & ~label, F.col("at"))).alias("rows_at"),
-        F.count_if(F.col("loop").isNull() & label).alias("n_pairs"),
-    )
-    heads = body.filter(after & label).join(ends, ["file", "start"]).filter(
+    inside = _inside(marks, borders)
+    loops = inside.filter(text == "loop_").groupBy("file", "start").agg(F.max("at").alias("loop"))
+    body = inside.join(loops, ["file", "start"]).filter(F.col("at") > F.col("loop"))
+    rows = body.filter(~text.startswith("_")).groupBy("file", "start").agg(F.min("at").alias("rows_at"))
+    heads = body.filter(text.startswith("_")).join(rows, ["file", "start"], "left").filter(
         F.col("rows_at").isNull() | (F.col("at") < F.col("rows_at"))
     )
     labels = heads.groupBy("file", "start").agg(
         F.sort_array(F.collect_list(F.struct("at", F.split("text", " ")[0].alias("l")))).alias("_l")
     )
-    return (
+    out = (
         borders.join(loops, ["file", "start"], "left")
-        .join(ends, ["file", "start"], "left")
+        .join(rows, ["file", "start"], "left")
         .join(labels.select("file", "start", F.col("_l.l").alias("labels")), ["file", "start"], "left")
     )
+    return written(out, "layout")
+
+
+def _inside(lines: DataFrame, borders: DataFrame) -> DataFrame:
+    """Lines of every block, without its ``data_`` line."""
+    return lines.join(borders, "file").filter(
+        (F.col("at") > F.col("start")) & (F.col("end").isNull() | (F.col("at") < F.col("end")))
+    )
 
 
 def block_catalog(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -65,22 +65,23 @@ def block_catalog(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     Version 3.1 files keep an ``optics`` block next to the particles, 3.0 files a single
     loop.
     """
-    lines = line_table(spark, path)
-    layout = _layout(lines, _borders(lines))
+    layout = _layout(spark, path)
+    loop = F.col("loop").isNotNull()
+    # in a loop every line from the first row on counts, in a pairs block every key
+    counted = F.when(loop, F.col("at") >= F.col("rows_at")).otherwise(F.col("text").startswith("_"))
     rows = (
-        _inside(lines, layout.filter("rows_at is not null").select("file", "start", "end", "rows_at"))
-        .filter(F.col("at") >= F.col("rows_at"))
+        _inside(line_table(spark, path), layout.select("file", "start", "end", "loop", "rows_at"))
+        .filter(counted)
         .groupBy("file", "start")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    loop = F.col("loop").isNotNull()
     out = layout.join(rows, ["file", "start"], "left").select(
         "file",
         "block_no",
         "block",
         F.when(loop, F.lit("loop")).otherwise(F.lit("pairs")).alias("kind"),
         F.when(loop, F.coalesce(F.size("labels"), F.lit(0))).otherwise(F.lit(0)).alias("n_cols"),
-        F.when(loop, F.coalesce("_rows", F.lit(0))).otherwise(F.coalesce("n_pairs", F.lit(0))).cast("bigint").alias("n_rows"),
+        F.coalesce("_rows", F.lit(0).cast("bigint")).alias("n_rows"),
         F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
     )
     per_file = out.groupBy("file").agg(
@@ -96,19 +97,14 @@ def read_loop(
     block: str = "particles",
     columns: Sequence[str] | None = None,
     types: Mapping[str, str] | None = None,
-    dense: bool = True,
 ) -> DataFrame:
     """Rows of a loop block in all matching files, with ``_row`` (per file) and ``_file``.
 
     Columns are found by label, so files may order them differently; a column that a file
     lacks is NULL. Cells are text unless ``types`` names a type; ``?`` and unreadable cells
-    become NULL there. Only the listed columns are kept. ``_row`` counts 0, 1, 2, ...;
-    with ``dense=False`` it only grows in file order, which saves a pass over the rows.
+    become NULL there. Only the listed columns are kept.
     """
-    lines = line_table(spark, path)
-    borders = _borders(lines).filter(F.col("block") == block)
-    # the end of a block is the next block's start, so borders are cut after numbering
-    layout = written(_layout(lines, borders).filter("rows_at is not null"), "layout")  # a row per file
+    layout = _layout(spark, path).filter((F.col("block") == block) & F.col("loop").isNotNull())
     if columns is None:
         # distinct labels only: as many as the tables have columns
         found = layout.select(F.posexplode("labels").alias("p", "l")).groupBy("l").agg(F.min("p").alias("p")).orderBy("p", "l").collect()
@@ -118,24 +114,22 @@ def read_loop(
     places = layout.select(
         "file", "start", "end", "rows_at", *[F.array_position("labels", c).alias(f"_at_{i}") for i, c in enumerate(columns)]
     )
-    body = _inside(lines, places).filter(F.col("at") >= F.col("rows_at"))
+    body = _inside(line_table(spark, path), places).filter(F.col("at") >= F.col("rows_at"))
     cells = F.split("text", " ")
     values = []
     for i, c in enumerate(columns):
         at = F.col(f"_at_{i}").cast("int")
         text = F.when(at > 0, F.try_element_at(cells, F.greatest(at, F.lit(1))))
         values.append((typed(text, types[c]) if types and c in types else text).alias(c))
-    picked = body.select(F.col("file").alias("_file"), "at", *values)
-    return position(picked, ["_file"], "at", "_row").drop("at") if dense else picked.withColumnRenamed("at", "_row")
+    # between its first row and its end a block holds nothing but rows
+    return body.select(F.col("file").alias("_file"), (F.col("at") - F.col("rows_at")).alias("_row"), *values)
 
 
 def read_pairs(spark: SparkSession, path: str | Sequence[str], block: str | None = None) -> DataFrame:
     """Key/value blocks as ``(file, block, key, value)``; the last value of a key wins."""
-    lines = line_table(spark, path)
-    borders = _borders(lines)
-    borders = borders.filter(F.col("block") == block) if block is not None else borders
-    layout = _layout(lines, borders).filter("loop is null")
-    pairs = _inside(lines, layout.select("file", "start", "end", "block")).filter(F.col("text").startswith("_"))
+    layout = _layout(spark, path).filter("loop is null")
+    layout = layout.filter(F.col("block") == block) if block is not None else layout
+    pairs = _inside(line_table(spark, path), layout.select("file", "start", "end", "block")).filter(F.col("text").startswith("_"))
     key = F.substring_index("text", " ", 1)
     value = F.when(F.instr("text", " ") > 0, F.regexp_replace("text", r"^\S+ ", "")).otherwise(F.lit(""))
     return pairs.groupBy("file", "block", key.alias("key")).agg(F.max_by(value, "at").alias("value"))
