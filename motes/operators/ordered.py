@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1 << 20
 # Below this many rows in total a plain window cannot overload a task.
 WHOLE_ROWS = 2_000_000
-# Quantile splitters used to cut a value range.
-SPLITS = 255
+# Most quantile splitters used to cut a value range, and the rows aimed at between two.
+MOST_SPLITS = 4095
+ROWS_PER_SPLIT = 500_000
 
 
 def group_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -119,31 +120,42 @@ def running(
     return joined.withColumns(result).drop("_chunk", "_key", *helpers)
 
 
-def _bins(value: Column, splits: Sequence[float]) -> Column:
-    """Ordered bin number: even between two splitters, odd on a splitter itself.
-
-    A nested CASE is a binary search that stays inside generated code.
-    """
+def count_at_most(value: Column, edges: Sequence[float]) -> Column:
+    """How many of the ascending ``edges`` are at most ``value``, by binary search."""
+    n = len(edges)
+    # one constant array instead of thousands of literals
+    table = F.split(F.lit(",".join(repr(float(e)) for e in edges)), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= n) & (F.element_at(table, F.least(at + step, F.lit(n))) <= value), at + step
+        ).otherwise(at),
+    )
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo > hi:
-            return F.lit(2 * lo)
-        mid = (lo + hi) // 2
-        at = F.lit(splits[mid])
-        return F.when(value < at, tree(lo, mid - 1)).when(value == at, F.lit(2 * mid + 1)).otherwise(tree(mid + 1, hi))
 
-    return F.when(value.isNull(), F.lit(-1)).otherwise(tree(0, len(splits) - 1)).cast("bigint")
+def _with_bin(df: DataFrame, by: str, edges: Sequence[float], out: str) -> DataFrame:
+    """Add an ordered bin number: even between two edges, odd on an edge itself, -1 for NULL."""
+    value = F.col(by).cast("double")
+    table = F.split(F.lit(",".join(repr(float(e)) for e in edges)), ",").cast("array<double>")
+    k = F.col("_k")
+    on_edge = (k > 0) & (F.element_at(table, F.greatest(k, F.lit(1))) == value)
+    placed = F.when(value.isNull(), F.lit(-1)).when(on_edge, 2 * k - 1).otherwise(2 * k)
+    return df.withColumn("_k", count_at_most(value, edges)).withColumn(out, placed.cast("bigint")).drop("_k")
 
 
-def splitters(df: DataFrame, by: str, whole_rows: int = WHOLE_ROWS, splits: int = SPLITS) -> list[float]:
+def splitters(df: DataFrame, by: str, whole_rows: int = WHOLE_ROWS, splits: int | None = None) -> list[float]:
     """Quantiles of ``by``; empty when the table is small enough for a plain window.
 
     A count, and for large tables one mergeable sketch; only ``splits`` numbers reach the
     driver. Call it on the table before costly steps and hand the result to ``ranked`` as
     ``cuts``.
     """
-    if df.count() <= whole_rows:
+    rows = df.count()
+    if rows <= whole_rows:
         return []
+    splits = splits or min(MOST_SPLITS, max(15, rows // ROWS_PER_SPLIT))
     probs = [(i + 1) / (splits + 1) for i in range(splits)]
     found = df.agg(F.percentile_approx(F.col(by).cast("double"), probs, 10_000).alias("q")).first()["q"]
     return sorted({q for q in (found or []) if q == q})
@@ -158,7 +170,7 @@ def ranked(
     out: str = "_rank",
     cuts: Sequence[float] | None = None,
     whole_rows: int = WHOLE_ROWS,
-    splits: int = SPLITS,
+    splits: int | None = None,
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """0-based rank per group by ``by``, ties by the unique integer ``tie`` ascending.
@@ -176,8 +188,10 @@ def ranked(
         return df.withColumn(out, F.row_number().over(w).cast("bigint") - 1)
 
     df, keys = group_key(df, keys)
-    bin_no = _bins(F.col(by).cast("double"), list(cuts))
-    base = df.withColumn("_bin", (-bin_no if descending else bin_no).cast("bigint")).withColumn(
+    base = _with_bin(df, by, cuts, "_bin")
+    if descending:
+        base = base.withColumn("_bin", -F.col("_bin"))
+    base = base.withColumn(
         "_sub",
         F.when(F.col("_bin") % 2 == 0, F.lit(0)).otherwise(F.floor(F.col(tie) / F.lit(chunk))).cast("bigint"),
     )
@@ -207,7 +221,7 @@ def value_counts(
     by: str,
     cuts: Sequence[float] | None = None,
     whole_rows: int = WHOLE_ROWS,
-    splits: int = SPLITS,
+    splits: int | None = None,
 ) -> DataFrame:
     """Distinct values per group with ``_n`` copies, ``_before`` smaller rows and the group's
     size ``_total``.
@@ -226,7 +240,7 @@ def value_counts(
             "_total", F.sum("_n").over(group)
         )
     counts, keys = group_key(counts, keys)
-    base = counts.withColumn("_bin", _bins(F.col(by).cast("double"), list(cuts)))
+    base = _with_bin(counts, by, cuts, "_bin")
     cells = [*keys, "_bin"]
     inner = Window.partitionBy(*cells).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*(keys or [F.lit(0)]))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motes.operators.ordered import WHOLE_ROWS, position, ranked, splitters
+from motes.operators.ordered import WHOLE_ROWS, count_at_most, position, ranked, splitters
 from motes.operators.views import nearest_view
 from motes.session import written
 
@@ -47,8 +47,8 @@ def equalised_rank(
     with value 1 and the others are ranked apart.
 
     No global sort: a layer holds at most one particle per view, and the number of
-    particles in earlier layers is the sum over views of min(view size, layer), computed
-    once per layer from an array with one count per view.
+    particles in earlier layers is the sum over views of min(view size, layer), which
+    follows from the view sizes alone.
     """
     split = F.when(F.col(half) == 1, F.lit(1)).otherwise(F.lit(2)) if half else F.lit(1)
     # cut points come from the input, before the costlier steps
@@ -60,25 +60,48 @@ def equalised_rank(
 
     layered = written(layer_in_view(placed, ["_half", "view"], score, cuts=cuts, **cutting), "layers")
     sizes = layered.groupBy("_half", "view").agg(F.count(F.lit(1)).alias("_m"), F.max(score).alias("_best"))
-    totals = sizes.groupBy("_half").agg(F.collect_list("_m").alias("_sizes"), F.sum("_m").alias("_total"))
-    # at most one row per half and view, so it fits every executor
-    stats = F.broadcast(sizes.join(totals, "_half"))
-    in_layer = Window.partitionBy("_half", "layer")
-    turn = F.row_number().over(in_layer.orderBy(F.col("norm_score").desc(), F.col("view")))
-    earlier = F.when(
-        F.col("_turn") == 1,
-        F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda a, n: a + F.least(n, F.col("layer"))),
-    )
+    sizes = written(sizes, "views")
+    # one row per half and view, so it fits the driver and every executor
+    counts: dict[int, list[int]] = {}
+    for row in sizes.select("_half", "_m").collect():
+        counts.setdefault(row["_half"], []).append(row["_m"])
+    turn = F.row_number().over(Window.partitionBy("_half", "layer").orderBy(F.col("norm_score").desc(), F.col("view")))
     return (
-        layered.join(stats, ["_half", "view"])
+        layered.join(F.broadcast(sizes.drop("_m")), ["_half", "view"])
         .withColumn("norm_score", _norm_score(score, normalise))
         .withColumn("_turn", turn)
-        .withColumn("_before", F.max(earlier).over(in_layer))
-        .withColumn(out, (F.col("_before") + F.col("_turn") - 1) / F.col("_total"))
-        .drop("_turn", "_before", "_sizes", "_total", "_m", "_best", "_half")
+        .withColumn("_full", _full_views(counts))
+        .withColumn(out, _place_in_turns(counts))
+        .drop("_turn", "_full", "_best", "_half")
     )
 
 
+def _full_views(counts: dict[int, list[int]]):
+    """How many views of the row's half are used up before its layer."""
+    out = None
+    for half, sizes in counts.items():
+        used = count_at_most(F.col("layer").cast("double"), sorted(sizes))
+        out = F.when(F.col("_half") == half, used) if out is None else out.when(F.col("_half") == half, used)
+    return out if out is not None else F.lit(0)
+
+
+def _place_in_turns(counts: dict[int, list[int]]):
+    """Rank from the layer and the place in it.
+
+    Before layer L come all particles of used-up views and L of every other view.
+    """
+    out = None
+    for half, sizes in counts.items():
+        sums = [0]
+        for n in sorted(sizes):
+            sums.append(sums[-1] + n)
+        used = F.split(F.lit(",".join(map(str, sums))), ",").cast("array<bigint>")
+        before = F.element_at(used, F.col("_full") + 1) + F.col("layer") * (len(sizes) - F.col("_full"))
+        rank = (before + F.col("_turn") - 1) / F.lit(sums[-1])
+        out = F.when(F.col("_half") == half, rank) if out is None else out.when(F.col("_half") == half, rank)
+    return out if out is not None else F.lit(None).cast("double")
+
+
 def _norm_score(score: str, normalise: bool):
     if not normalise:
         return F.col(score)

@@ -118,3 +118,19 @@ def test_any_partitioning_gives_the_same_result(spark, data, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     want = {row: i for g in groups(data).values() for i, (row, _) in enumerate(g)}
     assert [(a, b) for a, b, _ in got] == sorted(want.items())
+
+
+def test_many_splitters(spark):
+    rng = random.Random(2)
+    data = [(i, rng.choice([rng.random(), 0.25])) for i in range(3000)]
+    df = spark.createDataFrame(data, "_row bigint, value double")
+    got = {r["_row"]: r["_rank"] for r in ordered.ranked(df, [], "value", whole_rows=0, splits=2000, chunk=100).collect()}
+    assert got == {row: i for i, (row, _) in enumerate(sorted(data, key=lambda d: (d[1], d[0])))}
+
+
+@pytest.mark.parametrize("edges", [[1.0], [1.0, 2.0], [0.5, 1.5, 2.5, 1e300], list(range(100))])
+def test_count_at_most(spark, edges):
+    values = [-1.0, 0.5, 1.0, 1.7, 2.0, 50.0, 99.0, 1e301, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(ordered.count_at_most(F.col("v"), edges)).collect()]
+    assert got == [len(edges) if v != v else sum(e <= v for e in edges) for v in values]
