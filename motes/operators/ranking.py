@@ -204,6 +204,12 @@ def assign_ids(new: DataFrame, existing_names, prefix: str = "P", start: int = 1
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
-    """The last ``n`` rows per group; each task keeps only ``n`` per group before the shuffle."""
+    """The last ``n`` rows per group by a unique integer ``order``.
+
+    For a short tail each task keeps only ``n`` rows per group before the shuffle; a long
+    one is ranked in pieces.
+    """
+    if n > 1000:  # beyond this Spark does not cut groups before the shuffle
+        return ranked(df, keys, order, tie=order, descending=True, out="_rn").filter(F.col("_rn") < n).drop("_rn")
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

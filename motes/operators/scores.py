@@ -1,8 +1,8 @@
 """Similarity of images and maps.
 
 Aggregate scores work on pixel rows. Scores that compare many images work on packs: rows
-that hold up to ``PACK`` whole images, so a task multiplies two bounded matrices and no
-pair of images ever becomes a row of its own.
+that hold at most ``PACK`` whole images and ``PACK_BYTES`` of pixels, so a task multiplies
+two bounded matrices and no pair of images ever becomes a row of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from motes.operators.ordered import join_on_keys, position
 from motes.session import written
 
 PACK = 256
+PACK_BYTES = 32 << 20
 # Rounding of a distance near zero; searching a little wider never misses a partner.
 MARGIN = 1e-6
 
@@ -166,6 +167,12 @@ def _unit(df: DataFrame, key: str, pixels: str) -> DataFrame:
     )
 
 
+def _pack_size(images: DataFrame, pixels: str) -> int:
+    """How many images of this size fit a pack."""
+    largest = images.agg(F.max(F.size(pixels)).alias("n")).first()["n"] or 1
+    return max(1, min(PACK, PACK_BYTES // (8 * largest)))
+
+
 def _packs(df: DataFrame, key: str, group: Sequence[str], pack: int) -> DataFrame:
     """Whole images gathered into rows of at most ``pack`` images: ``(group, pack, ids, us)``."""
     placed = position(df, group, key, "_p").withColumn("pack", F.floor(F.col("_p") / pack).cast("bigint"))
@@ -173,11 +180,12 @@ def _packs(df: DataFrame, key: str, group: Sequence[str], pack: int) -> DataFram
     return rows.select(*group, "pack", F.col("_r.id").alias("ids"), F.col("_r.u").alias("us"))
 
 
-def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pack: int = PACK, targets: DataFrame | None = None) -> DataFrame:
+def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pack: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """Correlation of every map with every map, or of every target with every map.
 
     The matrix is the result, so it has one row per pair; the work is done pack by pack.
     """
+    pack = pack or _pack_size(maps, pixels)
     right = _packs(_unit(maps, key, pixels), key, [], pack)
     left = right if targets is None else _packs(_unit(targets, key, pixels), key, [], pack)
     # every pack meets every pack: the left side names the right packs it needs
@@ -201,7 +209,7 @@ def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pa
     return out
 
 
-def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots: int | None = None, pack: int = PACK) -> DataFrame:
+def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots: int | None = None, pack: int | None = None) -> DataFrame:
     """For every image the other image with the highest positive correlation.
 
     Exact, without comparing all pairs: images are unit vectors, so the highest correlation
@@ -210,6 +218,7 @@ def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots:
     be, and only cells that reach within that distance are searched. The search multiplies
     packs of at most ``pack`` images; a cell of any size is many packs.
     """
+    pack = pack or _pack_size(images, pixels)
     if pivots is None:
         # cells of several packs, and no more pivots than the driver holds easily
         pivots = min(1024, max(4, images.count() // (4 * pack)))

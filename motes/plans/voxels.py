@@ -231,11 +231,31 @@ def fitted_scale(spark, sf_dir):
     return _rounded(ops.fitted_scale(_pairs(spark, sf_dir), ["map"]), ["scale"])
 
 
-@query("a31_structural_score")
+# The double-sum transform of both images, mean amplitudes, five channels, and the product.
+STRUCTURAL = """px AS (SELECT map, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, a, b, w FROM pairs),
+fr AS (SELECT CAST(x AS INTEGER) AS k, (CASE WHEN x < 4 THEN x ELSE x - 8 END) / 8.0::DOUBLE AS f FROM range(8) t(x)),
+cs AS (SELECT CAST(x AS INTEGER) AS m, cos(2 * pi() * x / 8) AS co, sin(2 * pi() * x / 8) AS si FROM range(8) t(x)),
+ft AS (SELECT map, u.k AS ky, v.k AS kx, sum(a * co) AS ar, -sum(a * si) AS ai, sum(b * co) AS br, -sum(b * si) AS bi
+  FROM px, fr u, fr v, cs WHERE m = (u.k * r + v.k * c) % 8 GROUP BY map, u.k, v.k),
+am AS (SELECT *, sqrt(ar * ar + ai * ai) + 1e-8 AS ma, sqrt(br * br + bi * bi) + 1e-8 AS mb FROM ft),
+eq AS (SELECT map, ky, kx, ar * (ma + mb) / 2 / ma AS ar, ai * (ma + mb) / 2 / ma AS ai, br * (ma + mb) / 2 / mb AS br, bi * (ma + mb) / 2 / mb AS bi FROM am),
+fl AS (SELECT u.k AS ky, v.k AS kx, ch, exp(-2 * pi() ** 2 * (u.f ** 2 + v.f ** 2)) AS g, u.f AS fy, v.f AS fx FROM fr u, fr v, range(5) t(ch)),
+hh AS (SELECT ky, kx, ch, CASE ch WHEN 0 THEN 1.0 WHEN 3 THEN -(2 * pi() * fx) ** 2 * g WHEN 4 THEN -(2 * pi() * fy) ** 2 * g ELSE 0.0 END AS hr,
+  CASE ch WHEN 1 THEN 2 * pi() * fx * g WHEN 2 THEN 2 * pi() * fy * g ELSE 0.0 END AS hi FROM fl),
+cf AS (SELECT map, ch, ky, kx, ar * hr - ai * hi AS ar, ar * hi + ai * hr AS ai, br * hr - bi * hi AS br, br * hi + bi * hr AS bi FROM eq JOIN hh USING (ky, kx)),
+im AS (SELECT map, ch, y.k AS r, x.k AS c, sum(ar * co - ai * si) / 64 AS a, sum(br * co - bi * si) / 64 AS b
+  FROM cf, fr y, fr x, cs WHERE m = (ky * y.k + kx * x.k) % 8 GROUP BY map, ch, y.k, x.k),
+iw AS (SELECT im.*, w FROM im JOIN px USING (map, r, c)),
+mn AS (SELECT map, ch, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM iw GROUP BY ALL),
+cc AS (SELECT map, ch, greatest(0, sum(w * (a - ma) * (b - mb)) / (sqrt(sum(w * (a - ma) ** 2) * sum(w * (b - mb) ** 2)) + 1e-12)) AS cc FROM iw JOIN mn USING (map, ch) GROUP BY ALL)
+"""
+
+
+@query("a31_structural_score", with_(VOXELS, PAIRS, STRUCTURAL) + "SELECT map AS id, round(product(cc), 4) AS score FROM cc GROUP BY 1")
 def structural_score(spark, sf_dir):
     rows = _pairs(spark, sf_dir).groupBy("map").agg(F.sort_array(F.collect_list(F.struct("i", "a", "b", "w"))).alias("r"))
     arrays = rows.select(F.col("map").alias("id"), F.col("r.a").alias("px"), F.col("r.b").alias("ref"), F.col("r.w").alias("w"))
-    return _rounded(scores.structural_score(arrays, 8, 8), ["score"])
+    return _rounded(scores.structural_score(arrays, 8, 8), ["score"], 4)
 
 
 @query(
