@@ -53,11 +53,11 @@ def position(
     order: str = "_row",
     out: str = "_pos",
     chunk: int = CHUNK_ROWS,
+    sparse: bool = False,
 ) -> DataFrame:
     """0-based position among the rows with equal ``keys``, by a unique integer ``order``."""
-    return running(df, keys, order, {out: ("sum", F.lit(1).cast("bigint"))}, chunk=chunk).withColumn(
-        out, F.col(out) - 1
-    )
+    counted = running(df, keys, order, {out: ("sum", F.lit(1).cast("bigint"))}, chunk=chunk, sparse=sparse)
+    return counted.withColumn(out, F.col(out) - 1)
 
 
 def running(
@@ -67,11 +67,14 @@ def running(
     outputs: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
     chunk: int = CHUNK_ROWS,
+    sparse: bool = False,
 ) -> DataFrame:
     """Running ``sum``/``min``/``max`` or the previous row's value (``lag``) per group.
 
-    ``order`` is a unique integer column. With ``inclusive=False`` the current row does
-    not count. ``lag`` gives the value on the row before, NULL on a group's first row.
+    ``order`` is a unique integer column, such as a row number. ``sparse`` is for numbers
+    that spread far wider than there are rows (arbitrary ids): chunks are then many, and
+    are chunked again. With ``inclusive=False`` the current row does not count. ``lag``
+    gives the value on the row before, NULL on a group's first row.
     """
     df, keys = group_key(df, keys)
     base = _chunked(df, order, chunk)
@@ -89,11 +92,13 @@ def running(
             for out, (kind, col) in outputs.items()
         ]
     )
-    carried = [
-        (F.lag(f"__{out}").over(outer) if kind == "lag" else totals[kind](f"__{out}").over(before)).alias(f"__c_{out}")
-        for out, (kind, _) in outputs.items()
-    ]
-    carry = carry.select(*keys, "_chunk", *carried)
+    if sparse:
+        names = {f"__c_{out}": (kind, F.col(f"__{out}")) for out, (kind, _) in outputs.items()}
+        upper = {k: f"_up_{k}" for k in [*keys, "_chunk"]}
+        above = running(carry.withColumnsRenamed(upper), [upper[k] for k in keys], upper["_chunk"], names, inclusive=False, chunk=chunk)
+        carry = above.withColumnsRenamed({v: k for k, v in upper.items()}).select(*keys, "_chunk", *names)
+    else:
+        carry = carry.select(*keys, "_chunk", *_carried(outputs, totals, outer, before))
 
     local = base.select(
         "*",
@@ -135,6 +140,14 @@ def count_at_most(value: Column, edges: Sequence[float]) -> Column:
     )
 
 
+def _carried(outputs, totals, outer, before) -> list[Column]:
+    """What all earlier chunks of the group hand on, per output."""
+    return [
+        (F.lag(f"__{out}").over(outer) if kind == "lag" else totals[kind](f"__{out}").over(before)).alias(f"__c_{out}")
+        for out, (kind, _) in outputs.items()
+    ]
+
+
 def _with_bin(df: DataFrame, by: str, edges: Sequence[float], out: str) -> DataFrame:
     """Add an ordered bin number: even between two edges, odd on an edge itself, -1 for NULL."""
     value = F.col(by).cast("double")

@@ -175,7 +175,7 @@ def _pack_size(images: DataFrame, pixels: str) -> int:
 
 def _packs(df: DataFrame, key: str, group: Sequence[str], pack: int) -> DataFrame:
     """Whole images gathered into rows of at most ``pack`` images: ``(group, pack, ids, us)``."""
-    placed = position(df, group, key, "_p").withColumn("pack", F.floor(F.col("_p") / pack).cast("bigint"))
+    placed = position(df, group, key, "_p", sparse=True).withColumn("pack", F.floor(F.col("_p") / pack).cast("bigint"))
     rows = placed.groupBy(*group, "pack").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), F.col("u")))).alias("_r"))
     return rows.select(*group, "pack", F.col("_r.id").alias("ids"), F.col("_r.u").alias("us"))
 
@@ -212,50 +212,67 @@ def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pa
 def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots: int | None = None, pack: int | None = None) -> DataFrame:
     """For every image the other image with the highest positive correlation.
 
-    Exact, without comparing all pairs: images are unit vectors, so the highest correlation
-    is the smallest distance. Each image belongs to the cell of its nearest pivot. The
-    distance to the nearest pivot (not counting itself) bounds how far the best partner can
-    be, and only cells that reach within that distance are searched. The search multiplies
-    packs of at most ``pack`` images; a cell of any size is many packs.
+    Exact, without comparing all pairs. Copies of an image, however many, are merged first
+    and point to each other (the lowest id, whose partner is the second lowest). Different
+    images are unit vectors, so the highest correlation is the smallest distance. Each
+    belongs to the cell of its nearest pivot. The distance to the nearest pivot (not
+    counting itself) bounds how far the best partner can be, and only cells that reach
+    within that distance are searched. The search multiplies packs of at most ``pack``
+    images; a cell of any size is many packs.
     """
     pack = pack or _pack_size(images, pixels)
     if pivots is None:
         # cells of several packs, and no more pivots than the driver holds easily
         pivots = min(1024, max(4, images.count() // (4 * pack)))
-    units = _unit(images, key, pixels)
-    order = F.md5(F.col(key).cast("string"))  # the same pivots on every run
-    # a fixed number of pivots, so the driver holds a bounded array
-    chosen = _unit(images.orderBy(order).limit(pivots), key, pixels).collect()
+    kind = images.schema[key].dataType.simpleString()
+    units = _unit(images, key, pixels).filter(F.exists("u", lambda x: x != 0))
+    units = written(units.withColumn("print", F.md5(F.col("u").cast("string"))), "units")
+
+    groups = units.groupBy("print").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    repeated = groups.filter("_n > 1").drop("_n")
+    copies = units.select(key, "print").join(repeated, "print")
+    second = copies.filter(F.col(key) != F.col("_first")).groupBy("print").agg(F.min(key).alias("_second"))
+    twins = copies.join(second, "print").select(
+        key, F.when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("similar"), F.lit(1.0).alias("cc")
+    )
+
+    singles = units.join(groups.select(F.col("_first").alias(key), (F.col("_n") == 1).alias("alone")), key).select(key, "u", "alone")
+    # a fixed number of pivots, the same on every run, so the driver holds a bounded array
+    chosen = singles.select(key, "u").orderBy(F.md5(F.col(key).cast("string"))).limit(pivots).collect()
+    if not chosen:
+        return images.select(key, F.lit(None).cast(kind).alias("similar"), F.lit(0.0).alias("cc"))
     centre = np.array([r["u"] for r in chosen])
     names = np.array([r[key] for r in chosen])
-    kind = images.schema[key].dataType.simpleString()
+
+    def distances(part: pd.DataFrame) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (np.stack(part["u"].to_numpy()) @ centre.T), 0.0))
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if not len(part):
-                continue
-            u = np.stack(part["u"].to_numpy())
-            d = np.sqrt(np.maximum(2 - 2 * (u @ centre.T), 0.0))
-            flat = ~u.any(1)
-            d[flat] = 1.0
-            own = part[key].to_numpy()[:, None] == names[None, :]
-            bound = np.where(own, np.inf, d).min(1)
-            cell = d.argmin(1)
-            yield pd.DataFrame(
-                {key: part[key], "u": list(u), "cell": cell, "d": d[np.arange(len(u)), cell], "bound": bound, "ds": list(d)}
-            )
-
-    placed = units.mapInPandas(place, f"{key} {kind}, u array<double>, cell int, d double, bound double, ds array<double>")
-    placed = written(placed, "cells")  # read three times below
+            if len(part):
+                d = distances(part)
+                cell = d.argmin(1)
+                yield part.assign(cell=cell, d=d[np.arange(len(part)), cell])
+
+    placed = written(singles.mapInPandas(place, f"{key} {kind}, u array<double>, alone boolean, cell int, d double"), "cells")
     # one row per pivot: how far a cell reaches and how many packs it fills
-    cells = placed.groupBy("cell").agg(F.max("d").alias("reach"), F.count(F.lit(1)).alias("_n")).select(
-        "cell", "reach", F.ceil(F.col("_n") / pack).cast("bigint").alias("packs")
-    )
-    listed = cells.agg(F.collect_list(F.struct("cell", "reach", "packs")).alias("l")).scalar()
-    reached = F.filter("_cells", lambda c: F.element_at("ds", c["cell"] + 1) - c["reach"] <= F.col("bound") + MARGIN)
-    asked = placed.withColumn("_cells", listed).select(key, "u", F.explode(reached).alias("_c")).select(key, "u", F.col("_c.cell").alias("cell"), F.col("_c.packs").alias("packs"))
+    cells = placed.groupBy("cell").agg(F.max("d").alias("reach"), F.ceil(F.count(F.lit(1)) / pack).cast("bigint").alias("packs"))
+    reach = np.full(len(names), -np.inf)
+    for r in cells.collect():
+        reach[r["cell"]] = r["reach"]
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                d = distances(part)
+                own = part[key].to_numpy()[:, None] == names[None, :]
+                bound = np.where(own, np.inf, d).min(1)
+                row, cell = np.nonzero(d - reach[None, :] <= bound[:, None] + MARGIN)
+                yield pd.DataFrame({key: part[key].to_numpy()[row], "u": part["u"].to_numpy()[row], "cell": cell.astype(np.int32)})
+
+    asked = placed.filter("alone").select(key, "u").mapInPandas(ask, f"{key} {kind}, u array<double>, cell int")
     members = _packs(placed.select(key, "u", "cell"), key, ["cell"], pack)
-    queries = _packs(asked.select(key, "u", "cell"), key, ["cell"], pack).join(F.broadcast(cells.select("cell", "packs")), "cell")
+    queries = _packs(asked, key, ["cell"], pack).join(F.broadcast(cells.select("cell", "packs")), "cell")
     # a cell's packs are spread over the cluster: each pair of packs meets on (cell, pack)
     pairs = queries.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("packs") - 1))).join(
         members.select("cell", F.col("pack").alias("_to"), F.col("ids").alias("ids2"), F.col("us").alias("us2")), ["cell", "_to"]
@@ -274,5 +291,5 @@ def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots:
 
     found = pairs.select("ids", "us", "ids2", "us2").mapInPandas(search, f"{key} {kind}, similar {kind}, cc double")
     best = found.filter("cc > 0").groupBy(key).agg(F.max(F.struct("cc", (-F.col("similar")).alias("s"))).alias("_b"))
-    picked = best.select(key, (-F.col("_b.s")).alias("similar"), F.col("_b.cc").alias("cc"))
+    picked = best.select(key, (-F.col("_b.s")).alias("similar"), F.col("_b.cc").alias("cc")).unionByName(twins)
     return images.select(key).join(picked, key, "left").withColumn("cc", F.coalesce("cc", F.lit(0.0)))

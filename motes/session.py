@@ -15,6 +15,8 @@ TUNING = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # batches of whole images are bounded by their size, not only by their rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 

@@ -84,6 +84,15 @@ def test_most_similar_finds_the_best_partner(spark, pack, pivots):
             assert cc[i, got[i][0]] == pytest.approx(cc[i].max())
 
 
+def test_copies_point_to_each_other(spark):
+    a, b = RNG.normal(size=8), RNG.normal(size=8)
+    images = [b, a, a, a, a * 1.0, b + 0.01 * a]
+    df = spark.createDataFrame(image_rows(images, ids=[50, 40, 9, 70, 10**15, 3]), "id bigint, px array<double>")
+    got = {r["id"]: (r["similar"], round(r["cc"], 6)) for r in scores.most_similar(df, pack=2).collect()}
+    near = round(np.corrcoef(b, b + 0.01 * a)[0, 1], 6)
+    assert got == {9: (40, 1.0), 40: (9, 1.0), 70: (9, 1.0), 10**15: (9, 1.0), 50: (3, near), 3: (50, near)}
+
+
 def test_correlation_matrix(spark):
     maps = RNG.normal(size=(7, 10))
     maps[3] = 2.0

@@ -46,20 +46,29 @@ def test_position(df, data, chunk):
     assert got == want
 
 
+def test_position_of_scattered_ids(spark):
+    rng = random.Random(6)
+    ids = sorted(rng.sample(range(-(1 << 60), 1 << 60), 200))
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(3)
+    got = {r["id"]: r["_pos"] for r in ordered.position(df, [], "id", chunk=1 << 20, sparse=True).collect()}
+    assert got == {v: i for i, v in enumerate(ids)}
+
+
 def test_position_without_keys(df, data):
     got = {r["_row"]: r["_pos"] for r in ordered.position(df, [], chunk=50).collect()}
     assert got == {row: i for i, (row, _, _) in enumerate(sorted(data))}
 
 
+@pytest.mark.parametrize("sparse", [True, False])
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_running(df, data, inclusive):
+def test_running(df, data, inclusive, sparse):
     outs = {
         "s": ("sum", F.col("value")),
         "lo": ("min", F.col("value")),
         "hi": ("max", F.col("value")),
         "prev": ("lag", F.col("value")),
     }
-    got = {r["_row"]: r for r in ordered.running(df, ["key"], "_row", outs, inclusive, chunk=11).collect()}
+    got = {r["_row"]: r for r in ordered.running(df, ["key"], "_row", outs, inclusive, chunk=11, sparse=sparse).collect()}
     for g in groups(data).values():
         for i, (row, _) in enumerate(g):
             seen = [v for _, v in g[: i + inclusive] if v is not None]
