@@ -7,6 +7,7 @@ two bounded matrices and no pair of images ever becomes a row of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -154,17 +155,25 @@ def structural_score(df: DataFrame, ny: int, nx: int, sigma: float = 1.0, key: s
 
 
 def _unit(df: DataFrame, key: str, pixels: str) -> DataFrame:
-    """Zero-mean, unit-length pixel arrays; flat images become all zero."""
-    v = F.transform(pixels, lambda x: x.cast("double"))
-    mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.size("_v")
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x))
-    return (
-        df.select(key, v.alias("_v"))
-        .withColumn("_m", mean)
-        .select(key, F.transform("_v", lambda x: x - F.col("_m")).alias("_c"))
-        .withColumn("_n", norm)
-        .select(key, F.transform("_c", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(F.lit(0.0))).alias("u"))
-    )
+    """Zero-mean, unit-length pixel arrays ``u`` with a fingerprint of their bytes.
+
+    Flat images become all zero and have no fingerprint.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def scale(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                v = np.stack(part[pixels].to_numpy()).astype(np.float64)
+                largest = np.abs(v).max(1, keepdims=True)
+                v -= v.mean(1, keepdims=True)
+                norm = np.sqrt((v * v).sum(1, keepdims=True))
+                # what is left of a flat image is rounding
+                u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 1e-12 * largest)
+                marks = [hashlib.md5(r.tobytes()).hexdigest() if r.any() else None for r in u]
+                yield pd.DataFrame({key: part[key], "u": list(u), "print": marks})
+
+    return df.select(key, pixels).mapInPandas(scale, f"{key} {kind}, u array<double>, print string")
 
 
 def _pack_size(images: DataFrame, pixels: str) -> int:
@@ -186,8 +195,8 @@ def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pa
     The matrix is the result, so it has one row per pair; the work is done pack by pack.
     """
     pack = pack or _pack_size(maps, pixels)
-    right = _packs(_unit(maps, key, pixels), key, [], pack)
-    left = right if targets is None else _packs(_unit(targets, key, pixels), key, [], pack)
+    right = _packs(_unit(maps, key, pixels).select(key, "u"), key, [], pack)
+    left = right if targets is None else _packs(_unit(targets, key, pixels).select(key, "u"), key, [], pack)
     # every pack meets every pack: the left side names the right packs it needs
     n = right.agg(F.max("pack").alias("n")).scalar()
     pairs = left.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), n))).join(
@@ -225,8 +234,7 @@ def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots:
         # cells of several packs, and no more pivots than the driver holds easily
         pivots = min(1024, max(4, images.count() // (4 * pack)))
     kind = images.schema[key].dataType.simpleString()
-    units = _unit(images, key, pixels).filter(F.exists("u", lambda x: x != 0))
-    units = written(units.withColumn("print", F.md5(F.col("u").cast("string"))), "units")
+    units = written(_unit(images, key, pixels).filter("print is not null"), "units")
 
     groups = units.groupBy("print").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
     repeated = groups.filter("_n > 1").drop("_n")
