@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.functions.angles import direction, wrapped
@@ -66,6 +66,11 @@ def _candidates(count: int, compat: bool) -> pa.Table:
     return pa.table({"_rc": pa.array(index // side, pa.int32()), "_tc": pa.array(index % side, pa.int32()), "_views": lists})
 
 
+@lru_cache(maxsize=16)
+def _lookup(spark: SparkSession, count: int, compat: bool) -> DataFrame:
+    return spark.createDataFrame(_candidates(count, compat))
+
+
 def nearest_view(
     particles: DataFrame,
     count: int,
@@ -86,7 +91,7 @@ def nearest_view(
         return F.least(F.floor(wrapped(F.col(angle)) / CELL), F.lit(side - 1)).cast("int")
 
     placed = particles.withColumns({"_rc": cell(rot), "_tc": cell(tilt), "_x": x, "_y": y, "_z": z})
-    joined = placed.join(F.broadcast(particles.sparkSession.createDataFrame(_candidates(count, compat))), ["_rc", "_tc"], "left")
+    joined = placed.join(F.broadcast(_lookup(particles.sparkSession, count, compat)), ["_rc", "_tc"], "left")
 
     def scored(v):
         dx, dy, dz = F.col("_x") - v["x"], F.col("_y") - v["y"], F.col("_z") - v["z"]
