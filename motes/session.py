@@ -28,7 +28,8 @@ def local_session(cores: str | int = "*", app: str = "motes") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in TUNING.items():
         builder = builder.config(key, value)
@@ -67,3 +68,15 @@ def written(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df):
+    """``df`` computed once and kept in the shared folder, without its lineage.
+
+    Spark drops the files once nothing refers to the result any more, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
