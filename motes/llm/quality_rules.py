@@ -18,6 +18,8 @@ STOP_WORDS = (
     "el los y se del las por con para es al"
 ).split()
 
+_EITHER_CASE = sorted({x for w in STOP_WORDS for x in (w, w.capitalize())})
+
 WINDOW = 5
 
 
@@ -40,7 +42,7 @@ RULES = (
     Rule("symbols", "symbol_ratio", high=0.2),
     Rule("word_length_low", "mean_word_length", low=2),
     Rule("word_length_high", "mean_word_length", high=16),
-    Rule("capitals", "capital_ratio", high=0.6),
+    Rule("capitals", "capital_ratio", high=0.4),
     Rule("letters", "letter_ratio", low=0.3),
     Rule("stop_words", "stop_ratio", low=0.02),
     Rule("repeated_lines", "dup_line_ratio", high=0.5),
@@ -49,23 +51,21 @@ RULES = (
 )
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words inside five-word windows that occur twice or more (``w``: sorted windows).
+def _with_next(left: str, right: str, far: int) -> Column:
+    """At each place the hash of ``left`` there and of ``right`` ``far`` places on."""
+    return F.zip_with(left, F.slice(right, far + 1, F.greatest(F.size(right), F.lit(1))), lambda x, y: F.xxhash64(x, y))
 
-    ``w`` is sorted, so equal windows are neighbours. The starts of repeated windows are
-    sorted again, and each covers five words or as many as there are before the next start.
-    """
-    after = F.concat(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<w:array<string>,p:int>")))
-    before = F.concat(F.array(F.lit(None).cast("struct<w:array<string>,p:int>")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))))
-    starts = F.filter(
-        F.zip_with(
-            F.zip_with(w, after, lambda x, y: F.struct(x["p"].alias("p"), (x["w"] == y["w"]).alias("next"), x["w"].alias("w"))),
-            before,
-            lambda x, y: F.when(F.coalesce(x["next"], F.lit(False)) | F.coalesce(x["w"] == y["w"], F.lit(False)), x["p"]),
-        ),
-        lambda p: p.isNotNull(),
+
+def _repeat_starts(w: Column) -> Column:
+    """Starts of the windows that occur twice or more; ``w``: (hash, start), sorted."""
+    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,p:int>")), w)
+    after = F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))
+    both = F.zip_with(w, before, lambda x, y: F.when(x["h"] == y["h"], x["p"]))
+    return F.sort_array(
+        F.array_distinct(
+            F.array_compact(F.concat(both, F.zip_with(w, after, lambda x, y: F.when(x["h"] == y["h"], x["p"]))))
+        )
     )
-    return F.sort_array(starts)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,26 +78,18 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split("t", "\n"), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]", "")) > 0).alias("ls"),
     )
     # a cheap look at hashes first: most texts repeat no window, and need no sorting
-    one = one.select(
-        "*",
-        F.when(
-            F.size("ws") > WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("ws", i, WINDOW))),
-        ).alias("hs"),
-    )
+    one = one.select("*", F.when(F.size("ws") > WINDOW, F.transform("ws", lambda x: F.xxhash64(x))).alias("h1"))
+    one = one.select("*", _with_next("h1", "h1", 1).alias("h2"))
+    one = one.select("*", _with_next("h2", "h2", 2).alias("h4"))
+    one = one.select("*", F.slice(_with_next("h4", "h1", 4), 1, F.size("ws") - (WINDOW - 1)).alias("hs"))
     one = one.select(
         "*",
         F.when(
             F.size(F.array_distinct("hs")) < F.size("hs"),
-            F.array_sort(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)),
-                    lambda i: F.struct(F.slice("ws", i, WINDOW).alias("w"), i.alias("p")),
-                )
-            ),
+            F.sort_array(F.zip_with("hs", F.sequence(F.lit(1), F.size("hs")), lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
         ).alias("win"),
     )
-    one = one.select("row", "t", "ws", "ls", F.when(F.col("win").isNotNull(), _repeat_words(F.col("win"))).alias("at"))
+    one = one.select("row", "t", "ws", "ls", F.when(F.col("win").isNotNull(), _repeat_starts(F.col("win"))).alias("at"))
     gaps = F.zip_with(
         "at",
         F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))),
@@ -105,6 +97,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     counted = one.select(
         "row",
+        "t",
         "ws",
         "ls",
         F.size("ws").cast("long").alias("n_words"),
@@ -114,6 +107,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(F.aggregate(gaps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
     n = F.when(F.col("n_words") > 0, F.col("n_words"))
+    chars = F.when(F.col("word_chars") > 0, F.col("word_chars"))
     lines = F.when(F.size("ls") > 0, F.size("ls"))
 
     def share(of: str, test, total: Column) -> Column:
@@ -129,10 +123,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         (100 * F.col("n_repeat_words") / n).alias("repeat_percent"),
         (F.col("n_symbols") / n).alias("symbol_ratio"),
         (F.col("word_chars") / n).alias("mean_word_length"),
-        share("ws", lambda x: (F.upper(x) == x) & (F.lower(x) != x), n).alias("capital_ratio"),
-        share("ws", lambda x: F.lower(x) != F.upper(x), n).alias("letter_ratio"),
+        (F.length(F.regexp_replace("t", r"[^A-ZÀ-ÖØ-Þ]+", "")) / chars).alias("capital_ratio"),
+        (1 - F.length(F.regexp_replace("t", r"[A-Za-z\x80-\x{10FFFF}\x20\x09-\x0D]+", "")) / chars).alias("letter_ratio"),
         # in a short text no function word may occur by chance
-        F.when(F.col("n_words") >= 50, share("ws", lambda x: F.lower(x).isin(STOP_WORDS), n)).alias("stop_ratio"),
+        F.when(F.col("n_words") >= 50, share("ws", lambda x: x.isin(_EITHER_CASE), n)).alias("stop_ratio"),
         F.when(lines >= 10, F.col("n_dup_lines") / lines).alias("dup_line_ratio"),
         F.when(lines >= 10, share("ls", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"), lines)).alias("bullet_ratio"),
         F.when(lines >= 10, share("ls", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"), lines)).alias("ellipsis_ratio"),

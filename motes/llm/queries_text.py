@@ -9,7 +9,7 @@ from motes.llm.mixing import mixed
 from motes.llm.quality_rules import STOP_WORDS, quality_rules
 from motes.llm.registry import query
 
-_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+_STOP = ", ".join(f"'{x}'" for w in dict.fromkeys(STOP_WORDS) for x in (w, w.capitalize()))
 
 OP1_SQL = rf"""
 WITH t AS (
@@ -26,7 +26,7 @@ gaps AS (
   SELECT rid, least(5, coalesce(lead(p) OVER (PARTITION BY rid ORDER BY p) - p, 5)) AS gap FROM again),
 rep AS (SELECT rid, sum(gap) AS n FROM gaps GROUP BY rid),
 m AS (
-  SELECT doc_id, ws, ls, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  SELECT doc_id, t, ws, ls, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
          len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
@@ -36,9 +36,9 @@ r AS (
 q AS (
   SELECT *, 100.0 * n_repeat_words / n AS repeat_percent, n_symbols / n AS symbol_ratio,
     word_chars / n AS mean_word_length,
-    len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x)) / n AS capital_ratio,
-    len(list_filter(ws, lambda x: lower(x) <> upper(x))) / n AS letter_ratio,
-    CASE WHEN n_words >= 50 THEN len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) / n END AS stop_ratio,
+    length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) / nullif(word_chars, 0) AS capital_ratio,
+    1 - length(regexp_replace(t, '[A-Za-z\x{{80}}-\x{{10FFFF}}\x20\x09-\x0D]+', '', 'g')) / nullif(word_chars, 0) AS letter_ratio,
+    CASE WHEN n_words >= 50 THEN len(list_filter(ws, lambda x: x IN ({_STOP}))) / n END AS stop_ratio,
     CASE WHEN l >= 10 THEN n_dup_lines / l END AS dup_line_ratio,
     CASE WHEN l >= 10 THEN len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{{2022}}]'))) / l END AS bullet_ratio,
     CASE WHEN l >= 10 THEN len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$'))) / l END AS ellipsis_ratio
@@ -47,7 +47,7 @@ v AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(symbol_ratio > 0.2, FALSE) AND NOT coalesce(mean_word_length < 2, FALSE)
-  AND NOT coalesce(mean_word_length > 16, FALSE) AND NOT coalesce(capital_ratio > 0.6, FALSE)
+  AND NOT coalesce(mean_word_length > 16, FALSE) AND NOT coalesce(capital_ratio > 0.4, FALSE)
   AND NOT coalesce(letter_ratio < 0.3, FALSE) AND NOT coalesce(stop_ratio < 0.02, FALSE)
   AND NOT coalesce(dup_line_ratio > 0.5, FALSE) AND NOT coalesce(bullet_ratio > 0.9, FALSE)
   AND NOT coalesce(ellipsis_ratio > 0.5, FALSE) AS kept
