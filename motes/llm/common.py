@@ -29,3 +29,10 @@ def n_words(text: Column) -> Column:
 def boxed(df: DataFrame, name: str = "row") -> DataFrame:
     """Each row as one struct, so that helper columns can't clash with the caller's."""
     return df.select(F.struct("*").alias(name))
+
+
+def row_and(boxed_row: DataFrame, fields: str, name: str = "row"):
+    """The schema of ``name`` as it is in ``boxed_row``, followed by ``fields`` (DDL)."""
+    from pyspark.sql.types import StructType
+
+    return StructType([boxed_row.schema[name], *StructType.fromDDL(fields).fields])
