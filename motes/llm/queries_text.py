@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from motes.llm.common import table
 from motes.llm.license_scan import license_scan
 from motes.llm.mixing import mixed
+from motes.llm.personal_data import personal_data
 from motes.llm.quality_rules import STOP_WORDS, quality_rules
 from motes.llm.registry import query
 from motes.llm.url_filter import url_filter
@@ -92,8 +94,6 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 @query("op7_mixing", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
-    from pyspark.sql import functions as F
-
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
@@ -142,3 +142,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
