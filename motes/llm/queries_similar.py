@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.llm.common import table
+from motes.llm.exact_substrings import without_repeats
 from motes.llm.near_dedup import near_duplicates
 from motes.llm.registry import query
 
@@ -18,3 +19,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
     )
+
+
+@query("op8_exact_substrings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings that recur."""
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
