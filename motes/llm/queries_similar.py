@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motes.llm.common import table
 from motes.llm.exact_substrings import without_repeats
 from motes.llm.near_dedup import near_duplicates
+from motes.llm.prefix_forest import nearest
 from motes.llm.registry import query
 
 
@@ -26,3 +27,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents without strings that recur."""
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op5_prefix_forest")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth, among all."""
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
