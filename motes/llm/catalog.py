@@ -1,6 +1,6 @@
 """Collects the corpus queries."""
 
-from motes.llm import queries_packing, queries_similar, queries_text  # noqa: F401
+from motes.llm import queries_lm, queries_packing, queries_similar, queries_text  # noqa: F401
 from motes.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
