@@ -1,6 +1,9 @@
 """Collects the corpus queries."""
 
+import corpus_pipeline
 from motes.llm import queries_lm, queries_packing, queries_similar, queries_text  # noqa: F401
 from motes.llm.registry import QUERIES, SQL
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 __all__ = ["QUERIES", "SQL"]
