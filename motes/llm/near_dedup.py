@@ -168,7 +168,7 @@ def _open_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, least:
     named = bands.join(labels, F.col("class") == F.col("id"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
     still = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     blocks = F.ceil(F.col("size") / TILE)
-    rows = named.join(still.filter("lo != hi").select("bucket", blocks.alias("blocks")), "bucket")
+    rows = named.join(checkpointed(still.filter("lo != hi").select("bucket", blocks.alias("blocks"))), "bucket")
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = rows.select(
@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         )
     )
     bands = checkpointed(_banded(classes))
-    heads = bands.groupBy("bucket").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # kept apart from its aggregation, so that a crowded bucket is split in the join
+    heads = checkpointed(bands.groupBy("bucket").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", "a"))
     star = bands.join(heads, "bucket").filter("class != a").select("a", F.col("class").alias("b")).distinct()
     sizes = classes.select("class", "n")
     near = star.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(
