@@ -250,7 +250,10 @@ def lm_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str
     columns = "id long, held_out boolean, digest long, n_tokens long, n_known long, base double, score double"
     scored = docs.select(ident, held.alias("held_out"), digest, body).mapInArrow(score, columns)
     # rows that are equal are counted, so that their other words are added once to each
-    scored = scored.groupBy("id", "held_out", "digest", "n_tokens", "n_known", "base", "score").agg(F.count(F.lit(1)).alias("rows"))
+    # (the network's last digits depend on the texts beside it; one value stands for all)
+    scored = scored.groupBy("id", "held_out", "digest", "n_tokens", "n_known").agg(
+        F.max("base").alias("base"), F.max("score").alias("score"), F.count(F.lit(1)).alias("rows")
+    )
     rest = docs.select(ident, digest, body).mapInArrow(others, "id long, digest long, word binary, times long")
     met = rest.join(counts.filter(F.col("c") <= least), "word")
     added = met.groupBy(F.struct("id", "digest").alias("at")).agg(

@@ -92,7 +92,7 @@ def features(window: str, start: int, end: int) -> np.ndarray:
         [
             1.0,
             not (before.isalnum() or before in ("+", "@", "=", "_", '"') and before != ""),
-            not (after.isalnum() or after in ("@", "_", '"') and after != ""),
+            not (after.isalnum() or after in ("@", "_", '"') and after != "" or after in (".", "-") and window[end + 1 : end + 2].isalnum()),
             s.count("@") == 1,
             at > 0 and "." in s[at:] and s[-1:].isalnum(),
             at > 0 and bool(re.fullmatch(r"[\w.%+-]+", s[:at])),
