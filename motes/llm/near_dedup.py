@@ -102,42 +102,31 @@ def least_estimate(percent: int) -> float:
 
 
 def _sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Of every row: set size, digest of the set and its band keys."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ids, regs = [], [], []
+            sizes, sets, keys = [], [], []
             for value in batch.column(2):
                 hashes = shingle_set(value.as_py(), words)
                 sizes.append(len(hashes))
-                ids.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                regs.append(registers(hashes).tobytes())
+                sets.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                key, used = band_keys(registers(hashes))
+                keys.append(key[used].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary())],
-                names=["id", "digest", "n", "class", "regs"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "digest", "n", "set", "keys"],
             )
 
     one = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).cast("binary").alias("t"))
-    return one.mapInArrow(sketch, "id long, digest long, n long, class binary, regs binary")
-
-
-def _banded(classes: DataFrame) -> DataFrame:
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                regs = np.frombuffer(b"".join(v.as_py() for v in batch.column(1)), np.uint32).reshape(-1, REGISTERS)
-                keys, used = band_keys(regs)
-                row, at = np.nonzero(used)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(keys[row, at].view(np.int64))], names=["class", "bucket"]
-                )
-
-    return classes.filter("n > 0").select("class", "regs").mapInArrow(band, "class binary, bucket long")
+    return one.mapInArrow(sketch, "id long, digest long, n long, set binary, keys array<long>")
 
 
 def _tile_pairs(least: float, best_only: bool):
     """Pairs of different components in a tile (``x``: low block, else high) that may be similar."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids = table["class"].to_pylist()
+        ids = table["class"].to_numpy()
         label = {v: i for i, v in enumerate(dict.fromkeys(table["label"].to_pylist()))}
         comp = np.array([label[v] for v in table["label"].to_pylist()])
         side = np.array(table["side"].to_pylist())
@@ -156,16 +145,15 @@ def _tile_pairs(least: float, best_only: bool):
                 good = good[np.argsort(-value[good], kind="stable")]
                 good = good[np.unique(comp[others[good]], return_index=True)[1]]
             for j in others[good]:
-                a, b = sorted((ids[i], ids[j]))
-                found.add((a, b))
-        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+                found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return pairs
 
 
-def _open_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, least: float, best_only: bool) -> DataFrame:
+def _open_pairs(busy: DataFrame, full: DataFrame, labels: DataFrame, least: float, best_only: bool) -> DataFrame:
     """Pairs of classes that share a bucket but no component yet, by their registers."""
-    named = bands.join(labels, F.col("class") == F.col("id"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
+    named = busy.join(labels, F.col("class") == F.col("id"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
     still = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     blocks = F.ceil(F.col("size") / TILE)
     rows = named.join(checkpointed(still.filter("lo != hi").select("bucket", blocks.alias("blocks"))), "bucket")
@@ -175,23 +163,28 @@ def _open_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, least:
         "bucket", "class", "label",
         F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
-    ).join(classes.select("class", "regs"), "class")
-    return tiles.groupBy("bucket", "x", "y").applyInArrow(_tile_pairs(least, best_only), "a binary, b binary").distinct()
+    ).join(full.select("class", "regs"), "class")
+    return tiles.groupBy("bucket", "x", "y").applyInArrow(_tile_pairs(least, best_only), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = ends.join(classes.select("class", "row"), "class")
+def _full_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``hashes`` of the full set and the registers of each of ``classes`` (class, row)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(v.as_py(), words).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["class", "hashes"])
+            found = [shingle_set(v.as_py(), words) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([registers(f).tobytes() for f in found], pa.binary())],
+                names=["class", "hashes", "regs"],
+            )
 
     row = F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("digest")).alias("row")
-    texts = docs.select(row, F.col(text).cast("binary").alias("t")).join(wanted, "row").select("class", "t")
-    full = checkpointed(texts.mapInArrow(sets, "class binary, hashes binary").dropDuplicates(["class"]))
+    texts = docs.select(row, F.col(text).cast("binary").alias("t")).join(classes, "row").select("class", "t")
+    return texts.mapInArrow(sets, "class long, hashes binary, regs binary").dropDuplicates(["class"])
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +197,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
 
     met = pairs.join(full.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
     met = met.join(full.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
-    return met.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -216,37 +209,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     part; they get null where no id can be reached. An empty table gives an empty one.
     """
     rows = checkpointed(_sketches(docs, key, text, words))
-    classes = checkpointed(
-        rows.groupBy("class").agg(
-            F.min("id").alias("low"),
-            F.min(F.struct("id", "digest")).alias("row"),
-            F.max("n").alias("n"),
-            F.max("regs").alias("regs"),
-        )
+    classes = rows.groupBy("set").agg(
+        F.min("id").alias("low"), F.min(F.struct("id", "digest")).alias("row"), F.max("n").alias("n"), F.max("keys").alias("keys")
     )
-    bands = checkpointed(_banded(classes))
+    # kept with the classes, so that each has one number from here on
+    classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
+    bands = classes.select("class", "n", F.explode("keys").alias("bucket"))
     # kept apart from its aggregation, so that a crowded bucket is split in the join
-    heads = checkpointed(bands.groupBy("bucket").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", "a"))
-    star = bands.join(heads, "bucket").filter("class != a").select("a", F.col("class").alias("b")).distinct()
-    sizes = classes.select("class", "n")
-    near = star.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b"
-    )
+    heads = bands.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("head"), F.count(F.lit(1)).alias("size"))
+    heads = checkpointed(heads.filter("size > 1").select("bucket", "head"))
+    busy = checkpointed(bands.join(heads, "bucket").select("bucket", "class", "n", "head"))
     # sets of too different sizes can't be similar
-    star = near.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    links = checkpointed(_verified(checkpointed(star), classes, docs, key, text, words, percent))
+    near = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
+    star = busy.filter((F.col("class") != F.col("head.class")) & near).select(F.col("head.class").alias("a"), F.col("class").alias("b"))
+    star = checkpointed(star.distinct())
+    shared = busy.select("class").distinct().join(classes.select("class", "row"), "class")
+    full = checkpointed(_full_sets(shared, docs, key, text, words))
+    links = checkpointed(_verified(star, full, percent))
     labels = components(links)
     least = least_estimate(percent)
     for best_only in (True, False):
-        more = checkpointed(_open_pairs(bands, classes, labels, least, best_only))
+        more = checkpointed(_open_pairs(busy, full, labels, least, best_only))
         if more.isEmpty():
             break
-        links = checkpointed(links.union(_verified(more, classes, docs, key, text, words, percent)))
+        links = checkpointed(links.union(_verified(more, full, percent)))
         labels = components(links)
-    named = classes.join(labels, F.col("class") == F.col("id"), "left").select("class", "low", "n", F.coalesce("label", "class").alias("label"))
+    named = classes.join(labels, F.col("class") == F.col("id"), "left").select("set", "low", "n", F.coalesce("label", "class").alias("label"))
     lowest = named.filter("n > 0").groupBy("label").agg(F.min("low").alias("component"))
-    found = named.join(lowest, "label", "left").select("class", "component")
-    return rows.join(found, "class").select("id", "digest", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    found = named.join(lowest, "label", "left").select("set", "component")
+    return rows.select("id", "digest", "n", "set").join(found, "set").select(
+        "id", "digest", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")
+    )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
