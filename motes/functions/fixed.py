@@ -11,6 +11,9 @@ TILT_LIMIT = 1.570796
 WAVELENGTH = 12.2643247
 RELATIVISTIC = 0.978466e-6
 
+# Unit of the spherical aberration in the unit of lengths.
+ANGSTROM_PER_MM = 1e7
+
 # Largest amplitude contrast that still has a finite phase.
 MAX_AMPLITUDE_CONTRAST = 0.999999
 
@@ -29,26 +32,6 @@ STEP_PHASES = [
 # Words read as true, in any case.
 TRUE_WORDS = ["true", "t", "yes", "y", "1", "on"]
 
-# Columns of a master particle table, in file order.
-PARTICLE_COLUMNS = [
-    "_rlnTomoName",
-    "_rlnTomoParticleName",
-    "_rlnTomoParticleId",
-    "_rlnCenteredCoordinateXAngst",
-    "_rlnCenteredCoordinateYAngst",
-    "_rlnCenteredCoordinateZAngst",
-    "_rlnOriginXAngst",
-    "_rlnOriginYAngst",
-    "_rlnOriginZAngst",
-    "_rlnTomoSubtomogramRot",
-    "_rlnTomoSubtomogramTilt",
-    "_rlnTomoSubtomogramPsi",
-    "_rlnAngleRot",
-    "_rlnAngleTilt",
-    "_rlnAnglePsi",
-    "_rlnOpticsGroup",
-]
-
 # Optics columns of a master particle table, in file order.
 OPTICS_COLUMNS = [
     "_rlnOpticsGroup",
@@ -59,38 +42,5 @@ OPTICS_COLUMNS = [
     "_rlnAmplitudeContrast",
 ]
 
-# Columns a tomogram row must have.
-TOMOGRAM_REQUIRED = [
-    "_rlnTomoName",
-    "_rlnTomoTiltSeriesStarFile",
-    "_rlnTomoSizeX",
-    "_rlnTomoSizeY",
-    "_rlnTomoSizeZ",
-    "_rlnTomoTiltSeriesPixelSize",
-    "_rlnTomoTomogramBinning",
-    "_rlnTomoReconstructedTomogram",
-]
-
 # Pixel types of a binary stack by mode number.
 STACK_MODES = {0: "int8", 1: "int16", 2: "float32", 6: "uint16", 12: "float16"}
-
-# Columns that hold whole numbers in a particle table; other numeric columns are doubles.
-INTEGER_COLUMNS = [
-    "_rlnOpticsGroup",
-    "_rlnImageSize",
-    "_rlnImageDimensionality",
-    "_rlnClassNumber",
-    "_rlnRandomSubset",
-    "_rlnTomoParticleId",
-]
-
-# Column groups that can be taken over from a template.
-COLUMN_GROUPS = {
-    "class": ["_rlnClassNumber"],
-    "angles": ["_rlnAngleRot", "_rlnAngleTilt", "_rlnAnglePsi"],
-    "euler": ["_rlnAngleRot", "_rlnAngleTilt"],
-    "psi": ["_rlnAnglePsi"],
-    "origin": ["_rlnOriginXAngst", "_rlnOriginYAngst"],
-    "ctf": ["_rlnDefocusU", "_rlnDefocusV", "_rlnDefocusAngle"],
-    "subset": ["_rlnRandomSubset"],
-}

@@ -90,8 +90,25 @@ def last_parts(path: Column, depth: int) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Drop ``./`` parts and doubled slashes."""
-    return F.regexp_replace(F.regexp_replace(path, r"/+(\./+)*", "/"), r"^(\./+)+", "")
+    """Drop ``.`` parts and doubled slashes, and let ``..`` take back the part before it.
+
+    A relative path keeps the ``..`` that lead above its start; an absolute one has none
+    above its root. What is left empty is ``.``; a slash at the end stays.
+    """
+    rooted = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        back = F.when(last.isNull(), F.when(rooted, kept).otherwise(F.array_append(kept, part))).when(
+            last == "..", F.array_append(kept, part)
+        )
+        shorter = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", back.otherwise(shorter)).otherwise(F.array_append(kept, part))
+
+    plain = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    plain = F.when(path.endswith("/") & (plain != ""), F.concat(plain, F.lit("/"))).otherwise(plain)
+    return F.when(rooted, F.concat(F.lit("/"), plain)).when((plain == "") & (path != ""), ".").otherwise(plain)
 
 
 def is_true_word(word: Column) -> Column:

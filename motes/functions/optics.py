@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from motes.functions.fixed import MAX_AMPLITUDE_CONTRAST, RELATIVISTIC, WAVELENGTH
+from motes.functions.fixed import ANGSTROM_PER_MM, MAX_AMPLITUDE_CONTRAST, RELATIVISTIC, WAVELENGTH
 
 
 def finite(value: Column) -> Column:
@@ -15,6 +15,23 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
+def _wavelength(voltage: Column) -> Column:
+    """Of an electron, in A; the voltage in kV."""
+    volts = voltage * 1000
+    return F.lit(WAVELENGTH) / F.sqrt(volts + F.lit(RELATIVISTIC) * volts * volts)
+
+
+def _defocus_times_square(fx: Column, fy: Column, u: Column, v: Column, angle: Column) -> Column:
+    """Defocus along a frequency's direction times its squared length.
+
+    The two defoci are the principal values of a quadratic form turned by ``angle`` degrees, so no
+    direction needs to be taken.
+    """
+    turn = F.radians(angle)
+    along, across = fx * F.cos(turn) + fy * F.sin(turn), fy * F.cos(turn) - fx * F.sin(turn)
+    return u * along * along + v * across * across
+
+
 def contrast_transfer(
     fx: Column,
     fy: Column,
@@ -28,20 +45,16 @@ def contrast_transfer(
     amplitude_contrast: Column,
 ) -> Column:
     """Transfer value at a frequency in 1/A: kV, A, degrees and mm in, 1 for unusable optics."""
-    volts = voltage * 1e3
-    lam = F.lit(WAVELENGTH) / F.sqrt(volts * (1 + volts * F.lit(RELATIVISTIC)))
-    k1 = F.lit(math.pi) * lam
-    k2 = F.lit(math.pi / 2) * (aberration * 1e7) * lam * lam * lam
-    ac = F.greatest(F.lit(0.0), F.least(amplitude_contrast, F.lit(MAX_AMPLITUDE_CONTRAST)))
-    k3 = F.atan(ac / F.sqrt(1 - ac * ac))
-    k4 = -F.greatest(bfactor, F.lit(0.0)) / 4
-    k5 = phase_shift * F.lit(math.pi) / 180
-    u2 = fx * fx + fy * fy
-    angle = F.atan2(fy, fx) - defocus_angle * F.lit(math.pi) / 180
-    focus = -(defocus_u + defocus_v) / 2 - (defocus_u - defocus_v) / 2 * F.cos(2 * angle)
-    value = -F.sin(k1 * focus * u2 + k2 * u2 * u2 - k5 - k3) * F.exp(k4 * u2)
+    square = fx * fx + fy * fy
+    wave = _wavelength(voltage)
+    # path lengths against the unscattered wave: out of focus one way, aberration the other
+    focus = wave * _defocus_times_square(fx, fy, defocus_u, defocus_v, defocus_angle)
+    bend = 0.5 * (aberration * F.lit(ANGSTROM_PER_MM)) * wave * wave * wave * square * square
+    share = F.least(F.greatest(amplitude_contrast, F.lit(0.0)), F.lit(MAX_AMPLITUDE_CONTRAST))
+    phase = F.lit(math.pi) * (focus - bend) + F.radians(phase_shift) + F.asin(share)
+    envelope = F.exp(-0.25 * F.greatest(bfactor, F.lit(0.0)) * square)
     usable = finite(voltage) & (voltage > 0) & finite(bfactor) & finite(amplitude_contrast)
-    return F.when(usable, value).otherwise(F.lit(1.0))
+    return F.when(usable, F.sin(phase) * envelope).otherwise(F.lit(1.0))
 
 
 def transfer_weight(value: Column, mode: str, tau: float = 0.0) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motes.functions.angles import matrix_from_zyz
-from motes.session import written
+from motes.session import checkpointed
 
 K = ("kz", "ky", "kx")
 
@@ -223,14 +223,14 @@ def half_map_quality(first: DataFrame, second: DataFrame, keys: Sequence[str], s
 
     keys = list(keys)
     curve = shell_correlation(first, second, keys, bins, size, pixel).filter("fsc is not null and frequency > 0")
-    curve = written(curve, "curve")  # a few rows per pair, read four times below
+    curve = checkpointed(curve)  # a few rows per pair, read four times below
     nyquist = 0.5 / pixel
     cross = threshold_crossing(curve, keys, "frequency", "fsc", threshold, "shell").select(*keys, F.col("frequency").alias("_f"))
     above = curve.groupBy(*keys).agg(
         F.max(F.when(F.col("fsc") > threshold, F.col("frequency"))).alias("_above"), F.max("frequency").alias("_last")
     )
     cut = above.join(cross, keys, "left").select(*keys, F.coalesce("_f", "_above", "_last").alias("_res"))
-    cut = written(cut.withColumn("_cut", F.least("_res", F.lit(nyquist))), "cut")
+    cut = checkpointed(cut.withColumn("_cut", F.least("_res", F.lit(nyquist))))
     f2 = F.col("frequency") * F.col("frequency")
     inside = F.col("frequency") <= F.col("_cut")
     score = curve.join(cut, keys).groupBy(*keys, "_res", "_cut").agg(

@@ -11,18 +11,18 @@ Two ways of cutting are used: by ranges of an integer row number (``position``,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StringType
 
 # Row numbers per chunk: the most rows a task sorts for one group and chunk.
 CHUNK_ROWS = 1 << 20
-# Below this many rows in total a plain window cannot overload a task.
-WHOLE_ROWS = 2_000_000
-# Most quantile splitters used to cut a value range, and the rows aimed at between two.
-MOST_SPLITS = 4095
-ROWS_PER_SPLIT = 500_000
+# Rows aimed at between two cut points of a value range, and sampled values per cut point.
+ROWS_PER_SPLIT = 2_000_000
+SAMPLED_PER_SPLIT = 16
 
 
 def group_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -125,11 +125,22 @@ def running(
     return joined.withColumns(result).drop("_chunk", "_key", *helpers)
 
 
-def count_at_most(value: Column, edges: Sequence[float]) -> Column:
-    """How many of the ascending ``edges`` are at most ``value``, by binary search."""
+def _constant(values: Sequence, kind: DataType) -> Column:
+    """One constant array in the type of the column, instead of thousands of literals."""
+    texts = [repr(v) if isinstance(v, float) else str(v) for v in values]
+    return F.from_json(F.lit(json.dumps(texts)), ArrayType(StringType())).cast(ArrayType(kind))
+
+
+def count_at_most(value: Column, edges: Sequence, kind: DataType | None = None) -> Column:
+    """How many of the ascending ``edges`` are at most ``value``, by binary search.
+
+    ``kind`` is the type in which values compare; double by default.
+    """
+    kind = kind or DoubleType()
     n = len(edges)
-    # one constant array instead of thousands of literals
-    table = F.split(F.lit(",".join(repr(float(e)) for e in edges)), ",").cast("array<double>")
+    if not n:
+        return F.lit(0)
+    table = _constant([float(e) for e in edges] if isinstance(kind, DoubleType) else edges, kind)
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
     return F.aggregate(
         steps,
@@ -148,30 +159,38 @@ def _carried(outputs, totals, outer, before) -> list[Column]:
     ]
 
 
-def _with_bin(df: DataFrame, by: str, edges: Sequence[float], out: str) -> DataFrame:
-    """Add an ordered bin number: even between two edges, odd on an edge itself, -1 for NULL."""
-    value = F.col(by).cast("double")
-    table = F.split(F.lit(",".join(repr(float(e)) for e in edges)), ",").cast("array<double>")
+def _is_nan(df: DataFrame, by: str) -> Column:
+    floating = isinstance(df.schema[by].dataType, (DoubleType, FloatType))
+    return F.coalesce(F.isnan(by), F.lit(False)) if floating else F.lit(False)
+
+
+def _with_bin(df: DataFrame, by: str, edges: Sequence, out: str) -> DataFrame:
+    """Add an ordered bin number: even between two edges, odd where all values are equal, which
+    are those on an edge, NULL (-1) and NaN (the last)."""
+    value, kind = F.col(by), df.schema[by].dataType
     k = F.col("_k")
-    on_edge = (k > 0) & (F.element_at(table, F.greatest(k, F.lit(1))) == value)
-    placed = F.when(value.isNull(), F.lit(-1)).when(on_edge, 2 * k - 1).otherwise(2 * k)
-    return df.withColumn("_k", count_at_most(value, edges)).withColumn(out, placed.cast("bigint")).drop("_k")
+    placed = F.when(value.isNull(), F.lit(-1)).when(_is_nan(df, by), F.lit(2 * len(edges) + 1))
+    if edges:
+        on_edge = (k > 0) & (F.element_at(_constant(edges, kind), F.greatest(k, F.lit(1))) == value)
+        placed = placed.when(on_edge, 2 * k - 1)
+    placed = placed.otherwise(2 * k)
+    return df.withColumn("_k", count_at_most(value, edges, kind)).withColumn(out, placed.cast("bigint")).drop("_k")
 
 
-def splitters(df: DataFrame, by: str, whole_rows: int = WHOLE_ROWS, splits: int | None = None) -> list[float]:
-    """Quantiles of ``by``; empty when the table is small enough for a plain window.
+def splitters(df: DataFrame, by: str, splits: int | None = None) -> list:
+    """Values of ``by``, in its own type, that cut the table into pieces of bounded size.
 
-    A count, and for large tables one mergeable sketch; only ``splits`` numbers reach the
-    driver. Call it on the table before costly steps and hand the result to ``ranked`` as
-    ``cuts``.
+    As many as the row count asks for, so a small table is one piece; a count, and for
+    more than one piece a sample of a few values per cut. They only spread the work: a rank does
+    not depend on them.
     """
     rows = df.count()
-    if rows <= whole_rows:
+    splits = splits or rows // ROWS_PER_SPLIT
+    if not splits:
         return []
-    splits = splits or min(MOST_SPLITS, max(15, rows // ROWS_PER_SPLIT))
-    probs = [(i + 1) / (splits + 1) for i in range(splits)]
-    found = df.agg(F.percentile_approx(F.col(by).cast("double"), probs, 10_000).alias("q")).first()["q"]
-    return sorted({q for q in (found or []) if q == q})
+    values = df.select(by).filter(F.col(by).isNotNull() & ~_is_nan(df, by))
+    found = sorted(r[0] for r in values.sample(min(1.0, SAMPLED_PER_SPLIT * splits / rows), seed=1).collect())
+    return sorted({found[len(found) * (i + 1) // (splits + 1)] for i in range(splits)}) if found else []
 
 
 def ranked(
@@ -181,33 +200,23 @@ def ranked(
     tie: str = "_row",
     descending: bool = False,
     out: str = "_rank",
-    cuts: Sequence[float] | None = None,
-    whole_rows: int = WHOLE_ROWS,
+    cuts: Sequence | None = None,
     splits: int | None = None,
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """0-based rank per group by ``by``, ties by the unique integer ``tie`` ascending.
 
-    Equals ``row_number() - 1``. NULLs come first ascending and last descending. A large
-    table is cut at quantiles of ``by``; a value that fills a whole quantile is cut further
-    by ``tie``. ``cuts`` gives the cutting values when they are known beforehand; an empty
-    list asks for the plain window of a small table.
+    Equals ``row_number() - 1``. NULLs come first ascending and last descending. The table is
+    cut at values of ``by``, compared in its own type; a value that fills a whole piece is
+    cut further by ``tie``. ``cuts`` gives the cutting values when they are known beforehand.
     """
     order = F.col(by).desc() if descending else F.col(by).asc()
     if cuts is None:
-        cuts = splitters(df, by, whole_rows, splits)
-    if not cuts:
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order, F.col(tie))
-        return df.withColumn(out, F.row_number().over(w).cast("bigint") - 1)
-
+        cuts = splitters(df, by, splits)
     df, keys = group_key(df, keys)
     base = _with_bin(df, by, cuts, "_bin")
-    if descending:
-        base = base.withColumn("_bin", -F.col("_bin"))
-    base = base.withColumn(
-        "_sub",
-        F.when(F.col("_bin") % 2 == 0, F.lit(0)).otherwise(F.floor(F.col(tie) / F.lit(chunk))).cast("bigint"),
-    )
+    equal = F.col("_bin") % 2 != 0
+    base = base.withColumns({"_sub": F.when(equal, F.floor(F.col(tie) / F.lit(chunk))).otherwise(F.lit(0)).cast("bigint"), "_bin": -F.col("_bin") if descending else F.col("_bin")})
     cells = [*keys, "_bin", "_sub"]
     inner = Window.partitionBy(*cells).orderBy(order, F.col(tie))
     before = (
@@ -232,8 +241,7 @@ def value_counts(
     df: DataFrame,
     keys: Sequence[str],
     by: str,
-    cuts: Sequence[float] | None = None,
-    whole_rows: int = WHOLE_ROWS,
+    cuts: Sequence | None = None,
     splits: int | None = None,
 ) -> DataFrame:
     """Distinct values per group with ``_n`` copies, ``_before`` smaller rows and the group's
@@ -245,13 +253,7 @@ def value_counts(
     keys = list(keys)
     counts = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
     if cuts is None:
-        cuts = splitters(df, by, whole_rows, splits)
-    if not cuts:
-        group = Window.partitionBy(*(keys or [F.lit(0)]))
-        before = group.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
-            "_total", F.sum("_n").over(group)
-        )
+        cuts = splitters(df, by, splits)
     counts, keys = group_key(counts, keys)
     base = _with_bin(counts, by, cuts, "_bin")
     cells = [*keys, "_bin"]

@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motes.operators.ordered import WHOLE_ROWS, count_at_most, position, ranked, splitters
+from motes.operators.ordered import count_at_most, position, ranked, splitters
 from motes.operators.views import nearest_view
-from motes.session import written
+from motes.session import checkpointed
 
 RANK_COLUMN = re.compile(r".*_norm\d+$")
 
@@ -53,14 +53,11 @@ def equalised_rank(
     split = F.when(F.col(half) == 1, F.lit(1)).otherwise(F.lit(2)) if half else F.lit(1)
     # cut points come from the input, before the costlier steps
     cuts = cutting.pop("cuts", None)
-    cuts = splitters(particles, score, **cutting) if cuts is None else cuts
+    cuts = splitters(particles, score, cutting.pop("splits", None)) if cuts is None else cuts
     placed = nearest_view(particles.withColumn("_half", split), views, rot, tilt, "view", compat)
-    if not cuts:
-        return _rank_small(placed, score, normalise, out)
-
-    layered = written(layer_in_view(placed, ["_half", "view"], score, cuts=cuts, **cutting), "layers")
+    layered = checkpointed(layer_in_view(placed, ["_half", "view"], score, cuts=cuts, **cutting))
     sizes = layered.groupBy("_half", "view").agg(F.count(F.lit(1)).alias("_m"), F.max(score).alias("_best"))
-    sizes = written(sizes, "views")
+    sizes = checkpointed(sizes)
     # one row per half and view, so it fits the driver and every executor
     counts: dict[int, list[int]] = {}
     for row in sizes.select("_half", "_m").collect():
@@ -108,26 +105,6 @@ def _norm_score(score: str, normalise: bool):
     return F.when((F.col("_best") > 0) & (F.col("layer") > 0), F.col(score) / F.col("_best")).otherwise(F.col(score))
 
 
-def _rank_small(placed: DataFrame, score: str, normalise: bool, out: str) -> DataFrame:
-    """The same ranking with plain windows, for tables that a single task can sort."""
-    view = Window.partitionBy("_half", "view")
-    half = Window.partitionBy("_half")
-    return (
-        placed.withColumn("layer", F.row_number().over(view.orderBy(F.col(score).desc(), F.col("_row"))).cast("bigint") - 1)
-        .withColumn("_best", F.max(score).over(view))
-        .withColumn("norm_score", _norm_score(score, normalise))
-        .withColumn("_turn", F.row_number().over(half.orderBy("layer", F.col("norm_score").desc(), "view")))
-        .withColumn(out, (F.col("_turn") - 1) / F.count(F.lit(1)).over(half))
-        .drop("_best", "_turn", "_half")
-    )
-
-
-def even_cuts(rows: int) -> list[float]:
-    """Cut points of a rank spread evenly over [0, 1), none for a small table."""
-    parts = min(512, rows // WHOLE_ROWS * 2)
-    return [i / parts for i in range(1, parts)]
-
-
 def select_ranked(
     df: DataFrame,
     n: int,
@@ -206,10 +183,6 @@ def assign_ids(new: DataFrame, existing_names, prefix: str = "P", start: int = 1
 def last_rows(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
     """The last ``n`` rows per group by a unique integer ``order``.
 
-    For a short tail each task keeps only ``n`` rows per group before the shuffle; a long
-    one is ranked in pieces.
+    Ranked in pieces, so that neither a crowded group nor a long tail meets in one task.
     """
-    if n > 1000:  # beyond this Spark does not cut groups before the shuffle
-        return ranked(df, keys, order, tie=order, descending=True, out="_rn").filter(F.col("_rn") < n).drop("_rn")
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return ranked(df, keys, order, tie=order, descending=True, out="_rn").filter(F.col("_rn") < n).drop("_rn")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motes.operators.ordered import join_on_keys, position
-from motes.session import written
+from motes.session import checkpointed
 
 PACK = 256
 PACK_BYTES = 32 << 20
@@ -110,13 +110,23 @@ def weighted_correlation(df: DataFrame, keys: Sequence[str], a="a", b="b", weigh
 # --- structural score ------------------------------------------------------
 
 
-def _soft_ncc(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    total = w.sum((1, 2))
-    safe = np.where(total > 0, total, 1.0)[:, None, None]
-    a0 = a - (w * a).sum((1, 2), keepdims=True) / safe
-    b0 = b - (w * b).sum((1, 2), keepdims=True) / safe
-    cc = (w * a0 * b0).sum((1, 2)) / (np.sqrt((w * a0 * a0).sum((1, 2)) * (w * b0 * b0).sum((1, 2))) + 1e-12)
-    return np.where((total > 0) & np.isfinite(cc), np.maximum(cc, 0.0), 0.0)
+def _weighted_moments(images: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total weights, and weighted sums of products of centred images (2 x 2 per pair).
+
+    ``images`` holds both members of every pair: (member, pair, y, x).
+    """
+    total = np.einsum("nyx->n", weights)
+    mean = np.einsum("knyx,nyx->kn", images, weights) / np.where(total > 0, total, 1.0)
+    centred = images - mean[:, :, None, None]
+    return total, np.einsum("inyx,jnyx,nyx->nij", centred, centred, weights)
+
+
+def _masked_agreement(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Correlation of each pair under its mask, 0 where it is negative or undefined."""
+    total, moments = _weighted_moments(np.stack([a, b]), weights)
+    spread = np.sqrt(moments[:, 0, 0] * moments[:, 1, 1]) + 1e-12
+    value = np.clip(np.nan_to_num(moments[:, 0, 1] / spread, nan=0.0, posinf=0.0, neginf=0.0), 0.0, None)
+    return value * (total > 0)
 
 
 def structural_score(df: DataFrame, ny: int, nx: int, sigma: float = 1.0, key: str = "id", image="px", reference="ref", mask="w") -> DataFrame:
@@ -140,11 +150,11 @@ def structural_score(df: DataFrame, ny: int, nx: int, sigma: float = 1.0, key: s
             mean = (ma + mb) / 2
             a = np.fft.ifft2(fa * mean / ma).real.astype(np.float32)
             b = np.fft.ifft2(fb * mean / mb).real.astype(np.float32)
-            score = _soft_ncc(a.astype(np.float64), b.astype(np.float64), w)
+            score = _masked_agreement(a.astype(np.float64), b.astype(np.float64), w)
             fa, fb = np.fft.fft2(a), np.fft.fft2(b)
             for h in filters:
                 pair = [np.fft.ifft2(h * f).real.astype(np.float32).astype(np.float64) for f in (fa, fb)]
-                score = score * _soft_ncc(*pair, w)
+                score = score * _masked_agreement(*pair, w)
             yield pd.DataFrame({key: part[key], "score": score})
 
     kind = df.schema[key].dataType.simpleString()
@@ -218,73 +228,40 @@ def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pa
     return out
 
 
-def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots: int | None = None, pack: int | None = None) -> DataFrame:
-    """For every image the other image with the highest positive correlation.
+def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", group: Sequence[str] = (), pack: int | None = None) -> DataFrame:
+    """For every image the other image of its ``group`` with the highest positive correlation.
 
-    Exact, without comparing all pairs. Copies of an image, however many, are merged first
-    and point to each other (the lowest id, whose partner is the second lowest). Different
-    images are unit vectors, so the highest correlation is the smallest distance. Each
-    belongs to the cell of its nearest pivot. The distance to the nearest pivot (not
-    counting itself) bounds how far the best partner can be, and only cells that reach
-    within that distance are searched. The search multiplies packs of at most ``pack``
-    images; a cell of any size is many packs.
+    Exact: within a group (a view, a class, a stack) all pairs of different images are multiplied, pack by
+    pack, so the work grows with the square of the largest group; without groups it is an
+    all-pairs job. Copies of an image, however many, are merged first and point to each
+    other (the lowest id, whose partner is the second lowest). Each pack is sent once to
+    every pack of its group, itself included, so no task holds more than two packs.
     """
     pack = pack or _pack_size(images, pixels)
-    if pivots is None:
-        # cells of several packs, and no more pivots than the driver holds easily
-        pivots = min(1024, max(4, images.count() // (4 * pack)))
+    group = list(group)
     kind = images.schema[key].dataType.simpleString()
-    units = written(_unit(images, key, pixels).filter("print is not null"), "units")
-
-    groups = units.groupBy("print").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    repeated = groups.filter("_n > 1").drop("_n")
-    copies = units.select(key, "print").join(repeated, "print")
-    second = copies.filter(F.col(key) != F.col("_first")).groupBy("print").agg(F.min(key).alias("_second"))
-    twins = copies.join(second, "print").select(
+    units = _unit(images, key, pixels).filter("print is not null")
+    if group:
+        units = units.join(images.select(key, *group), key)
+    units = checkpointed(units)
+    same = [*group, "print"]
+
+    groups = units.groupBy(*same).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    copies = join_on_keys(units.select(key, *same), groups.filter("_n > 1").drop("_n"), same, "inner")
+    second = copies.filter(F.col(key) != F.col("_first")).groupBy(*same).agg(F.min(key).alias("_second"))
+    twins = join_on_keys(copies, second, same, "inner").select(
         key, F.when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("similar"), F.lit(1.0).alias("cc")
     )
 
-    singles = units.join(groups.select(F.col("_first").alias(key), (F.col("_n") == 1).alias("alone")), key).select(key, "u", "alone")
-    # a fixed number of pivots, the same on every run, so the driver holds a bounded array
-    chosen = singles.select(key, "u").orderBy(F.md5(F.col(key).cast("string"))).limit(pivots).collect()
-    if not chosen:
-        return images.select(key, F.lit(None).cast(kind).alias("similar"), F.lit(0.0).alias("cc"))
-    centre = np.array([r["u"] for r in chosen])
-    names = np.array([r[key] for r in chosen])
-
-    def distances(part: pd.DataFrame) -> np.ndarray:
-        return np.sqrt(np.maximum(2 - 2 * (np.stack(part["u"].to_numpy()) @ centre.T), 0.0))
-
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                d = distances(part)
-                cell = d.argmin(1)
-                yield part.assign(cell=cell, d=d[np.arange(len(part)), cell])
-
-    placed = written(singles.mapInPandas(place, f"{key} {kind}, u array<double>, alone boolean, cell int, d double"), "cells")
-    # one row per pivot: how far a cell reaches and how many packs it fills
-    cells = placed.groupBy("cell").agg(F.max("d").alias("reach"), F.ceil(F.count(F.lit(1)) / pack).cast("bigint").alias("packs"))
-    reach = np.full(len(names), -np.inf)
-    for r in cells.collect():
-        reach[r["cell"]] = r["reach"]
-
-    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                d = distances(part)
-                own = part[key].to_numpy()[:, None] == names[None, :]
-                bound = np.where(own, np.inf, d).min(1)
-                row, cell = np.nonzero(d - reach[None, :] <= bound[:, None] + MARGIN)
-                yield pd.DataFrame({key: part[key].to_numpy()[row], "u": part["u"].to_numpy()[row], "cell": cell.astype(np.int32)})
-
-    asked = placed.filter("alone").select(key, "u").mapInPandas(ask, f"{key} {kind}, u array<double>, cell int")
-    members = _packs(placed.select(key, "u", "cell"), key, ["cell"], pack)
-    queries = _packs(asked, key, ["cell"], pack).join(F.broadcast(cells.select("cell", "packs")), "cell")
-    # a cell's packs are spread over the cluster: each pair of packs meets on (cell, pack)
-    pairs = queries.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("packs") - 1))).join(
-        members.select("cell", F.col("pack").alias("_to"), F.col("ids").alias("ids2"), F.col("us").alias("us2")), ["cell", "_to"]
-    )
+    singles = units.join(groups.select(F.col("_first").alias(key), (F.col("_n") == 1).alias("alone")), key)
+    packs = checkpointed(_packs(singles.select(key, "u", *group), key, group, pack))
+    if group:
+        asking = join_on_keys(packs, packs.groupBy(*group).agg(F.max("pack").alias("_last")), group, "inner")
+    else:
+        asking = packs.withColumn("_last", packs.agg(F.max("pack")).scalar())
+    tiles = asking.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))))
+    members = packs.select(*group, F.col("pack").alias("_to"), F.col("ids").alias("ids2"), F.col("us").alias("us2"))
+    pairs = join_on_keys(tiles, members, [*group, "_to"], "inner")
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -298,6 +275,7 @@ def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", pivots:
                 yield pd.DataFrame({key: i, "similar": j[best], "cc": cc[np.arange(len(i)), best]})
 
     found = pairs.select("ids", "us", "ids2", "us2").mapInPandas(search, f"{key} {kind}, similar {kind}, cc double")
+    found = found.join(singles.filter("alone").select(key), key)
     best = found.filter("cc > 0").groupBy(key).agg(F.max(F.struct("cc", (-F.col("similar")).alias("s"))).alias("_b"))
     picked = best.select(key, (-F.col("_b.s")).alias("similar"), F.col("_b.cc").alias("cc")).unionByName(twins)
     return images.select(key).join(picked, key, "left").withColumn("cc", F.coalesce("cc", F.lit(0.0)))

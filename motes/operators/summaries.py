@@ -137,7 +137,7 @@ def best_class(df: DataFrame, columns: Sequence[str] | None = None, out: str = "
     Columns default to those whose name ends in ``_class<number>``. Missing and NaN
     scores are skipped.
     """
-    numbered = {c: int(m.group(1)) for c in (columns or df.columns) if (m := re.search(r"class(\d+)$", c))}
+    numbered = {c: int(m.group(1)) for c in (columns or df.columns) if (m := re.search(r"(?:^|_)class(\d+)$", c))}
     if not numbered:
         raise ValueError("no column ends in class<number>")
     scores = {c: F.nullif(F.nanvl(F.col(c).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf"))) for c in numbered}

@@ -53,7 +53,7 @@ def _candidates(count: int, compat: bool) -> pa.Table:
     rot, tilt = np.meshgrid(centre, centre, indexing="ij")
     cells = _points(rot.ravel(), tilt.ravel(), compat)
     gap = np.sqrt(((cells[:, None, :] - at[None, :, :]) ** 2).sum(-1))
-    reach = math.radians(CELL / 2) * (1 + math.sqrt(2)) * (1 + 1e-9)
+    reach = math.radians(CELL / 2) * (1 + math.sqrt(2)) * (1 + 1e-6)
     near = gap <= gap.min(1, keepdims=True) + 2 * reach
     cell, view = np.nonzero(near)
     lists = pa.ListArray.from_arrays(
@@ -79,7 +79,7 @@ def nearest_view(
     out: str = "view",
     compat: bool = True,
 ) -> DataFrame:
-    """Nearest even view of each particle, lowest number on ties.
+    """Nearest even view of each particle, lowest number on ties; NULL where an angle is.
 
     Looks up the few views that can win in the particle's angle cell; the lookup table has
     a fixed size, so broadcasting it is safe at any number of particles.
@@ -88,7 +88,9 @@ def nearest_view(
     x, y, z = direction(F.col(rot), F.col(tilt), compat)
 
     def cell(angle: str):
-        return F.least(F.floor(wrapped(F.col(angle)) / CELL), F.lit(side - 1)).cast("int")
+        at = F.floor(wrapped(F.col(angle)) / CELL)
+        # least() would skip a NULL angle, which has no view
+        return F.when(at.isNotNull(), F.least(at, F.lit(side - 1))).cast("int")
 
     placed = particles.withColumns({"_rc": cell(rot), "_tc": cell(tilt), "_x": x, "_y": y, "_z": z})
     joined = placed.join(F.broadcast(_lookup(particles.sparkSession, count, compat)), ["_rc", "_tc"], "left")

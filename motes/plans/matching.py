@@ -273,13 +273,13 @@ def best_refinement(spark, sf_dir):
 
 @query(
     "j21_gather_slices",
-    """WITH w AS (SELECT o_orderkey AS _row, o_custkey % 500 AS v FROM orders)
+    """WITH w AS (SELECT o_orderkey AS _row, o_custkey % (SELECT count(*) FROM embeddings) AS v FROM orders)
     SELECT _row, lpad(CAST(row_number() OVER (ORDER BY _row) AS VARCHAR), 6, '0') || '@out.mrcs' AS image,
       lpad(CAST(vec_id // 10 + 1 AS VARCHAR), 6, '0') || '@s' || CAST(vec_id % 10 AS VARCHAR) AS source_image, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 5) AS total
     FROM w JOIN embeddings ON v = vec_id""",
 )
 def gather_slices(spark, sf_dir):
-    v = F.col("o_custkey") % 500
+    v = F.col("o_custkey") % table(spark, sf_dir, "embeddings").count()
     want = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("_row"), F.concat(F.lit("s"), (v % 10).cast("string")).alias("stack"), (F.floor(v / 10) + 1).cast("int").alias("image_no")
     )

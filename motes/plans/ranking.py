@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motes.operators import ranking, views
+from motes.operators.ordered import ROWS_PER_SPLIT
 from motes.plans.registry import query
 from motes.plans.standins import PARTICLES, VIEW_COUNT, VIEWS, particles, table, with_
 
@@ -23,6 +24,12 @@ BY_HALF = "grouped AS (SELECT *, CASE WHEN subset = 1 THEN 1 ELSE 2 END AS half
 ONE_GROUP = "grouped AS (SELECT *, 1 AS half FROM placed)"
 
 
+def even_cuts(rows: int) -> list[float]:
+    """Cut points of a rank spread evenly over [0, 1)."""
+    parts = rows // ROWS_PER_SPLIT + 1
+    return [i / parts for i in range(1, parts)]
+
+
 @query(
     "flagship_best_even_views",
     with_(PARTICLES, VIEWS, BY_HALF, RANKED, recursive=True)
@@ -36,9 +43,9 @@ ONE_GROUP = "grouped AS (SELECT *, 1 AS half FROM placed)"
 def flagship(spark, sf_dir):
     p = particles(spark, sf_dir)
     n = p.count()
-    small = {"cuts": []} if n <= ranking.WHOLE_ROWS else {}
-    ranked = ranking.equalised_rank(p, VIEW_COUNT, half="subset", **small)
-    best = ranking.select_ranked(ranked, n // 2, by="rank", cuts=ranking.even_cuts(n))
+    ranked = ranking.equalised_rank(p, VIEW_COUNT, half="subset")
+    # the rank is spread evenly over [0, 1), so its cut points need no look at the data
+    best = ranking.select_ranked(ranked, n // 2, by="rank", cuts=even_cuts(n))
     optics = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )

@@ -48,6 +48,20 @@ def write_loop(spark, sf_dir):
     return df.select(F.col("_rlnScore").alias("score"), F.col("_rlnClassNumber").alias("class"))
 
 
+@query(
+    "s4_rows_in_order",
+    P("""SELECT row_number() OVER (ORDER BY class > 2, _row) - 1 AS place, lpad(CAST(image_no AS VARCHAR), 6, '0') || '@' || stack AS image, class FROM p"""),
+)
+def rows_in_order(spark, sf_dir):
+    """Written in two folders and read as one table, numbered through both."""
+    path = scratch_path(spark, "parts")
+    p = particles(spark, sf_dir).select("_row", keys.image_key(F.col("image_no"), F.col("stack")).alias("_rlnImageName"), F.col("class").alias("_rlnClassNumber"))
+    blocks.write_loop(p.filter("_rlnClassNumber <= 2"), f"{path}/a")
+    blocks.write_loop(p.filter("_rlnClassNumber > 2"), f"{path}/b")
+    df = blocks.read_loop(spark, f"{path}/*", types=STAR_TYPES)
+    return df.select(F.col("_row").alias("place"), F.col("_rlnImageName").alias("image"), F.col("_rlnClassNumber").alias("class"))
+
+
 def _project(spark, sf_dir):
     """One file per nation: pairs, an optics loop and a particles loop of its customers."""
     path = scratch_path(spark, "project")

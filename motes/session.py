@@ -59,17 +59,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/motes-{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name: str):
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage so that an expensive or non-deterministic plan used by two
-    branches is computed once; the written table survives the loss of executors.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df):
     """``df`` computed once and kept in the shared folder, without its lineage.
 

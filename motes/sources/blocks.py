@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motes.functions.cells import cell_text, typed
-from motes.session import written
+from motes.session import checkpointed
 from motes.sources.lines import line_table
 
 
@@ -25,7 +25,7 @@ def _layout(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     marks = line_table(spark, path, previous=True).filter(
         header(text) | text.startswith("data_") | before.isNull() | header(before)
     )
-    marks = written(marks.drop("previous"), "marks")
+    marks = checkpointed(marks.drop("previous"))
 
     w = Window.partitionBy("file").orderBy("start")  # one row per block of a file
     borders = (
@@ -49,7 +49,7 @@ def _layout(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         .join(rows, ["file", "start"], "left")
         .join(labels.select("file", "start", F.col("_l.l").alias("labels")), ["file", "start"], "left")
     )
-    return written(out, "layout")
+    return checkpointed(out)
 
 
 def _inside(lines: DataFrame, borders: DataFrame) -> DataFrame:
@@ -98,7 +98,10 @@ def read_loop(
     columns: Sequence[str] | None = None,
     types: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Rows of a loop block in all matching files, with ``_row`` (per file) and ``_file``.
+    """Rows of a loop block in all matching files, with ``_row`` and ``_file``.
+
+    ``_row`` counts through all files in the order of their names, so a table written in
+    parts comes back in its order, and no number is used twice.
 
     Columns are found by label, so files may order them differently; a column that a file
     lacks is NULL. Cells are text unless ``types`` names a type; ``?`` and unreadable cells
@@ -121,8 +124,14 @@ def read_loop(
         at = F.col(f"_at_{i}").cast("int")
         text = F.when(at > 0, F.try_element_at(cells, F.greatest(at, F.lit(1))))
         values.append((typed(text, types[c]) if types and c in types else text).alias(c))
+    # one row per block: how many rows the blocks before it hold
+    before = Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = body.groupBy("file", "start").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.select("file", "start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     # between its first row and its end a block holds nothing but rows
-    return body.select(F.col("file").alias("_file"), (F.col("at") - F.col("rows_at")).alias("_row"), *values)
+    return body.join(blocks, ["file", "start"]).select(
+        F.col("file").alias("_file"), (F.col("_before") + F.col("at") - F.col("rows_at")).alias("_row"), *values
+    )
 
 
 def read_pairs(spark: SparkSession, path: str | Sequence[str], block: str | None = None) -> DataFrame:
@@ -148,6 +157,9 @@ def write_loop(df: DataFrame, path: str, block: str = "particles", columns: Sequ
     kinds = {f.name: f.dataType for f in df.schema}
     line = F.concat_ws("  ", *[cell_text(F.col(c), kinds[c], missing) for c in names])
     header = "\n".join([f"data_{block}", "", "loop_", *[f"{c} #{i}" for i, c in enumerate(names, 1)], ""])
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([(header.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+        return
     ordered = df.repartitionByRange(order).sortWithinPartitions(order).select(line.alias("line"))
     first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
     ordered.select(F.when(first, F.concat(F.lit(header), "line")).otherwise(F.col("line")).alias("value")).write.text(path)

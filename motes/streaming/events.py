@@ -26,7 +26,7 @@ def _latest(df: DataFrame) -> DataFrame:
     return df.groupBy("session").agg(
         F.max_by(last, "seq").alias("last"),
         F.max_by(F.struct("step", "iteration", "ts"), F.when(started, F.col("seq"))).alias("step"),
-        F.max_by("hostname", F.when(F.col("hostname").isNotNull(), F.col("seq"))).alias("hostname"),
+        F.max_by("hostname", F.when(F.col("hostname") != "", F.col("seq"))).alias("hostname"),
         F.max("seq").alias("seq"),
     )
 

@@ -152,3 +152,11 @@ def test_storage_box(spark):
 def test_unknown_axis_order():
     with pytest.raises(ValueError):
         tomo.reorder_axes([1, 2, 3], "xxz")
+
+
+def test_normal_path(spark):
+    from motes.functions.keys import normal_path
+
+    want = {"/r/a/../b.mrcs": "/r/b.mrcs", "./a//b/./c": "a/b/c", "../a/..": "..", "/../a": "/a", "a/..": ".", "a/b/": "a/b/", "": ""}
+    df = spark.createDataFrame([(p,) for p in want], "p string")
+    assert {r["p"]: r["n"] for r in df.select("p", normal_path(F.col("p")).alias("n")).collect()} == want

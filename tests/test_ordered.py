@@ -1,14 +1,17 @@
 """Chunked building blocks against plain Python, with one key holding a third of the rows."""
 
+import datetime
+import decimal
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motes.operators import ordered
 
-SMALL = {"whole_rows": 0, "splits": 7}
+SMALL = {"splits": 7}
 
 
 def rows(n=900, seed=1):
@@ -133,7 +136,7 @@ def test_many_splitters(spark):
     rng = random.Random(2)
     data = [(i, rng.choice([rng.random(), 0.25])) for i in range(3000)]
     df = spark.createDataFrame(data, "_row bigint, value double")
-    got = {r["_row"]: r["_rank"] for r in ordered.ranked(df, [], "value", whole_rows=0, splits=2000, chunk=100).collect()}
+    got = {r["_row"]: r["_rank"] for r in ordered.ranked(df, [], "value", splits=2000, chunk=100).collect()}
     assert got == {row: i for i, (row, _) in enumerate(sorted(data, key=lambda d: (d[1], d[0])))}
 
 
@@ -143,3 +146,22 @@ def test_count_at_most(spark, edges):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(ordered.count_at_most(F.col("v"), edges)).collect()]
     assert got == [len(edges) if v != v else sum(e <= v for e in edges) for v in values]
+
+
+@pytest.mark.parametrize("splits", [None, 3])
+@pytest.mark.parametrize("descending", [False, True])
+def test_values_compare_in_their_own_type(spark, splits, descending):
+    columns = {
+        "bigint": [2**60 + i for i in (3, 1, 5, 0, 2, 4, 5)] + [None],
+        "string": ["b", "a,b", "", "10", "9", 'q"', None, "a"],
+        "double": [None] * 8,
+        "float": [float("nan")] * 7 + [1.0],
+        "decimal(20,3)": [decimal.Decimal(f"12345678901234567.{i}00") for i in range(8)],
+        "date": [datetime.date(2020, 1, 1 + i % 3) for i in range(8)],
+    }
+    for kind, values in columns.items():
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_row bigint, v {kind}").repartition(3)
+        order = F.col("v").desc() if descending else F.col("v").asc()
+        want = {r["_row"]: r["w"] for r in df.select("_row", (F.row_number().over(Window.orderBy(order, "_row")) - 1).alias("w")).collect()}
+        got = {r["_row"]: r["_rank"] for r in ordered.ranked(df, [], "v", descending=descending, splits=splits, chunk=2).collect()}
+        assert got == want, kind

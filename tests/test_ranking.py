@@ -68,7 +68,7 @@ def ranks(data, count, normalise=True):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"whole_rows": 0, "splits": 5}])
+@pytest.mark.parametrize("options", [{}, {"splits": 5}])
 @pytest.mark.parametrize("normalise", [True, False])
 def test_equalised_rank(spark, options, normalise):
     data = particles(700, 3)
@@ -93,7 +93,7 @@ def test_selection_cut_in_pieces(spark):
     data = [(i, rng.choice([1.0, 1.0, rng.random()])) for i in range(500)]
     df = spark.createDataFrame(data, "_row bigint, v double")
     for n in (0, 1, 170, 499):
-        got = {r["_row"] for r in ranking.select_ranked(df, n, "v", whole_rows=0, splits=4, chunk=16).collect()}
+        got = {r["_row"] for r in ranking.select_ranked(df, n, "v", splits=4, chunk=16).collect()}
         assert got == {row for row, _ in sorted(data, key=lambda d: (d[1], d[0]))[:n]}
 
 
