@@ -318,7 +318,8 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     texts = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("d"), F.col(text).cast("binary").alias("body"))
     texts = texts.filter(F.octet_length("body") >= SPAN)
     found = texts.mapInArrow(_unit_anchors, "anchor long, d binary, lo long")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor")
+    # kept apart from its aggregation, so that a very common anchor is split in the join
+    often = checkpointed(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor"))
     wanted = found.join(often, "anchor").groupBy("d").agg(F.collect_set("lo").alias("wanted"))
     single = texts.groupBy("d").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
     cut = single.join(wanted, "d").select("d", "body", "copies", "wanted").mapInArrow(_cut_units, _UNIT)
