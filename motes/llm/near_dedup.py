@@ -6,11 +6,12 @@ registers bring candidates together; registers estimate their similarity, correc
 chance collisions; links count only after a comparison of the full sets.
 
 Documents with equal sets are one class from the start, so copies cost nothing. In a band's
-bucket each class is first compared with the bucket's smallest; once those links have
-made components, only classes of different components in one bucket are compared
-with each other, register by register in bounded tiles, the best pair between a class and a
-component before all others. So no link between components is missed, and no pairs within one
-are made.
+bucket each class is first compared with its most central one, which shares the most with
+the rest: around a text that was copied with changes that is this text, and the copies join
+through it. Once those links have made components, only classes of different components in
+one bucket are compared, in bounded tiles: small sets as they are, large ones by a finer
+sketch, and what may be similar is verified. So no link between components is missed, and
+no pairs within one are made.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ BANDS = 32
 ROWS = 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 20
-# Two classes with equal registers by chance: equal zeros (about a third) and equal mantissas.
-CHANCE = 2.0**-MANTISSA / 3
+# Two registers are equal by chance if their zeros (about a third) and mantissas are.
+# Of the finer sketch that compares classes within a bucket: registers of one byte, 3 bits of
+# zeros and 5 of mantissa. Sets of up to WHOLE shingles are compared as they are.
+FINE = 1024
+FINE_CHANCE = 2.0**-5 / 3
+WHOLE = 256
 # Standard errors of the estimate below the threshold at which a pair is still verified.
 SLACK = 5
 # Classes of a bucket that are compared with each other in one go.
@@ -63,19 +68,32 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _smallest(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets in use; leading zeros and the bits behind them of the smallest hash in each."""
+    u = mixed_bits(hashes ^ np.uint64(0x9E3779B97F4A7C15))
+    bucket = ((u >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.sort(bucket << np.uint64(32) | u & np.uint64(0xFFFFFFFF))
+    bucket = order >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    low = (order[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    zeros = np.where(low > 0, 32 - np.frexp(np.maximum(low, 1))[1], 32)
+    return bucket[first].astype(np.int64), zeros, low << (zeros + 1) & 0xFFFFFFFF
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
     """One 32-bit register a bucket: 0 where it is empty, else 1 + (zeros, mantissa)."""
     out = np.zeros(REGISTERS, np.uint32)
     if len(hashes):
-        u = mixed_bits(hashes ^ np.uint64(0x9E3779B97F4A7C15))
-        bucket = ((u >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
-        order = np.sort(bucket << np.uint64(32) | u & np.uint64(0xFFFFFFFF))
-        bucket = order >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        low = (order[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        zeros = np.where(low > 0, 32 - np.frexp(np.maximum(low, 1))[1], 32)
-        mantissa = (low << (zeros + 1) & 0xFFFFFFFF) >> (32 - MANTISSA)
-        out[bucket[first].astype(np.int64)] = (zeros << MANTISSA | mantissa) + 1
+        bucket, zeros, mantissa = _smallest(hashes, REGISTERS)
+        out[bucket] = (zeros << MANTISSA | mantissa >> (32 - MANTISSA)) + 1
+    return out
+
+
+def fine_registers(hashes: np.ndarray) -> np.ndarray:
+    """More and shorter registers; 0 is an empty one (and stands for 1 as well)."""
+    out = np.zeros(FINE, np.uint8)
+    bucket, zeros, mantissa = _smallest(hashes, FINE)
+    out[bucket] = np.maximum((zeros & 7) << 5 | mantissa >> 27, 1)
     return out
 
 
@@ -88,17 +106,22 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, r.any(axis=2)
 
 
-def estimated(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+def estimated(one: np.ndarray, many: np.ndarray, chance: float) -> np.ndarray:
     """Jaccard estimates: equal registers among those in use, less what chance makes equal."""
     used = (one != 0) | (many != 0)
     same = (one == many) & used
     share = same.sum(axis=1) / np.maximum(used.sum(axis=1), 1)
-    return np.clip((share - CHANCE) / (1 - CHANCE), 0, 1)
+    return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
-def least_estimate(percent: int) -> float:
+def least_estimate(percent: int, registers: int) -> float:
     p = percent / 100
-    return p - SLACK * (p * (1 - p) / REGISTERS) ** 0.5
+    return p - SLACK * (p * (1 - p) / registers) ** 0.5
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -122,37 +145,56 @@ def _sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return one.mapInArrow(sketch, "id long, digest long, n long, set binary, keys array<long>")
 
 
-def _tile_pairs(least: float, best_only: bool):
-    """Pairs of different components in a tile (``x``: low block, else high) that may be similar."""
+def _tile_pairs(percent: int):
+    """Pairs of different components in a tile that are, or by the finer sketch may be, similar.
+
+    The most similar first; those of whole small sets are decided here, and of them only
+    such as join components are needed, fewer than there are classes.
+    """
+    least = least_estimate(percent, FINE)
 
     def pairs(table: pa.Table) -> pa.Table:
         ids = table["class"].to_numpy()
         label = {v: i for i, v in enumerate(dict.fromkeys(table["label"].to_pylist()))}
         comp = np.array([label[v] for v in table["label"].to_pylist()])
         side = np.array(table["side"].to_pylist())
-        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
+        proofs = table["proof"].to_pylist()
+        sets = [np.frombuffer(p, np.uint64, offset=1) if p[0] else None for p in proofs]
+        fine = np.stack([fine_registers(h) if h is not None else np.frombuffer(p, np.uint8, offset=1) for h, p in zip(sets, proofs)])
         one_block = not side.any()
         left = np.arange(len(ids)) if one_block else np.flatnonzero(side == 0)
         right = left if one_block else np.flatnonzero(side == 1)
-        found = set()
+        found: list[tuple[float, int, int]] = []
         for i in left:
-            others = right[(comp[right] != comp[i]) & ((right > i) if one_block and not best_only else True)]
-            if not len(others):
+            others = right[(comp[right] != comp[i]) & ((right > i) | (not one_block))]
+            if len(others):
+                value = estimated(fine[i], fine[others], FINE_CHANCE)
+                found += [(-v, i, j) for v, j in zip(value[value >= least], others[value >= least])]
+        root = list(range(len(label)))
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        kept = []
+        for _, i, j in sorted(found):
+            x, y = top(comp[i]), top(comp[j])
+            if x == y:
                 continue
-            value = estimated(regs[i], regs[others])
-            good = np.flatnonzero(value >= least)
-            if best_only and len(good):
-                good = good[np.argsort(-value[good], kind="stable")]
-                good = good[np.unique(comp[others[good]], return_index=True)[1]]
-            for j in others[good]:
-                found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+            if sets[i] is None or sets[j] is None:
+                kept.append((i, j))
+            elif similar(sets[i], sets[j], percent):
+                kept.append((i, j))
+                root[x] = y
+        ends = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in kept]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64())})
 
     return pairs
 
 
-def _open_pairs(busy: DataFrame, full: DataFrame, labels: DataFrame, least: float, best_only: bool) -> DataFrame:
-    """Pairs of classes that share a bucket but no component yet, by their registers."""
+def _open_pairs(busy: DataFrame, full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a bucket but no component yet."""
     named = busy.join(labels, F.col("class") == F.col("id"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
     still = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     blocks = F.ceil(F.col("size") / TILE)
@@ -163,24 +205,25 @@ def _open_pairs(busy: DataFrame, full: DataFrame, labels: DataFrame, least: floa
         "bucket", "class", "label",
         F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
-    ).join(full.select("class", "regs"), "class")
-    return tiles.groupBy("bucket", "x", "y").applyInArrow(_tile_pairs(least, best_only), "a long, b long").distinct()
+    ).join(full.select("class", "proof"), "class")
+    return tiles.groupBy("bucket", "x", "y").applyInArrow(_tile_pairs(percent), "a long, b long").distinct()
 
 
 def _full_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``hashes`` of the full set and the registers of each of ``classes`` (class, row)."""
+    """``hashes`` of the full set of each of ``classes`` (class, row), and ``proof``: the set
+    again if it is small (first byte 1), else its finer registers (0)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(v.as_py(), words) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([registers(f).tobytes() for f in found], pa.binary())],
-                names=["class", "hashes", "regs"],
+                [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([b"\1" + f.tobytes() if len(f) <= WHOLE else b"\0" + fine_registers(f).tobytes() for f in found], pa.binary())],
+                names=["class", "hashes", "proof"],
             )
 
     row = F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("digest")).alias("row")
     texts = docs.select(row, F.col(text).cast("binary").alias("t")).join(classes, "row").select("class", "t")
-    return texts.mapInArrow(sets, "class long, hashes binary, regs binary").dropDuplicates(["class"])
+    return texts.mapInArrow(sets, "class long, hashes binary, proof binary").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -188,11 +231,10 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [
+                similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
+                for x, y in zip(batch.column(2), batch.column(3))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(full.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
@@ -216,22 +258,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
     bands = classes.select("class", "n", F.explode("keys").alias("bucket"))
     # kept apart from its aggregation, so that a crowded bucket is split in the join
-    heads = bands.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("head"), F.count(F.lit(1)).alias("size"))
-    heads = checkpointed(heads.filter("size > 1").select("bucket", "head"))
-    busy = checkpointed(bands.join(heads, "bucket").select("bucket", "class", "n", "head"))
+    crowds = checkpointed(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    busy = checkpointed(bands.join(crowds, "bucket").select("bucket", "class", "n", "size"))
+    # what others were copied from shares most buckets with most of them: it heads its buckets
+    central = busy.groupBy("class").agg(F.sum("size").alias("weight"))
+    heads = busy.join(central, "class").groupBy("bucket").agg(F.max(F.struct("weight", "class", "n")).alias("head"))
+    busy = checkpointed(busy.join(checkpointed(heads), "bucket").select("bucket", "class", "n", "head"))
     # sets of too different sizes can't be similar
     near = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
-    star = busy.filter((F.col("class") != F.col("head.class")) & near).select(F.col("head.class").alias("a"), F.col("class").alias("b"))
-    star = checkpointed(star.distinct())
+    star = busy.filter((F.col("class") != F.col("head.class")) & near)
+    tested = checkpointed(star.select(F.least("class", "head.class").alias("a"), F.greatest("class", "head.class").alias("b")).distinct())
     shared = busy.select("class").distinct().join(classes.select("class", "row"), "class")
     full = checkpointed(_full_sets(shared, docs, key, text, words))
-    links = checkpointed(_verified(star, full, percent))
+    links = checkpointed(_verified(tested, full, percent))
     labels = components(links)
-    least = least_estimate(percent)
-    for best_only in (True, False):
-        more = checkpointed(_open_pairs(busy, full, labels, least, best_only))
-        if more.isEmpty():
-            break
+    more = checkpointed(_open_pairs(busy, full, labels, percent).join(tested, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
         links = checkpointed(links.union(_verified(more, full, percent)))
         labels = components(links)
     named = classes.join(labels, F.col("class") == F.col("id"), "left").select("set", "low", "n", F.coalesce("label", "class").alias("label"))

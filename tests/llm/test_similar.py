@@ -61,8 +61,10 @@ def test_near_duplicates(spark, words):
     assert got == sorted(brute_groups(rows, words, 80))
 
 
-def test_small_tiles_find_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [256, 0])
+def test_small_tiles_find_the_same(spark, monkeypatch, whole):
     monkeypatch.setattr(nd, "TILE", 3)
+    monkeypatch.setattr(nd, "WHOLE", whole)
     rows = near_texts()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.id, r.n, r.component) for r in nd.near_duplicates(df, words=4).collect())
@@ -75,8 +77,10 @@ def test_estimates():
     for same in (0.5, 0.8, 0.95):
         n = int(1000 * same * 2 / (1 + same))
         a, b = np.unique(all_[:1000]), np.unique(np.r_[all_[:n], all_[2000 : 3000 - n]])
-        value = nd.estimated(nd.registers(a), nd.registers(b)[None])[0]
+        value = nd.estimated(nd.registers(a), nd.registers(b)[None], 0.0)[0]
         assert abs(value - same) < 0.15
+        value = nd.estimated(nd.fine_registers(a), nd.fine_registers(b)[None], nd.FINE_CHANCE)[0]
+        assert abs(value - same) < 0.05
 
 
 def test_keep_one(spark):
