@@ -19,6 +19,8 @@ WORDS = CLASS * CLASSES
 END, RARE, FIRST_WORD = 0, 1, 2
 START = WORDS  # input before the first word
 WINDOW = 16
+# Scoring keeps nothing for a way back, so its windows may be longer.
+SCORED_WINDOW = 64
 LANES = 256
 PIECE = 1024
 
@@ -77,9 +79,9 @@ class Lanes:
     first: np.ndarray
     owner: np.ndarray
 
-    def window(self, lo: int) -> Lanes:
+    def window(self, lo: int, steps: int) -> Lanes:
         busy = int((self.owner[lo] >= 0).sum())
-        return Lanes(*[a[lo : lo + WINDOW, :busy] for a in (self.given, self.target, self.first, self.owner)])
+        return Lanes(*[a[lo : lo + steps, :busy] for a in (self.given, self.target, self.first, self.owner)])
 
 
 def lanes(documents: list[np.ndarray], most: int = LANES) -> Lanes:
@@ -109,6 +111,12 @@ def lanes(documents: list[np.ndarray], most: int = LANES) -> Lanes:
     return Lanes(given, target, first, owner)
 
 
+def _live(owner: np.ndarray) -> np.ndarray | slice:
+    """Where documents are; mostly everywhere, and then nothing need be copied."""
+    live = owner.ravel() >= 0
+    return slice(None) if live.all() else live
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
 
@@ -135,10 +143,11 @@ def forward(w: Weights, state: np.ndarray, given: np.ndarray, first: np.ndarray)
 def _picked(x: np.ndarray, at: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-softmax of row i at ``at[i]``, and its negative's gradient (in place of ``x``).
 
-    Logits are bounded, so no row needs its maximum taken off before the exponential.
+    Logits are small; only where they are not are they cut before the exponential.
     """
     row = np.arange(len(x))
-    np.clip(x, -60, 60, out=x)
+    if x.size and (x.max() > 60 or x.min() < -60):
+        np.clip(x, -60, 60, out=x)
     own = x[row, at]
     np.exp(x, out=x)
     total = x.sum(axis=1)
@@ -178,10 +187,10 @@ def gradients(w: Weights, state: np.ndarray, part: Lanes) -> tuple[Weights, np.n
     """Of the negative log-likelihood of one window, truncated at its beginning."""
     slopes = Weights(*[np.zeros_like(a) for a in w.arrays()])
     states, kept = forward(w, state, part.given, part.first)
-    live = part.owner >= 0
-    _, back = outputs(w, states[live], part.target[live], slopes)
+    live = _live(part.owner)
+    _, back = outputs(w, states.reshape(-1, HIDDEN)[live], part.target.ravel()[live], slopes)
     from_output = np.zeros_like(states)
-    from_output[live] = back
+    from_output.reshape(-1, HIDDEN)[live] = back
     two = 2 * HIDDEN
     d_inputs = np.zeros((*part.given.shape, 3 * HIDDEN), np.float32)
     d_state = np.zeros_like(state)
@@ -198,11 +207,11 @@ def gradients(w: Weights, state: np.ndarray, part: Lanes) -> tuple[Weights, np.n
         d_inputs[t, :, :two], d_inputs[t, :, two:] = gates, d_new
         d_state = d_state * z + d_rs * r + gates @ w.turn[:, :two].T
         d_state[part.first[t]] = 0
-    ids = part.given[live]
-    order = np.argsort(ids, kind="stable")
+    ids = part.given.ravel()[live]
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     found, at = np.unique(ids[order], return_index=True)
-    slopes.given[found] += np.add.reduceat(d_inputs[live][order], at, axis=0)
-    return slopes, states[-1], int(live.sum())
+    slopes.given[found] += np.add.reduceat(d_inputs.reshape(-1, 3 * HIDDEN)[live][order], at, axis=0)
+    return slopes, states[-1], len(ids)
 
 
 class Trainer:
@@ -219,7 +228,7 @@ class Trainer:
         laid = lanes(documents)
         state = np.zeros((laid.given.shape[1], HIDDEN), np.float32)
         for lo in range(0, len(laid.given), WINDOW):
-            part = laid.window(lo)
+            part = laid.window(lo, WINDOW)
             slopes, state, n = gradients(self.weights, state[: part.given.shape[1]], part)
             if n:
                 self._move(slopes, n)
@@ -244,11 +253,11 @@ def scores(w: Weights, documents: list[np.ndarray]) -> np.ndarray:
         return total
     laid = lanes(documents)
     state = np.zeros((laid.given.shape[1], HIDDEN), np.float32)
-    for lo in range(0, len(laid.given), WINDOW):
-        part = laid.window(lo)
+    for lo in range(0, len(laid.given), SCORED_WINDOW):
+        part = laid.window(lo, SCORED_WINDOW)
         states, _ = forward(w, state[: part.given.shape[1]], part.given, part.first)
         state = states[-1]
-        live = part.owner >= 0
-        value, _ = outputs(w, states[live], part.target[live])
-        total += np.bincount(part.owner[live], value.astype(np.float64), len(documents))
+        live = _live(part.owner)
+        value, _ = outputs(w, states.reshape(-1, HIDDEN)[live], part.target.ravel()[live])
+        total += np.bincount(part.owner.ravel()[live], value.astype(np.float64), len(documents))
     return total

@@ -210,51 +210,47 @@ def lm_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str
     below = math.log10(n + v + 1)
     below_rare = math.log10(n_rare + v_rare + 1)
 
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
+    names = ["id", "held_out", "digest", "n_tokens", "n_known", "base", "score", "others"]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores by the head's counts, and the words that are not in it with their frequency."""
         known = _head(head)
         model = gru.unpacked(weights)
         log_count = np.append(np.log10(known.counts + 1.0), 0.0)  # the last: not in the head
         rare = known.network == gru.RARE
+        outside = len(known.counts)
         for rows, texts in _laid_out(batches, 3):
             places = [known.places(w) for w in texts]
             value = gru.scores(model, [known.network[p] for p in places]) / math.log(10)
-            out = {
-                "n_tokens": [len(p) for p in places],
-                "n_known": [int((p < len(known.counts)).sum()) for p in places],
-                "base": [float(log_count[p].sum()) - len(p) * below for p in places],
-                "score": [float(s + log_count[p[rare[p]]].sum() - rare[p].sum() * below_rare) for s, p in zip(value, places)],
-            }
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64()),
-                 pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())],
-                names=["id", "held_out", "digest", "n_tokens", "n_known", "base", "score"],
-            )
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each text that are not in the head, with their frequency in it."""
-        known = _head(head).index
-        for batch in batches:
-            ids, digests, words, times = [], [], [], []
-            for i in range(batch.num_rows):
-                found = Counter(w for w in text_words(batch.column(2)[i].as_py()) if w not in known)
-                ids += [batch.column(0)[i].as_py()] * len(found)
-                digests += [batch.column(1)[i].as_py()] * len(found)
-                words += found
-                times += found.values()
-                if len(words) >= WORDS_AT_ONCE or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["id", "digest", "word", "times"])
-                    ids, digests, words, times = [], [], [], []
+            out = []
+            for row, words, p, s in zip(rows, texts, places, value):
+                other = np.flatnonzero(p == outside)
+                found = Counter(words[i] for i in other)
+                unknown = rare[p]
+                out.append((
+                    *row,
+                    len(p),
+                    len(p) - len(other),
+                    float(log_count[p].sum()) - len(p) * below,
+                    float(s + log_count[p[unknown]].sum() - unknown.sum() * below_rare),
+                    [{"word": w, "times": n} for w, n in found.items()],
+                ))
+            for lo in range(0, len(out), 4096):
+                part = out[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], kind) for i, kind in enumerate(kinds)], names=names)
 
     digest = F.xxhash64(F.col(text)).alias("digest")
     ident = F.col(key).cast("long").alias("id")
-    columns = "id long, held_out boolean, digest long, n_tokens long, n_known long, base double, score double"
-    scored = docs.select(ident, held.alias("held_out"), digest, body).mapInArrow(score, columns)
+    columns = "id long, held_out boolean, digest long, n_tokens long, n_known long, base double, score double, others array<struct<word:binary,times:long>>"
+    # read twice below, so the network runs once
+    scored = checkpointed(docs.select(ident, held.alias("held_out"), digest, body).mapInArrow(score, columns))
+    rest = scored.select("id", "digest", F.inline("others"))
     # rows that are equal are counted, so that their other words are added once to each
     # (the network's last digits depend on the texts beside it; one value stands for all)
     scored = scored.groupBy("id", "held_out", "digest", "n_tokens", "n_known").agg(
         F.max("base").alias("base"), F.max("score").alias("score"), F.count(F.lit(1)).alias("rows")
     )
-    rest = docs.select(ident, digest, body).mapInArrow(others, "id long, digest long, word binary, times long")
     met = rest.join(counts.filter(F.col("c") <= least), "word")
     added = met.groupBy(F.struct("id", "digest").alias("at")).agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain")
