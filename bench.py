@@ -21,6 +21,8 @@ HEADLINE = [
     "r3_equalised_rank",
     "r4_equalised_rank_by_half",
     "r1_best_n",
+    "r5_checkpoints",
+    "r11_best_count",
     "r7_number_in_runs",
     "r8_history_fixed",
     "a8_difference_statistics",
@@ -28,10 +30,12 @@ HEADLINE = [
     "a11_robust_statistics",
     "a14_best_per_voxel",
     "a22_ring_correlation",
+    "a27_equalise_amplitudes",
     "a28_scatter_add",
     "a29_pair_scores",
     "a31_structural_score",
     "a34_best_class",
+    "f7_random_halves",
     "f9_outlier_fence",
     "j1_lineitem_optics",
     "j6_back_map",

@@ -79,7 +79,8 @@ def zyz_degrees(matrix: list[Column]) -> tuple[Column, Column, Column]:
     """Rot, tilt and psi of a rotation matrix given as nine columns."""
     tilt = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), matrix[8]))))
     rot = F.degrees(F.atan2(matrix[5], matrix[2]))
-    psi = F.degrees(F.atan2(matrix[7], -matrix[6]))
+    # not -matrix[6]: a negative zero would turn the identity by 180 degrees
+    psi = F.degrees(F.atan2(matrix[7], F.lit(0.0) - matrix[6]))
     return rot, tilt, psi
 
 

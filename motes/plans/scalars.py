@@ -71,7 +71,7 @@ def view_angles(spark, sf_dir):
 VECTOR = """v AS (SELECT o_orderkey AS _row, CASE WHEN o_orderkey % 100 = 0 THEN 0.0 ELSE (o_orderkey % 157 + 1) / 100.0 END AS th FROM orders),
 m AS (SELECT _row, th, 1 - cos(th) AS c, sin(th) AS s, 1/3.0 AS x, 2/3.0 AS y, 2/3.0 AS z FROM v),
 mat AS (SELECT _row, th, c*x*z + s*y AS m02, c*y*z - s*x AS m12, c*x*z - s*y AS m20, c*y*z + s*x AS m21, 1 - c*(x*x + y*y) AS m22 FROM m)"""
-ANGLES = "round(degrees(atan2(m12, m02)), 6) AS rot, round(degrees(acos(greatest(-1, least(1, m22)))), 6) AS tilt, round(degrees(atan2(m21, -m20)), 6) AS psi"
+ANGLES = "round(degrees(atan2(m12, m02)), 6) AS rot, round(degrees(acos(greatest(-1, least(1, m22)))), 6) AS tilt, round(degrees(atan2(m21, 0 - m20)), 6) AS psi"
 
 
 def _poses(spark, sf_dir):
@@ -85,16 +85,16 @@ def _angled(df, pose, length):
     return df.select("_row", F.round(rot, 6).alias("rot"), F.round(tilt, 6).alias("tilt"), F.round(psi, 6).alias("psi"))
 
 
-@query("x4_rotation_vector", with_(VECTOR) + f"SELECT _row, {ANGLES} FROM mat WHERE th > 0")
+@query("x4_rotation_vector", with_(VECTOR) + f"SELECT _row, {ANGLES} FROM mat")
 def rotation_vector(spark, sf_dir):
-    df = _poses(spark, sf_dir).filter("th > 0").withColumn("pose", F.array(F.col("th") / 3, F.col("th") * 2 / 3, F.col("th") * 2 / 3))
+    df = _poses(spark, sf_dir).withColumn("pose", F.array(F.col("th") / 3, F.col("th") * 2 / 3, F.col("th") * 2 / 3))
     return _angled(df, F.col("pose"), 3)
 
 
-@query("x4_quaternion", with_(VECTOR) + f"SELECT _row, {ANGLES} FROM mat WHERE th > 0")
+@query("x4_quaternion", with_(VECTOR) + f"SELECT _row, {ANGLES} FROM mat")
 def quaternion(spark, sf_dir):
     s = F.sin(F.col("th") / 2)
-    df = _poses(spark, sf_dir).filter("th > 0").withColumn("pose", F.array(F.cos(F.col("th") / 2), s / 3, s * 2 / 3, s * 2 / 3))
+    df = _poses(spark, sf_dir).withColumn("pose", F.array(F.cos(F.col("th") / 2), s / 3, s * 2 / 3, s * 2 / 3))
     return _angled(df, F.col("pose"), 4)
 
 
