@@ -53,14 +53,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def addresses(text: str) -> list[Span]:
+    """All matches of the address pattern, from each @ back: a search from every place on would
+    take the square of the length of a long word."""
+    found: list[Span] = []
+    behind = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > behind and text[start - 1] in _LOCAL:
+            start -= 1
+        m = EMAIL.match(text, start) if start < at else None
+        behind = m.end() if m else at + 1
+        if m:
+            found.append((start, m.end(), "email"))
+        at = text.find("@", behind)
+    return found
+
+
 def base_spans(text: str) -> list[Span]:
     """What the fixed patterns find: leftmost, not overlapping within a kind, and valid.
 
     A match that fails its test is dropped, and the search goes on behind it.
     """
-    found: list[Span] = []
-    if "@" in text:
-        found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    found = addresses(text)
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
             found.append((m.start(), m.end(), "ip"))

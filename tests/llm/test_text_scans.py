@@ -76,6 +76,16 @@ def test_base_spans():
         assert pii.base_spans(text) == spans, text
 
 
+def test_addresses_as_the_pattern_finds_them():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab.@-é 1") for _ in range(rng.randint(0, 24)))
+        assert pii.addresses(text) == [(m.start(), m.end(), "email") for m in pii.EMAIL.finditer(text)], text
+    assert pii.addresses("a" * 300_000 + " x@y.z") == [(300_001, 300_006, "email")]
+
+
 def test_semi_markov_best_and_gradient():
     import itertools
 
