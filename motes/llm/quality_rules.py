@@ -165,5 +165,10 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = R
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return quality_rules(docs, text, rules).filter("kept").select("row.*")
+    """The documents that pass, with their own columns.
+
+    The row number is there to keep the optimizer from moving the filter below the measures,
+    where it would compute each of them again for every rule that asks for it.
+    """
+    judged = quality_rules(docs, text, rules).select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.filter(F.col("kept") & (F.col("at") >= 0)).select("row.*")
