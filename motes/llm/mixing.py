@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motes.llm.common import boxed, n_words
+from motes.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -72,9 +73,10 @@ def mixed(
     being moved.
     """
     sized = boxed(docs).select("row", n_words(F.col(f"row.{text}")).alias("size"))
-    sums = sized.groupBy(F.col(f"row.{source}").alias("source")).agg(F.sum("size").alias("source_size"))
+    # one row per source, counted and joined below: the texts are read once for it
+    sums = checkpointed(sized.groupBy(F.col(f"row.{source}").alias("source")).agg(F.sum("size").alias("source_size")))
     aims = targets(sums, weights, most).select(F.struct("source").alias("at"), "source_size", "target", "rate")
-    few = sums.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    few = sums.count() <= BROADCAST_SOURCES
     joined = sized.withColumn("at", F.struct(F.col(f"row.{source}").alias("source"))).join(F.broadcast(aims) if few else aims, "at")
     whole = F.floor("rate")
     extra = draw(F.col(f"row.{key}"), seed) < F.col("rate") - whole
