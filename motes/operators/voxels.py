@@ -24,12 +24,24 @@ def map_label(name: Column) -> Column:
     return F.coalesce(*found, F.regexp_replace(base, r"\.[^.]*$", ""))
 
 
-def robust_statistics(df: DataFrame, keys: Sequence[str], value: str = "v", median: bool = False, **cutting) -> DataFrame:
+def inside_mask(df: DataFrame, mask: DataFrame | None, voxel: Sequence[str], threshold: float) -> DataFrame:
+    """The voxels whose mask weight ``w`` is above the threshold; all of them without a mask."""
+    if mask is None:
+        return df
+    return df.join(mask.filter(F.col("w") > threshold).select(*voxel), list(voxel), "left_semi")
+
+
+def robust_statistics(
+    df: DataFrame, keys: Sequence[str], value: str = "v", median: bool = False, mask: DataFrame | None = None, voxel: Sequence[str] = VOXEL, threshold: float = 0.2, **cutting
+) -> DataFrame:
     """Robust spread of each map by position in sorted order, without interpolation.
 
+    With a ``mask`` (``voxel`` columns and weight ``w``) only the voxels above the threshold count.
+
     Columns follow the resolution report: ``max`` is the best, i.e. numerically smallest,
     value (the third smallest), ``min`` the value at 92.5 percent.
     """
+    df = inside_mask(df, mask, voxel, threshold)
     n = F.col("_n")
     picks = {
         "max": F.when(n > 4, F.lit(2)).otherwise(F.lit(0)),
@@ -57,7 +69,10 @@ def percentile_summary(df: DataFrame, keys: Sequence[str], value: str = "v", **c
 
 
 def resolution_report(df: DataFrame, name: str = "map_name", value: str = "v", **cutting) -> DataFrame:
-    """One robust row per map, labelled by the particle count in its name."""
+    """One robust row per map, labelled by the particle count in its name.
+
+    ``mask``, ``voxel`` and ``threshold`` as in ``robust_statistics``.
+    """
     stats = robust_statistics(df, [name], value, **cutting)
     return stats.withColumn("numParticles", map_label(F.col(name)).try_cast("bigint")).select(
         "numParticles", name, "max", "highQuartile", "mean", "lowQuartile", "min"

@@ -112,9 +112,13 @@ def read_structured(spark: SparkSession, path: str, fields: dict[str, str]) -> D
             rows = []
             for name in part["path"]:
                 with _open(name) as f:
-                    head = io.BytesIO(f.read(1 << 16))
-                version = np.lib.format.read_magic(head)
-                shape, _, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+                    head = f.read(12)  # magic, version, and the header's length in 2 or 4 bytes
+                    long = head[6:7] != b"\x01"
+                    size = int.from_bytes(head[8 : 12 if long else 10], "little") + (12 if long else 10)
+                    head = io.BytesIO(head + f.read(size - 12))
+                np.lib.format.read_magic(head)
+                parse = np.lib.format.read_array_header_2_0 if long else np.lib.format.read_array_header_1_0
+                shape, _, kind = parse(head, max_header_size=size)
                 rows.append((name, head.tell(), shape[0], kind.itemsize, repr(kind.descr)))
             yield pd.DataFrame(rows, columns=["path", "offset", "rows", "width", "kind"])
 

@@ -242,3 +242,14 @@ def test_boxes_outside_the_volume(spark):
     assert [r["particle"] for r in kept] == ["in"]
     with pytest.raises(Exception, match="outside its volume"):
         voxels.cut_boxes(picks, vol, sizes, 2, radius=1.0, policy="error").collect()
+
+
+def test_statistics_inside_a_mask(spark):
+    from motes.operators import voxels
+
+    rows = [(m, 0, 0, x, float(x * (m + 1))) for m in range(2) for x in range(20)]
+    df = spark.createDataFrame(rows, "map int, z int, y int, x int, v double")
+    mask = spark.createDataFrame([(0, 0, x, 0.2 if x % 3 else 0.9) for x in range(20)], "z int, y int, x int, w double")
+    got = {r["map"]: (r["n"], r["max"], r["mean"]) for r in voxels.robust_statistics(df, ["map"], mask=mask).collect()}
+    kept = [x for x in range(20) if x % 3 == 0]
+    assert got == {m: (len(kept), kept[2] * (m + 1.0), sum(kept) * (m + 1) / len(kept)) for m in range(2)}

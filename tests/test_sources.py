@@ -181,3 +181,13 @@ def test_broken_event_lines(spark, tmp_path):
     assert sorted(r["event"] for r in logs.read_events(spark, path).collect()) == ["session_start", "step_start"]
     r = logs.count_malformed(spark, path).first()
     assert (r["events"], r["malformed"]) == (2, 2)
+
+
+def test_structured_array_with_a_long_header(spark, tmp_path):
+    from motes.sources.stacks import read_structured
+
+    names = ["first", *[f"a_field_with_a_rather_long_name_{i:05d}" for i in range(2000)]]
+    array = np.zeros(3, [(n, "<f4") for n in names])
+    array["first"] = [1, 2, 3]
+    np.save(tmp_path / "long.npy", array)
+    assert [r["first"] for r in read_structured(spark, str(tmp_path), {"first": "double"}).orderBy("_row").collect()] == [1.0, 2.0, 3.0]
