@@ -1,8 +1,9 @@
-"""License scans: a positional index of the rare words of licence templates.
+"""License scans: a positional index of the rarest words of each licence template.
 
-Words of a file that are rare in the corpus and stand in templates are looked up; each
-occurrence votes for the place where a template would have to begin. Only places on which
-the rare words of a template agree are compared word by word, and only those whose
+A template's words of highest idf, however frequent they are, are looked up; each
+occurrence votes for the place where the template would have to begin. So many words are
+indexed that no place with the least share can miss the votes. Only places on which the
+indexed words of a template agree are compared word by word, and only those whose
 mandatory phrases stand there give a label.
 """
 
@@ -39,8 +40,6 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["for any purpose with or without fee"]),
 ]
 
-# A word counts as rare if it stands in at most one of so many documents.
-RARE = 20
 # Least idf-weighted share of a template that must stand at its place.
 LEAST_SHARE = 0.6
 
@@ -49,6 +48,23 @@ def file_words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+def _index_words(body: list[bytes], weights: list[float]) -> tuple[set[bytes], int]:
+    """The words of highest weight, ties included, and how many places of them must agree.
+
+    A place with the least share has at least so many: the places outside the index, with
+    the heaviest one if two must agree, weigh less than that share.
+    """
+    # a little less than the share, so that rounding loses no place
+    least = LEAST_SHARE * sum(weights) * (1 - 1e-9)
+    heaviest = max(weights)
+    agree = 2 if heaviest < least else 1
+    allowed = least - (heaviest if agree == 2 else 0.0)
+    for level in sorted(set(weights), reverse=True):
+        if sum(x for x in weights if x < level) < allowed:
+            break
+    return {w for w, x in zip(body, weights) if x >= level}, agree
+
+
 class Scanner:
     """Postings of the templates' words, and the scan of one file."""
 
@@ -56,21 +72,28 @@ class Scanner:
         self.templates = [(label, t.encode().split(), [k.encode().split() for k in keys]) for label, t, keys in templates]
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for _, t, _ in self.templates for w in t}
-        self.rare = {w for w, x in self.idf.items() if x >= math.log(RARE)} or set(self.idf)
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.weights: list[list[float]] = []
+        self.total: list[float] = []
+        # indexed words that must agree on a place
+        self.agree: list[int] = []
         for i, (_, t, _) in enumerate(self.templates):
+            # words that all stand in every document weigh the same
+            weights = [self.idf[w] for w in t] if any(self.idf[w] > 0 for w in t) else [1.0] * len(t)
+            indexed, agree = _index_words(t, weights)
             for q, w in enumerate(t):
-                if w in self.rare:
+                if w in indexed:
                     self.postings[w].append((i, q))
-        # rare words that must agree on a place: two, or the only one
-        self.agree = [min(2, len({w for w in t if w in self.rare})) for _, t, _ in self.templates]
-        self.total = [sum(self.idf[w] for w in t) or 1.0 for _, t, _ in self.templates]
+            self.weights.append(weights)
+            self.total.append(sum(weights))
+            self.agree.append(agree)
+        self.indexed = set(self.postings)
         self.heads = {p[0] for p, _ in self.phrases}
 
     def scan(self, text: bytes | None):
         """(words, base places, first, last, base labels, labels, score)."""
         words = file_words(text or b"")
-        known = self.rare.intersection(words)
+        known = self.indexed.intersection(words)
         starts: list[int] = []
         base: set[str] = set()
         labels: set[str] = set()
@@ -93,7 +116,7 @@ class Scanner:
                     continue
                 label, body, keys = self.templates[t]
                 lo = max(at, 0)
-                share = sum(self.idf[w] for q, w in enumerate(body) if 0 <= at + q < len(words) and words[at + q] == w) / self.total[t]
+                share = sum(self.weights[t][q] for q, w in enumerate(body) if 0 <= at + q < len(words) and words[at + q] == w) / self.total[t]
                 if share < LEAST_SHARE:
                     continue
                 near = words[max(0, lo - 2) : at + len(body) + 2]

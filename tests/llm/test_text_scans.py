@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -60,6 +62,41 @@ def test_licences(spark):
     assert ls.license_scan(nothing(spark)).count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 1])
+def test_frequent_notices(spark, every):
+    # the words of the notices are in a third of all rows, or in all
+    notices = {" ".join(t.split()): label for label, t, _ in ls.TEMPLATES}
+    for notice, label in [("Licensed under CC BY-NC 4.0.", "cc-by-nc"), *((n, notices[n]) for n in notices if "license" not in n)]:
+        rows = [(i, f"text {i} begins here {notice if i % every == 0 else 'and no more'} and ends {i}") for i in range(600)]
+        texts = [t.encode() for _, t in rows]
+        words = {w for _, t, _ in ls.TEMPLATES for w in t.encode().split()}
+        frequency = Counter(w for t in texts for w in words.intersection(ls.file_words(t)))
+        scanner = ls.Scanner(frequency, len(texts))
+        found = [scanner.scan(t) for t in texts]
+        assert [f[5] for f in found] == [label if i % every == 0 else "" for i, _ in rows]
+        assert all(f[6] > 0.99 for f in found[::every])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ls.license_scan(df).filter("labels <> ''").count() == len(rows[::every])
+
+
+def test_every_place_with_the_share_is_found():
+    """The index loses nothing against the comparison of every place, at any frequencies."""
+    rng = random.Random(5)
+    for _ in range(40):
+        words = sorted({w for _, t, _ in ls.TEMPLATES for w in t.encode().split()})
+        n = rng.choice([1, 30, 1000, 10**6])
+        frequency = {w: rng.choice([0, 1, n // 30, n // 3, n]) for w in words}
+        scanner, everything = ls.Scanner(frequency, n), ls.Scanner(frequency, n)
+        for i, (_, body, _) in enumerate(everything.templates):
+            for q, w in enumerate(body):
+                if (i, q) not in everything.postings[w]:
+                    everything.postings[w].append((i, q))
+        everything.agree, everything.indexed = [1] * len(everything.templates), set(words)
+        for _ in range(20):
+            text = b" ".join(b" ".join(w for w in rng.choice(scanner.templates)[1] if rng.random() > 0.15) for _ in range(3))
+            assert scanner.scan(text) == everything.scan(text)
+
+
 def test_base_spans():
     cases = {
         "a.b+c@host.example.com.": [(0, 22, "email")],
