@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motes.llm import exact_substrings as es
 from motes.llm import near_dedup as nd
+from motes.llm import prefix_forest as pf
 from motes.llm.components import components
 from motes.llm.prefix_forest import nearest
 from tests.llm.helpers import awkward, nothing
@@ -184,3 +185,26 @@ def test_forest(spark):
     assert hit >= 0.9 * 60
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert nearest(df.filter("vec_id IN (0, 7, 9)"), F.col("vec_id") == 0).count() == 2
+
+
+def test_forest_in_many_pieces(spark, monkeypatch):
+    """Prefixes cross the pieces' edges: answers do not depend on where trees are cut."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2000, 16)).astype(np.float32)
+    v[1500:] = v[7] * (1 + np.arange(500, dtype=np.float32)[:, None])  # one string in each tree, other vectors
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    kinds = {"whole trees": {"candidates": 2.0, "growth": 1.0}, "prefixes": {"candidates": 0.2, "growth": 1.0}}
+    got, recall = {}, {}
+    for rows in (pf.ROWS_PER_TASK, 1000, 100):
+        monkeypatch.setattr(pf, "ROWS_PER_TASK", rows)
+        for kind, asked in kinds.items():
+            found = nearest(df, F.col("vec_id") % 50 == 0, trees=2, **asked).orderBy("query_id", "rank").collect()
+            got[kind, rows] = [tuple(r) for r in found]
+            near = {(r.query_id, round(r.score, 6)) for r in found}
+            best = {q: np.sort(np.delete(unit @ unit[q], q))[::-1][:5] for q in range(0, 1500, 50)}
+            recall[kind, rows] = float(np.mean([(q, round(float(x), 6)) in near for q, b in best.items() for x in b]))
+    print("recall", recall)
+    for kind in kinds:
+        assert got[kind, 100] == got[kind, 1000] == got[kind, 60_000] and len(got[kind, 100]) == 40 * 5
+    assert recall["whole trees", 100] == 1.0
