@@ -7,6 +7,8 @@ the same columns as a stream.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,75 @@ def live_pairs(stream: DataFrame, delay: str = "1 day", longest: str = "1 day")
     return starts.join(ends, match).select(*on, "start_seq", "end_seq", "t_start", "t_end", "rc")
 
 
+def latest_pairs(pairs: DataFrame) -> DataFrame:
+    """One row a start of ``live_steps``: its result if it has one, else ``running``."""
+    known = F.max_by(F.struct("t_start", "end_seq", "t_end", "rc", "result"), F.col("result") != "running").alias("n")
+    return pairs.groupBy("session", "iteration", "step", "seq").agg(known).select("session", "iteration", "step", "seq", "n.*")
+
+
+PAIR = "session string, iteration string, step string, seq long, t_start long, end_seq long, t_end long, rc int, result string"
+
+
+def live_steps(stream: DataFrame, delay: str = "1 day", longest: str = "1 day") -> DataFrame:
+    """The n-th start of a step with its n-th end, as a stream: the live form of ``pair_steps``.
+
+    Starts and ends of a step are taken by ``seq``, which grows with ``ts``, once the watermark
+    (``delay`` behind the newest event) has passed them, so that none can come before them any
+    more; newer events wait in the state, and events without ``seq`` or ``ts`` have no place.
+    A start
+    without end is given once as ``running``, when it is ``longest`` old; its place stays
+    taken, and an end that comes later gives a second row with its result, under the same
+    ``seq``. ``latest_pairs`` keeps the last word. An end without start waits for its start.
+    """
+    import pandas as pd
+
+    on = ["session", "iteration", "step"]
+    wait = pd.Timedelta(longest).value // 1_000_000
+    names = [c.split()[0] for c in PAIR.split(", ")]
+
+    def pair(key, batches, state):
+        # waiting: not yet passed; starts: open, with whether they were given; ends: without start
+        waiting, starts, ends = ([tuple(x) for x in json.loads(x)] for x in (state.get if state.exists else ("[]", "[]", "[]")))
+        for batch in batches:
+            for seq, event, at, rc in zip(batch["seq"], batch["event"], batch["at"], batch["rc"]):
+                waiting.append((int(seq), event == "step_start", int(at), None if pd.isna(rc) else int(rc)))
+        now = state.getCurrentWatermarkMs()
+        out = []
+
+        def give(start, end, result):
+            out.append((*key, *start[:2], *(end or (None, None, None)), result))
+
+        passed = sorted(x for x in waiting if x[2] // 1000 < now)
+        waiting = [x for x in waiting if x[2] // 1000 >= now]
+        for seq, starting, at, rc in passed:
+            if starting:
+                starts.append((seq, at, False))
+            else:
+                ends.append((seq, at, rc))
+        while starts and ends:
+            start, end = starts.pop(0), ends.pop(0)
+            give(start, end, "PASS" if end[2] == 0 else "FAIL")
+        for i, (seq, at, given) in enumerate(starts):
+            if not given and at // 1000 + wait <= now:
+                starts[i] = (seq, at, True)
+                give(starts[i], None, "running")
+        if waiting or starts or ends:
+            state.update(tuple(json.dumps(x) for x in (waiting, starts, ends)))
+            due = [x[2] // 1000 + 1 for x in waiting] + [at // 1000 + wait for _, at, given in starts if not given]
+            if due:
+                state.setTimeoutTimestamp(max(min(due), now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names).astype({"seq": "Int64", "t_start": "Int64", "end_seq": "Int64", "t_end": "Int64", "rc": "Int32"})
+
+    # a start with a null key meets no end, as in ``pair_steps``
+    known = " AND ".join(f"{c} IS NOT NULL" for c in on)
+    steps = stream.filter(f"(event = 'step_start' OR event = 'step_end' AND {known}) AND seq IS NOT NULL AND ts IS NOT NULL")
+    steps = steps.withWatermark("ts", delay).select(*on, "seq", "event", "ts", F.unix_micros("ts").alias("at"), "rc")
+    pairs = steps.groupBy(*on).applyInPandasWithState(pair, PAIR, "waiting string, starts string, ends string", "append", "EventTimeTimeout")
+    return pairs.withColumns({c: F.timestamp_micros(c) for c in ("t_start", "t_end")})
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append everything that is there to a table, then stop; later calls continue."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -70,6 +70,29 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
     assert ops.run_to_table(ops.without_repeats(stream()), clean, seen).count() == 7
 
 
+def test_live_steps_pair_one_to_one(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    # a step repeated three times with two ends, a step left open, an end before any watermark passes
+    steps = [event(1, "a", "step_start", "x", minute=1), event(2, "a", "step_end", "x", rc=0, minute=2)]
+    steps += [event(3, "a", "step_start", "x", minute=3), event(5, "a", "step_start", "x", minute=5), event(4, "a", "step_end", "x", rc=2, minute=4)]
+    steps += [event(1, "b", "step_start", "x", minute=1), event(1, "c", "step_start", "y", minute=2), event(2, "c", "step_end", "y", rc=0, minute=20)]
+    later = [event(9, "z", "note", minute=40), event(9, "z", "step_start", "w", minute=59)]
+    out, mark = str(tmp_path / "pairs"), str(tmp_path / "mark")
+    got = []
+    for i, part in enumerate((steps, later, [event(2, "b", "step_end", "x", rc=0, minute=58)], [event(10, "z", "step_end", "w", rc=0, minute=59)])):
+        write(logs, f"{i}.ndjson", part)
+        pairs = ops.live_steps(ops.event_stream(spark, str(logs), SCHEMA), delay="5 minutes", longest="10 minutes")
+        got = ops.run_to_table(pairs, out, mark)
+    rows = sorted(((r.session, r.seq, r.end_seq, r.result) for r in got.collect() if r.session != "z"), key=str)
+    assert [r for r in rows if r[0] == "a"] == [("a", 1, 2, "PASS"), ("a", 3, 4, "FAIL"), ("a", 5, None, "running")]
+    assert ("b", 1, None, "running") in rows and ("c", 1, 2, "PASS") in rows
+    batch = spark.read.schema(SCHEMA).json(str(logs))
+    columns = ["session", "iteration", "step", "seq", "t_start", "t_end", "rc", "result"]
+    want = ops.pair_steps(batch.filter("session IN ('a', 'c')")).select(*columns)
+    assert sorted(map(str, want.collect())) == sorted(map(str, ops.latest_pairs(got).filter("session IN ('a', 'c')").select(*columns).collect()))
+
+
 def test_verdict(spark):
     rows = spark.createDataFrame([("x", True), ("y", False)], "name string, good boolean")
     warn = quality.check_rows(rows, F.col("name"), F.col("good"), "warning", F.lit(""))
