@@ -91,7 +91,7 @@ def curve_places(texts: list[bytes], directions: np.ndarray) -> np.ndarray:
     return hilbert(cells)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Letters that stand for bytes in a byte-level vocabulary: printable Latin-1 letters
     for themselves, the other bytes for what follows code point 255, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -113,7 +113,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         body = word.rstrip(_MARKS)
