@@ -1,94 +1,104 @@
 """Block-structured table files: named blocks that hold a loop (a table) or key/value pairs.
 
-One pass over the lines keeps only headers and block borders, a few lines per file, as a
-small table. A second pass joins the lines with these borders, so a file of any size is
-shared by many tasks.
+``BlockFiles`` indexes the files once; each block is then read from its own bytes alone. The index is
+a few numbers per byte range and block, as many as Spark's own list of file splits, and the only
+thing that reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+import weakref
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.functions.cells import cell_text, typed
-from motes.session import checkpointed
-from motes.sources.lines import line_table
-
-
-def _layout(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Per block: its name and place, where its loop and its rows start, and its labels."""
-    text, before = F.col("text"), F.col("previous")
-    header = lambda c: c.startswith("_") | (c == "loop_")
-    # the first row of a loop follows a label, or opens a split
-    marks = line_table(spark, path, previous=True).filter(
-        header(text) | text.startswith("data_") | before.isNull() | header(before)
-    )
-    marks = checkpointed(marks.drop("previous"))
-
-    w = Window.partitionBy("file").orderBy("start")  # one row per block of a file
-    borders = (
-        marks.filter(text.startswith("data_"))
-        .select("file", F.col("at").alias("start"), F.trim(F.regexp_replace("text", "^data_", "")).alias("block"))
-        .withColumn("end", F.lead("start").over(w))
-        .withColumn("block_no", F.row_number().over(w))
-    )
-    inside = _inside(marks, borders)
-    loops = inside.filter(text == "loop_").groupBy("file", "start").agg(F.max("at").alias("loop"))
-    body = inside.join(loops, ["file", "start"]).filter(F.col("at") > F.col("loop"))
-    rows = body.filter(~text.startswith("_")).groupBy("file", "start").agg(F.min("at").alias("rows_at"))
-    heads = body.filter(text.startswith("_")).join(rows, ["file", "start"], "left").filter(
-        F.col("rows_at").isNull() | (F.col("at") < F.col("rows_at"))
-    )
-    labels = heads.groupBy("file", "start").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.split("text", " ")[0].alias("l")))).alias("_l")
-    )
-    out = (
-        borders.join(loops, ["file", "start"], "left")
-        .join(rows, ["file", "start"], "left")
-        .join(labels.select("file", "start", F.col("_l.l").alias("labels")), ["file", "start"], "left")
-    )
-    return checkpointed(out)
-
-
-def _inside(lines: DataFrame, borders: DataFrame) -> DataFrame:
-    """Lines of every block, without its ``data_`` line."""
-    return lines.join(borders, "file").filter(
-        (F.col("at") > F.col("start")) & (F.col("end").isNull() | (F.col("at") < F.col("end")))
-    )
+from motes.sources.block_files import FORMAT, Block, BlockSource, Section, blocks_of
+
+_registered: weakref.WeakSet = weakref.WeakSet()
+
+
+def _source(spark: SparkSession) -> None:
+    if spark not in _registered:
+        spark.dataSource.register(BlockSource)
+        _registered.add(spark)
+
+
+def _bytes(size: str) -> int:
+    """A size such as ``128m`` or ``134217728b``."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgt".index(unit or " ")
+
+
+class BlockFiles:
+    """The blocks of all matching files; one pass over the text finds where they lie."""
+
+    def __init__(self, spark: SparkSession, path: str | Sequence[str]):
+        _source(spark)
+        self.spark = spark
+        paths = [path] if isinstance(path, str) else list(path)
+        self.path = path
+        found = self._read("index", paths=json.dumps(paths)).collect()
+        ranges = [(r["file"], [Section(*s) for s in json.loads(r["sections"])]) for r in sorted(found, key=lambda r: (r["number"], r["start"]))]
+        self.blocks = blocks_of(ranges)
+
+    def _read(self, kind: str, **options: str) -> DataFrame:
+        most = _bytes(self.spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        slots = self.spark.sparkContext.defaultParallelism
+        return self.spark.read.format(FORMAT).options(kind=kind, most=most, slots=slots, **options).load()
+
+    def _named(self, block: str | None, loop: bool) -> Iterator[Block]:
+        return (b for b in self.blocks if b.loop == loop and block in (None, b.name))
+
+    def catalog(self) -> DataFrame:
+        """One row per block: kind, columns, rows (or pairs), and the file's layout version.
+
+        Version 3.1 files keep an ``optics`` block next to the particles, 3.0 files a single
+        loop.
+        """
+        fields = "file string, block_no int, block string, kind string, n_cols int, n_rows bigint, labels array<string>"
+        rows = [(b.file, b.number, b.name, "loop" if b.loop else "pairs", len(b.labels), b.rows, list(b.labels)) for b in self.blocks]
+        out = self.spark.createDataFrame(rows, fields)
+        per_file = out.groupBy("file").agg(
+            F.count(F.lit(1)).alias("_blocks"), F.count_if(F.col("kind") == "loop").alias("_loops"), F.max(F.col("block") == "optics").alias("_optics")
+        )
+        version = F.when(F.col("_optics"), F.lit("3.1")).when((F.col("_loops") == 1) & (F.col("_blocks") == 1), F.lit("3.0")).otherwise(F.lit("other"))
+        return out.join(per_file.select("file", version.alias("version")), "file")
+
+    def loop(self, block: str = "particles", columns: Sequence[str] | None = None, types: Mapping[str, str] | None = None) -> DataFrame:
+        """Rows of a loop block in all files, with ``_row`` and ``_file``; see ``read_loop``."""
+        wanted = list(self._named(block, True))
+        if columns is None:
+            at: dict[str, int] = {}
+            for b in wanted:
+                for i, label in enumerate(b.labels):
+                    at[label] = min(i, at.get(label, i))
+            columns = sorted(at, key=lambda c: (at[c], c))
+            if not columns:
+                raise ValueError(f"no loop block {block} in {self.path}")
+        plan, row = [], 0
+        for b in wanted:
+            places = [b.labels.index(c) if c in b.labels else -1 for c in columns]
+            for start, end, n in b.spans:
+                if n:
+                    plan.append((b.file, start, end, row, places))
+                row += n
+        df = self._read("rows", plan=json.dumps(plan), columns=json.dumps(list(columns)))
+        as_asked = [typed(F.col(f"`{c}`"), types[c]).alias(c) if types and c in types else F.col(f"`{c}`") for c in columns]
+        return df.select("_file", "_row", *as_asked)
+
+    def pairs(self, block: str | None = None) -> DataFrame:
+        """Key/value blocks as ``(file, block, key, value)``; the last value of a key wins."""
+        plan = [(b.file, start, end, b.name) for b in self._named(block, False) for start, end, n in b.spans if n]
+        return self._read("pairs", plan=json.dumps(plan)).groupBy("file", "block", "key").agg(F.max_by("value", "at").alias("value"))
 
 
 def block_catalog(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per block: kind, columns, rows (or pairs), and the file's layout version.
-
-    Version 3.1 files keep an ``optics`` block next to the particles, 3.0 files a single
-    loop.
-    """
-    layout = _layout(spark, path)
-    loop = F.col("loop").isNotNull()
-    # in a loop every line from the first row on counts, in a pairs block every key
-    counted = F.when(loop, F.col("at") >= F.col("rows_at")).otherwise(F.col("text").startswith("_"))
-    rows = (
-        _inside(line_table(spark, path), layout.select("file", "start", "end", "loop", "rows_at"))
-        .filter(counted)
-        .groupBy("file", "start")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    out = layout.join(rows, ["file", "start"], "left").select(
-        "file",
-        "block_no",
-        "block",
-        F.when(loop, F.lit("loop")).otherwise(F.lit("pairs")).alias("kind"),
-        F.when(loop, F.coalesce(F.size("labels"), F.lit(0))).otherwise(F.lit(0)).alias("n_cols"),
-        F.coalesce("_rows", F.lit(0).cast("bigint")).alias("n_rows"),
-        F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
-    )
-    per_file = out.groupBy("file").agg(
-        F.count(F.lit(1)).alias("_blocks"), F.count_if(F.col("kind") == "loop").alias("_loops"), F.max(F.col("block") == "optics").alias("_optics")
-    )
-    version = F.when(F.col("_optics"), F.lit("3.1")).when((F.col("_loops") == 1) & (F.col("_blocks") == 1), F.lit("3.0")).otherwise(F.lit("other"))
-    return out.join(per_file.select("file", version.alias("version")), "file")
+    """One row per block of all matching files; see ``BlockFiles.catalog``."""
+    return BlockFiles(spark, path).catalog()
 
 
 def read_loop(
@@ -105,50 +115,21 @@ def read_loop(
 
     Columns are found by label, so files may order them differently; a column that a file
     lacks is NULL. Cells are text unless ``types`` names a type; ``?`` and unreadable cells
-    become NULL there. Only the listed columns are kept.
+    become NULL there. Only the listed columns are cut out.
     """
-    layout = _layout(spark, path).filter((F.col("block") == block) & F.col("loop").isNotNull())
-    if columns is None:
-        # distinct labels only: as many as the tables have columns
-        found = layout.select(F.posexplode("labels").alias("p", "l")).groupBy("l").agg(F.min("p").alias("p")).orderBy("p", "l").collect()
-        columns = [r["l"] for r in found]
-        if not columns:
-            raise ValueError(f"no loop block {block} in {path}")
-    places = layout.select(
-        "file", "start", "end", "rows_at", *[F.array_position("labels", c).alias(f"_at_{i}") for i, c in enumerate(columns)]
-    )
-    body = _inside(line_table(spark, path), places).filter(F.col("at") >= F.col("rows_at"))
-    cells = F.split("text", " ")
-    values = []
-    for i, c in enumerate(columns):
-        at = F.col(f"_at_{i}").cast("int")
-        text = F.when(at > 0, F.try_element_at(cells, F.greatest(at, F.lit(1))))
-        values.append((typed(text, types[c]) if types and c in types else text).alias(c))
-    # one row per block: how many rows the blocks before it hold
-    before = Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = body.groupBy("file", "start").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = blocks.select("file", "start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # between its first row and its end a block holds nothing but rows
-    return body.join(blocks, ["file", "start"]).select(
-        F.col("file").alias("_file"), (F.col("_before") + F.col("at") - F.col("rows_at")).alias("_row"), *values
-    )
+    return BlockFiles(spark, path).loop(block, columns, types)
 
 
 def read_pairs(spark: SparkSession, path: str | Sequence[str], block: str | None = None) -> DataFrame:
     """Key/value blocks as ``(file, block, key, value)``; the last value of a key wins."""
-    layout = _layout(spark, path).filter("loop is null")
-    layout = layout.filter(F.col("block") == block) if block is not None else layout
-    pairs = _inside(line_table(spark, path), layout.select("file", "start", "end", "block")).filter(F.col("text").startswith("_"))
-    key = F.substring_index("text", " ", 1)
-    value = F.when(F.instr("text", " ") > 0, F.regexp_replace("text", r"^\S+ ", "")).otherwise(F.lit(""))
-    return pairs.groupBy("file", "block", key.alias("key")).agg(F.max_by(value, "at").alias("value"))
+    return BlockFiles(spark, path).pairs(block)
 
 
 def write_loop(df: DataFrame, path: str, block: str = "particles", columns: Sequence[str] | None = None, order: str = "_row", missing: str = "?") -> None:
     """Write a loop block as text in row order, every part file a complete table.
 
-    Rows are range-partitioned by ``order``; the header goes in front of each part's first
-    row. Output is committed by Spark, so lost executors cost a retry, not the file.
+    Rows are range-partitioned by ``order``. A task that fails removes its file; the parts appear when
+    all are complete, together with a manifest that keeps their order. An empty table is one header.
     """
     names = [c for c in (columns or df.columns) if c != order and not c == "_file"]
     unlabelled = [c for c in names if not c.startswith("_")]
@@ -157,9 +138,6 @@ def write_loop(df: DataFrame, path: str, block: str = "particles", columns: Sequ
     kinds = {f.name: f.dataType for f in df.schema}
     line = F.concat_ws("  ", *[cell_text(F.col(c), kinds[c], missing) for c in names])
     header = "\n".join([f"data_{block}", "", "loop_", *[f"{c} #{i}" for i, c in enumerate(names, 1)], ""])
-    if df.isEmpty():
-        df.sparkSession.createDataFrame([(header.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
-        return
+    _source(df.sparkSession)
     ordered = df.repartitionByRange(order).sortWithinPartitions(order).select(line.alias("line"))
-    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
-    ordered.select(F.when(first, F.concat(F.lit(header), "line")).otherwise(F.col("line")).alias("value")).write.text(path)
+    ordered.write.format(FORMAT).option("header", header).mode("append").save(path)

@@ -1,10 +1,11 @@
+import json
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motes.sources import acquisition, blocks, lines, logs, stacks
+from motes.sources import acquisition, block_files, blocks, lines, logs, stacks
 
 TABLE = """# a comment
 data_optics
@@ -191,3 +192,108 @@ def test_structured_array_with_a_long_header(spark, tmp_path):
     array["first"] = [1, 2, 3]
     np.save(tmp_path / "long.npy", array)
     assert [r["first"] for r in read_structured(spark, str(tmp_path), {"first": "double"}).orderBy("_row").collect()] == [1.0, 2.0, 3.0]
+
+
+def plain_blocks(text):
+    """The rows of the loops of a text: block name -> (labels, rows), read line by line."""
+    blocks_, block, in_head = [], None, False
+    for line in text.replace("\r", "\n").split("\n"):
+        words = line.split()
+        if not words or words[0].startswith("#"):
+            continue
+        if words[0].startswith("data_"):
+            block = {"name": " ".join(words)[5:].strip(), "loop": False, "labels": [], "rows": [], "keys": 0}
+            blocks_.append(block)
+        elif block is None:
+            continue
+        elif words == ["loop_"]:
+            block.update(loop=True, labels=[], rows=[])
+            in_head = True
+        elif block["loop"] and in_head and words[0].startswith("_"):
+            block["labels"].append(words[0])
+        elif block["loop"]:
+            in_head = False
+            block["rows"].append(words)
+        elif words[0].startswith("_"):
+            block["keys"] += 1
+    return blocks_
+
+
+WEIRD = "x before\n_y 1\n" + TABLE + """data_odd
+_a 1
+loop_
+_p #1
+_q #2
+1 2
+_under 5
+loop_
+_r
+_s
+  _u 7
+9
+\t8   7  6
+data_empty
+loop_
+_only #1
+data_last
+""" + "".join(f"_k{i} v\r\n" for i in (1, 2, 3)) + "data_particles\rloop_\r_rlnImageName\r" + "".join(f"{i:06d}@z.mrcs\n" for i in range(40)) + "é" * 100
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000, 10**6])
+def test_ranges_of_any_size_give_the_same_blocks(tmp_path, size):
+    path = "file://" + save(tmp_path, "w.star", WEIRD)
+    data = WEIRD.encode()
+    lines_ = [b"".join(d for _, d in block_files.whole_lines(path, a, min(a + size, len(data)), chunk=11)) for a in range(0, len(data), size)]
+    assert b"".join(lines_) == data.replace(b"\r", b"\n")
+    found = block_files.blocks_of([(path, block_files.scan(path, a, min(a + size, len(data)), chunk=13)) for a in range(0, len(data), size)])
+    want = plain_blocks(WEIRD)
+    assert [(b.name, b.loop, list(b.labels), b.rows) for b in found] == [(b["name"], b["loop"], b["labels"], len(b["rows"]) if b["loop"] else b["keys"]) for b in want]
+    for b, w in zip(found, want, strict=True):
+        if b.loop:
+            read = [line.split() for start, end, _ in b.spans for _, d in block_files.whole_lines(path, start, end) for line in d.decode().split("\n")]
+            assert [r for r in read if r and not r[0].startswith("#")] == w["rows"]
+
+
+def test_blocks_over_range_edges(spark, tmp_path, small_splits, monkeypatch):
+    path = save(tmp_path, "w.star", WEIRD)
+    monkeypatch.setattr(block_files, "SMALLEST", 1)
+    files = blocks.BlockFiles(spark, path)
+    rows = files.loop("particles", columns=["_rlnImageName", "_rlnClassNumber", "_absent"]).orderBy("_row").collect()
+    want = [r for b in plain_blocks(WEIRD) if b["name"] == "particles" for r in b["rows"]]
+    assert [r["_rlnImageName"] for r in rows] == [w[0] for w in want] and [r["_row"] for r in rows] == list(range(len(want)))
+    assert rows[0]["_rlnClassNumber"] == "3" and rows[-1]["_rlnClassNumber"] is None and {r["_absent"] for r in rows} == {None}
+    assert {(r["block"], r["key"]) for r in files.pairs().collect()} == {("general", "_rlnTomoName"), ("general", "_rlnNote"), ("last", "_k1"), ("last", "_k2"), ("last", "_k3")}
+    plan = files.loop("particles")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_files_are_listed_like_tables(tmp_path):
+    for name in ("a/x.star", "a/_hidden", "a/.crc", "b/x.star", "k=1/x.star", "b/deep/y.star"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    short = lambda p: [x.split(str(tmp_path))[1] for x, _ in block_files.list_paths([f"{tmp_path}{p}"])]
+    assert short("") == ["/a/x.star", "/b/x.star", "/b/deep/y.star", "/k=1/x.star"]
+    assert short("/*/x.star") == ["/a/x.star", "/b/x.star", "/k=1/x.star"]
+    assert short("/{a,k=?}") == ["/a/x.star", "/k=1/x.star"]
+    assert short("/[b-c]") == ["/b/x.star", "/b/deep/y.star"]
+    with pytest.raises(FileNotFoundError):
+        block_files.list_paths([f"{tmp_path}/none"])
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    path = tmp_path / "out"
+    df = spark.range(1000).select(F.col("id").alias("_row"), F.when(F.col("id") == 700, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("_v"))
+    with pytest.raises(Exception, match="no"):
+        blocks.write_loop(df, str(path))
+    assert not [p for p in path.rglob("*") if p.is_file()]
+    blocks.write_loop(df.filter("_row < 700"), str(path / "good"))
+    names = sorted(p.name for p in (path / "good").iterdir())
+    parts = json.loads((path / "good" / "_manifest.json").read_text())
+    assert names == ["_manifest.json", *parts["parts"]] and sum(parts["rows"]) == 700
+    with pytest.raises(Exception, match="exists"):
+        blocks.write_loop(df.filter("_row < 700"), str(path / "good"))
+    # a part that the manifest does not name was never committed
+    (path / "good" / "part-999999.star").write_text("data_particles\nloop_\n_v\n5\n")
+    assert blocks.read_loop(spark, str(path / "good")).count() == 700
+    blocks.write_loop(df.limit(0), str(path / "none"))
+    assert blocks.read_loop(spark, str(path / "none")).columns == ["_file", "_row", "_v"] and blocks.read_loop(spark, str(path / "none")).count() == 0
