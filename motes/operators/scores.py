@@ -1,13 +1,12 @@
 """Similarity of images and maps.
 
 Aggregate scores work on pixel rows. Scores that compare many images work on packs: rows
-that hold at most ``PACK`` whole images and ``PACK_BYTES`` of pixels, so a task multiplies
+that hold a bounded number of whole images and bytes of pixels, so a task multiplies
 two bounded matrices and no pair of images ever becomes a row of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,13 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motes.operators.ordered import join_on_keys, position
-from motes.session import checkpointed
-
-PACK = 256
-PACK_BYTES = 32 << 20
-# Rounding of a distance near zero; searching a little wider never misses a partner.
-MARGIN = 1e-6
+from motes.operators.ordered import position
+from motes.operators.similar import pack_size, unit_images
 
 
 # --- pixel rows ------------------------------------------------------------
@@ -164,34 +158,6 @@ def structural_score(df: DataFrame, ny: int, nx: int, sigma: float = 1.0, key: s
 # --- packs of images -------------------------------------------------------
 
 
-def _unit(df: DataFrame, key: str, pixels: str) -> DataFrame:
-    """Zero-mean, unit-length pixel arrays ``u`` with a fingerprint of their bytes.
-
-    Flat images become all zero and have no fingerprint.
-    """
-    kind = df.schema[key].dataType.simpleString()
-
-    def scale(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                v = np.stack(part[pixels].to_numpy()).astype(np.float64)
-                largest = np.abs(v).max(1, keepdims=True)
-                v -= v.mean(1, keepdims=True)
-                norm = np.sqrt((v * v).sum(1, keepdims=True))
-                # what is left of a flat image is rounding
-                u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 1e-12 * largest)
-                marks = [hashlib.md5(r.tobytes()).hexdigest() if r.any() else None for r in u]
-                yield pd.DataFrame({key: part[key], "u": list(u), "print": marks})
-
-    return df.select(key, pixels).mapInPandas(scale, f"{key} {kind}, u array<double>, print string")
-
-
-def _pack_size(images: DataFrame, pixels: str) -> int:
-    """How many images of this size fit a pack."""
-    largest = images.agg(F.max(F.size(pixels)).alias("n")).first()["n"] or 1
-    return max(1, min(PACK, PACK_BYTES // (8 * largest)))
-
-
 def _packs(df: DataFrame, key: str, group: Sequence[str], pack: int) -> DataFrame:
     """Whole images gathered into rows of at most ``pack`` images: ``(group, pack, ids, us)``."""
     placed = position(df, group, key, "_p", sparse=True).withColumn("pack", F.floor(F.col("_p") / pack).cast("bigint"))
@@ -204,9 +170,9 @@ def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pa
 
     The matrix is the result, so it has one row per pair; the work is done pack by pack.
     """
-    pack = pack or _pack_size(maps, pixels)
-    right = _packs(_unit(maps, key, pixels).select(key, "u"), key, [], pack)
-    left = right if targets is None else _packs(_unit(targets, key, pixels).select(key, "u"), key, [], pack)
+    pack = pack or pack_size(maps, pixels)
+    right = _packs(unit_images(maps, key, pixels).select(key, "u"), key, [], pack)
+    left = right if targets is None else _packs(unit_images(targets, key, pixels).select(key, "u"), key, [], pack)
     # every pack meets every pack: the left side names the right packs it needs
     n = right.agg(F.max("pack").alias("n")).scalar()
     pairs = left.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), n))).join(
@@ -226,56 +192,3 @@ def correlation_matrix(maps: DataFrame, key: str = "map", pixels: str = "px", pa
     if targets is None:
         return out.withColumn("cc", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("cc")))
     return out
-
-
-def most_similar(images: DataFrame, key: str = "id", pixels: str = "px", group: Sequence[str] = (), pack: int | None = None) -> DataFrame:
-    """For every image the other image of its ``group`` with the highest positive correlation.
-
-    Exact: within a group (a view, a class, a stack) all pairs of different images are multiplied, pack by
-    pack, so the work grows with the square of the largest group; without groups it is an
-    all-pairs job. Copies of an image, however many, are merged first and point to each
-    other (the lowest id, whose partner is the second lowest). Each pack is sent once to
-    every pack of its group, itself included, so no task holds more than two packs.
-    """
-    pack = pack or _pack_size(images, pixels)
-    group = list(group)
-    kind = images.schema[key].dataType.simpleString()
-    units = _unit(images, key, pixels).filter("print is not null")
-    if group:
-        units = units.join(images.select(key, *group), key)
-    units = checkpointed(units)
-    same = [*group, "print"]
-
-    groups = units.groupBy(*same).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    copies = join_on_keys(units.select(key, *same), groups.filter("_n > 1").drop("_n"), same, "inner")
-    second = copies.filter(F.col(key) != F.col("_first")).groupBy(*same).agg(F.min(key).alias("_second"))
-    twins = join_on_keys(copies, second, same, "inner").select(
-        key, F.when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("similar"), F.lit(1.0).alias("cc")
-    )
-
-    singles = units.join(groups.select(F.col("_first").alias(key), (F.col("_n") == 1).alias("alone")), key)
-    packs = checkpointed(_packs(singles.select(key, "u", *group), key, group, pack))
-    if group:
-        asking = join_on_keys(packs, packs.groupBy(*group).agg(F.max("pack").alias("_last")), group, "inner")
-    else:
-        asking = packs.withColumn("_last", packs.agg(F.max("pack")).scalar())
-    tiles = asking.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))))
-    members = packs.select(*group, F.col("pack").alias("_to"), F.col("ids").alias("ids2"), F.col("us").alias("us2"))
-    pairs = join_on_keys(tiles, members, [*group, "_to"], "inner")
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for row in part.itertuples(index=False):
-                a, b = np.stack(row.us), np.stack(row.us2)
-                i, j = np.asarray(row.ids), np.asarray(row.ids2)
-                cc = a @ b.T
-                cc[i[:, None] == j[None, :]] = -np.inf
-                # ids are sorted, so the first maximum is the lowest id
-                best = cc.argmax(1)
-                yield pd.DataFrame({key: i, "similar": j[best], "cc": cc[np.arange(len(i)), best]})
-
-    found = pairs.select("ids", "us", "ids2", "us2").mapInPandas(search, f"{key} {kind}, similar {kind}, cc double")
-    found = found.join(singles.filter("alone").select(key), key)
-    best = found.filter("cc > 0").groupBy(key).agg(F.max(F.struct("cc", (-F.col("similar")).alias("s"))).alias("_b"))
-    picked = best.select(key, (-F.col("_b.s")).alias("similar"), F.col("_b.cc").alias("cc")).unionByName(twins)
-    return images.select(key).join(picked, key, "left").withColumn("cc", F.coalesce("cc", F.lit(0.0)))

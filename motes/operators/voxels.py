@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motes.operators.bricks import cut_packed_boxes
 from motes.operators.ordered import join_on_keys, order_statistics, percentiles
 
 VOXEL = ("z", "y", "x")
@@ -245,33 +246,11 @@ def cut_boxes(
     pad_value: float = 0.0,
     keys: Sequence[str] = ("tomo",),
 ) -> DataFrame:
-    """Cut a cube around each pick (``particle``, ``cz``, ``cy``, ``cx``).
+    """Cut a cube around each pick (``particle``, ``cz``, ``cy``, ``cx``): one output row per cube voxel.
 
-    One output row per cube voxel, found by one equi-join on the voxel's place; places
-    outside the volume get ``pad_value``. Picks whose sphere leaves the volume are dropped
-    by ``skip`` and an error with ``error``. ``radius`` also masks outside the sphere.
+    The boxes of ``bricks.cut_packed_boxes``, unpacked.
     """
-    keys = list(keys)
-    half = box // 2
-    r = radius or 0.0
-    placed = picks.join(sizes, keys)
-    inside = None
-    for a in VOXEL:
-        test = (F.col(f"c{a}") - r >= 0) & (F.col(f"c{a}") + r <= F.col(f"n{a}"))
-        inside = test if inside is None else inside & test
-    if policy == "skip":
-        placed = placed.filter(inside)
-    elif policy == "error":
-        placed = placed.filter(F.when(inside, F.lit(True)).otherwise(F.raise_error(F.lit("a pick reaches outside its volume")).cast("boolean")))
-    elif policy != "pad":
-        raise ValueError(f"unknown policy {policy}")
-    grid = placed.select(*keys, "particle", *[(F.rint(f"c{a}").cast("int") - half).alias(f"{a}0") for a in VOXEL])
-    for a in VOXEL:
-        grid = grid.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0), F.lit(box - 1)))).withColumn(a, F.col(f"{a}0") + F.col(f"i{a}"))
-    cut = grid.join(volumes.select(*keys, *VOXEL, F.col("v").alias("_v")), [*keys, *VOXEL], "left")
-    value = F.coalesce("_v", F.lit(pad_value))
-    if radius is not None:
-        c = (box - 1) / 2.0
-        d2 = sum((F.pow(F.col(f"i{a}") - c, 2) for a in ("y", "x")), F.pow(F.col("iz") - c, 2))
-        value = F.when(d2 <= radius * radius, value).otherwise(F.lit(pad_value))
-    return cut.select(*keys, "particle", *[f"i{a}" for a in VOXEL], value.alias("v"))
+    boxes = cut_packed_boxes(picks, volumes, sizes, box, radius, policy, pad_value, keys)
+    voxel = boxes.select(*keys, "particle", F.posexplode("px").alias("_p", "v"))
+    at = {"iz": F.floor(F.col("_p") / (box * box)), "iy": F.floor(F.col("_p") / box) % box, "ix": F.col("_p") % box}
+    return voxel.select(*keys, "particle", *[c.cast("int").alias(n) for n, c in at.items()], "v")

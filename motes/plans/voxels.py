@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motes.operators import scores
+from motes.operators import bricks, scores, similar
 from motes.operators import voxels as ops
 from motes.plans.registry import query
 from motes.plans.standins import VOXELS, table, voxels, with_
@@ -266,7 +266,19 @@ def structural_score(spark, sf_dir):
 )
 def most_similar(spark, sf_dir):
     images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("px"))
-    return _rounded(scores.most_similar(images), ["cc"])
+    return _rounded(similar.most_similar(images, []), ["cc"])
+
+
+@query(
+    "j19_most_similar_in_class",
+    """WITH e AS (SELECT vec_id AS id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), c AS (SELECT id, label, [x - list_avg(v) FOR x IN v] AS v FROM e),
+    s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS cc FROM c a JOIN c b ON a.id <> b.id AND a.label = b.label),
+    m AS (SELECT id, arg_max(other, cc) FILTER (WHERE cc > 0) AS similar, coalesce(max(cc) FILTER (WHERE cc > 0), 0) AS cc FROM s GROUP BY 1)
+    SELECT e.id, similar, round(coalesce(cc, 0), 6) AS cc FROM e LEFT JOIN m USING (id)""",
+)
+def most_similar_in_class(spark, sf_dir):
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("px"))
+    return _rounded(similar.most_similar(images, ["label"]), ["cc"])
 
 
 @query(
@@ -298,7 +310,7 @@ PICKS = """pk AS (SELECT c_custkey AS particle, CAST(c_custkey % (SELECT count(*
 g AS (SELECT *, a.r AS iz, b.r AS iy, c.r AS ix FROM pk, range(3) a(r), range(3) b(r), range(3) c(r))"""
 
 
-def _boxes(spark, sf_dir, **options):
+def _boxes(spark, sf_dir, cut=ops.cut_boxes, **options):
     vol = voxels(spark, sf_dir).withColumnRenamed("map", "tomo").select("tomo", "z", "y", "x", "v")
     n = table(spark, sf_dir, "embeddings").count()
     c = F.col("c_custkey")
@@ -306,7 +318,7 @@ def _boxes(spark, sf_dir, **options):
         c.alias("particle"), (c % n).alias("tomo"), (c % 4).cast("double").alias("cz"), (F.floor(c / 4) % 4).cast("double").alias("cy"), (F.floor(c / 16) % 4).cast("double").alias("cx")
     )
     sizes = vol.groupBy("tomo").agg(*[(F.max(a) + 1).alias(f"n{a}") for a in "zyx"])
-    return ops.cut_boxes(picks, vol, sizes, 3, **options)
+    return cut(picks, vol, sizes, 3, **options)
 
 
 @query(
@@ -319,6 +331,19 @@ def cut_boxes_padded(spark, sf_dir):
     return _boxes(spark, sf_dir, pad_value=-9.0)
 
 
+@query(
+    "j23_boxes_packed",
+    with_(VOXELS, PICKS)
+    + """SELECT tomo, particle, count(*) AS n, round(list_sum(list(coalesce(v, -9.0) * (1 + iz * 9 + iy * 3 + ix) ORDER BY iz, iy, ix)), 6) AS checked
+    FROM g LEFT JOIN vox ON map = tomo AND z = cz - 1 + iz AND y = cy - 1 + iy AND x = cx - 1 + ix GROUP BY ALL""",
+)
+def boxes_packed(spark, sf_dir):
+    """One row per box; the sum tells whether each value is in its place."""
+    boxes = _boxes(spark, sf_dir, cut=bricks.cut_packed_boxes, pad_value=-9.0)
+    checked = F.aggregate(F.transform("px", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return boxes.select("tomo", "particle", F.size("px").cast("bigint").alias("n"), F.round(checked, 6).alias("checked"))
+
+
 @query(
     "j23_cut_spheres",
     with_(VOXELS, PICKS)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motes.operators import fourier, scores, voxels
+from motes.operators import bricks, fourier, scores, similar, voxels
 
 RNG = np.random.default_rng(11)
 
@@ -70,7 +70,7 @@ def test_most_similar_finds_the_best_partner(spark, pack):
     others = [RNG.normal(size=12) for _ in range(60)]
     images = [*crowd, *others, np.ones(12), others[0] * 2 + 1]
     df = spark.createDataFrame(image_rows(images), "id bigint, px array<double>").repartition(5)
-    got = {r["id"]: (r["similar"], r["cc"]) for r in scores.most_similar(df, pack=pack).collect()}
+    got = {r["id"]: (r["similar"], r["cc"]) for r in similar.most_similar(df, [], pack=pack).collect()}
     cc = np.full((len(images), len(images)), -np.inf)
     for i, a in enumerate(images):
         for j, b in enumerate(images):
@@ -89,7 +89,7 @@ def test_most_similar_stays_in_its_group(spark):
     images += [images[0], images[1] * 3]
     rows = [(i, [float(x) for x in im], i % 3) for i, im in enumerate(images)]
     df = spark.createDataFrame(rows, "id bigint, px array<double>, view int")
-    got = {r["id"]: r["similar"] for r in scores.most_similar(df, group=["view"], pack=3).collect()}
+    got = {r["id"]: r["similar"] for r in similar.most_similar(df, ["view"], pack=3).collect()}
     for i, a in enumerate(images):
         cc = {j: np.corrcoef(a, b)[0, 1] for j, b in enumerate(images) if j != i and j % 3 == i % 3}
         assert got[i] is None or cc[got[i]] == pytest.approx(max(cc.values()))
@@ -99,7 +99,7 @@ def test_copies_point_to_each_other(spark):
     a, b = RNG.normal(size=8), RNG.normal(size=8)
     images = [b, a, a, a, a * 1.0, b + 0.01 * a]
     df = spark.createDataFrame(image_rows(images, ids=[50, 40, 9, 70, 10**15, 3]), "id bigint, px array<double>")
-    got = {r["id"]: (r["similar"], round(r["cc"], 6)) for r in scores.most_similar(df, pack=2).collect()}
+    got = {r["id"]: (r["similar"], round(r["cc"], 6)) for r in similar.most_similar(df, [], pack=2).collect()}
     near = round(np.corrcoef(b, b + 0.01 * a)[0, 1], 6)
     assert got == {9: (40, 1.0), 40: (9, 1.0), 70: (9, 1.0), 10**15: (9, 1.0), 50: (3, near), 3: (50, near)}
 
@@ -253,3 +253,41 @@ def test_statistics_inside_a_mask(spark):
     got = {r["map"]: (r["n"], r["max"], r["mean"]) for r in voxels.robust_statistics(df, ["map"], mask=mask).collect()}
     kept = [x for x in range(20) if x % 3 == 0]
     assert got == {m: (len(kept), kept[2] * (m + 1.0), sum(kept) * (m + 1) / len(kept)) for m in range(2)}
+
+
+@pytest.mark.parametrize("box,side", [(1, 2), (2, 2), (3, 4), (5, 16)])
+def test_packed_boxes_over_brick_edges(spark, box, side):
+    """Boxes inside, on edges and outside; repeated and misplaced picks; a sparse volume."""
+    rng = np.random.default_rng(4)
+    full = {(z, y, x): float(rng.integers(1, 99)) for z in range(7) for y in range(6) for x in range(5) if rng.random() < 0.8}
+    vol = spark.createDataFrame([("a", *at, v) for at, v in full.items()] + [("b", 0, 0, 0, 5.0), ("b", 0, 0, 1, None)], "tomo string, z int, y int, x int, v double")
+    centres = [(float(z), float(y), float(x)) for z, y, x in rng.integers(-3, 9, (25, 3))] + [(2.5, 2.5, 2.5)] * 2 + [(None, 1.0, 1.0)]
+    picks = spark.createDataFrame([("a", i if i < 25 else 99, *c) for i, c in enumerate(centres)] + [("b", 1, 0.0, 0.0, 0.0), ("c", 1, 0.0, 0.0, 0.0)], "tomo string, particle int, cz double, cy double, cx double")
+    sizes = spark.createDataFrame([("a", 7, 6, 5), ("b", 1, 1, 2)], "tomo string, nz int, ny int, nx int")
+    got = sorted((r["tomo"], r["particle"], r["px"]) for r in bricks.cut_packed_boxes(picks.repartition(3), vol, sizes, box, pad_value=-1.0, side=side).collect())
+    want = []
+    for tomo, particle, *centre in [tuple(r) for r in picks.collect()]:
+        if tomo == "c":
+            continue
+        known = full if tomo == "a" else {(0, 0, 0): 5.0}
+        low = [None if c is None else round(c) - box // 2 for c in centre]
+        cube = [(iz, iy, ix) for iz in range(box) for iy in range(box) for ix in range(box)]
+        want.append((tomo, particle, [-1.0 if None in low else known.get(tuple(a + b for a, b in zip(low, i, strict=True)), -1.0) for i in cube]))
+    assert got == sorted(want)
+
+
+def test_a_box_is_no_wider_than_a_brick(spark):
+    with pytest.raises(ValueError):
+        bricks.cut_packed_boxes(spark.range(1), spark.range(1), spark.range(1), 9, side=8)
+
+
+def test_packs_that_cannot_win_are_not_multiplied(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    images = [c + 0.02 * rng.normal(size=16) for c in centres for _ in range(20)]
+    df = spark.createDataFrame(image_rows(images), "id bigint, px array<double>").repartition(4)
+    rows = similar.most_similar(df, [], pack=10, work=True).collect()
+    cc = np.corrcoef(np.array(images))
+    np.fill_diagonal(cc, -1)
+    assert all(r["cc"] == pytest.approx(cc[r["id"]].max()) and cc[r["id"], r["similar"]] == pytest.approx(cc[r["id"]].max()) for r in rows)
+    assert sum(r["multiplied"] for r in rows) < 0.5 * len(images) ** 2
