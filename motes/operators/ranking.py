@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motes.operators.ordered import count_at_most, position, ranked, splitters
+from motes.operators.selection import first_rows
 from motes.operators.views import nearest_view
 from motes.session import checkpointed
 
@@ -46,6 +47,10 @@ def equalised_rank(
     first layer or when that best is not positive), ties by view. With ``half`` the rows
     with value 1 and the others are ranked apart.
 
+    A particle with a missing angle has no view, so ``view``, ``layer``, ``norm_score`` and the rank are NULL, and
+    the ranks of the others are as if it were not there. Only row number, half, view and score are shuffled
+    and kept on the way; the ranks are joined back by the unique row number ``_row`` (or ``tie``).
+
     No global sort: a layer holds at most one particle per view, and the number of
     particles in earlier layers is the sum over views of min(view size, layer), which
     follows from the view sizes alone.
@@ -54,23 +59,25 @@ def equalised_rank(
     # cut points come from the input, before the costlier steps
     cuts = cutting.pop("cuts", None)
     cuts = splitters(particles, score, cutting.pop("splits", None)) if cuts is None else cuts
-    placed = nearest_view(particles.withColumn("_half", split), views, rot, tilt, "view", compat)
-    layered = checkpointed(layer_in_view(placed, ["_half", "view"], score, cuts=cuts, **cutting))
-    sizes = layered.groupBy("_half", "view").agg(F.count(F.lit(1)).alias("_m"), F.max(score).alias("_best"))
+    tie = cutting.pop("tie", "_row")
+    narrow = particles.select(F.col(tie).alias("_row"), F.col(score).alias("_score"), F.col(rot).alias("_rot"), F.col(tilt).alias("_tilt"), split.alias("_half"))
+    placed = nearest_view(narrow, views, "_rot", "_tilt", "view", compat).filter("view is not null")
+    layered = checkpointed(layer_in_view(placed.select("_row", "_half", "view", "_score"), ["_half", "view"], "_score", cuts=cuts, **cutting))
+    sizes = layered.groupBy("_half", "view").agg(F.count(F.lit(1)).alias("_m"), F.max("_score").alias("_best"))
     sizes = checkpointed(sizes)
     # one row per half and view, so it fits the driver and every executor
     counts: dict[int, list[int]] = {}
     for row in sizes.select("_half", "_m").collect():
         counts.setdefault(row["_half"], []).append(row["_m"])
     turn = F.row_number().over(Window.partitionBy("_half", "layer").orderBy(F.col("norm_score").desc(), F.col("view")))
-    return (
+    places = (
         layered.join(F.broadcast(sizes.drop("_m")), ["_half", "view"])
-        .withColumn("norm_score", _norm_score(score, normalise))
+        .withColumn("norm_score", _norm_score("_score", normalise))
         .withColumn("_turn", turn)
         .withColumn("_full", _full_views(counts))
-        .withColumn(out, _place_in_turns(counts))
-        .drop("_turn", "_full", "_best", "_half")
+        .select(F.col("_row").alias(tie), "view", "layer", "norm_score", _place_in_turns(counts).alias(out))
     )
+    return particles.join(places, tie, "left")
 
 
 def _full_views(counts: dict[int, list[int]]):
@@ -112,18 +119,16 @@ def select_ranked(
     worst: bool = False,
     exact: bool = False,
     tie: str = "_row",
-    **cutting,
+    **narrowing,
 ) -> DataFrame:
     """The ``n`` rows with the lowest (or highest) rank value; ``_row`` keeps the file order.
 
-    ``exact`` fails when fewer than ``n`` rows exist. Not a sorted limit: that would pull
-    all ``n`` rows, which may be most of the table, through one task.
+    Rows without a rank come last. ``exact`` fails when fewer than ``n`` rows exist. See ``first_rows``.
     """
     by = by or find_rank_column(df)
     if exact and df.count() < n:
         raise ValueError(f"fewer than {n} rows to select from")
-    places = ranked(df, [], by, tie=tie, descending=worst, out="_place", **cutting)
-    return places.filter(F.col("_place") < n).drop("_place")
+    return first_rows(df, n, by, tie, descending=worst, **narrowing)
 
 
 def checkpoint_counts(

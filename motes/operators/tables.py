@@ -10,7 +10,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motes.operators.ordered import percentiles, ranked
+from motes.operators.ordered import percentiles
+from motes.operators.selection import first_rows
 
 
 # --- columns ---------------------------------------------------------------
@@ -95,11 +96,11 @@ def _draw(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
 
-def sample_rows(df: DataFrame, n: int, key: str = "_row", seed: int = 0, **cutting) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, key: str = "_row", seed: int = 0, **narrowing) -> DataFrame:
     """``n`` random rows, the same for the same seed; ``_row`` keeps the file order."""
     # 13 hex digits are exact in a double; equal draws are ordered by the key
     drawn = df.withColumn("_draw", F.conv(F.substring(_draw(F.col(key), seed), 1, 13), 16, 10).cast("double"))
-    return ranked(drawn, [], "_draw", tie=key, out="_place", **cutting).filter(F.col("_place") < n).drop("_draw", "_place")
+    return first_rows(drawn, n, "_draw", tie=key, **narrowing).drop("_draw")
 
 
 def random_halves(df: DataFrame, key: str = "_row", seed: int = 0, out: str = "subset") -> DataFrame:

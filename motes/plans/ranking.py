@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motes.operators import ranking, views
-from motes.operators.ordered import ROWS_PER_SPLIT
 from motes.plans.registry import query
 from motes.plans.standins import PARTICLES, VIEW_COUNT, VIEWS, particles, table, with_
+from motes.session import checkpointed
 
 RANKED = """layered AS (
   SELECT *, row_number() OVER (PARTITION BY half, view ORDER BY score DESC, _row) - 1 AS layer,
@@ -24,12 +24,6 @@ BY_HALF = "grouped AS (SELECT *, CASE WHEN subset = 1 THEN 1 ELSE 2 END AS half
 ONE_GROUP = "grouped AS (SELECT *, 1 AS half FROM placed)"
 
 
-def even_cuts(rows: int) -> list[float]:
-    """Cut points of a rank spread evenly over [0, 1)."""
-    parts = rows // ROWS_PER_SPLIT + 1
-    return [i / parts for i in range(1, parts)]
-
-
 @query(
     "flagship_best_even_views",
     with_(PARTICLES, VIEWS, BY_HALF, RANKED, recursive=True)
@@ -44,8 +38,9 @@ def flagship(spark, sf_dir):
     p = particles(spark, sf_dir)
     n = p.count()
     ranked = ranking.equalised_rank(p, VIEW_COUNT, half="subset")
-    # the rank is spread evenly over [0, 1), so its cut points need no look at the data
-    best = ranking.select_ranked(ranked, n // 2, by="rank", cuts=even_cuts(n))
+    # the selection looks at the ranks more than once
+    ranked = checkpointed(ranked.select("_row", "subset", "view", "cust", "rank"))
+    best = ranking.select_ranked(ranked, n // 2, by="rank")
     optics = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
@@ -54,6 +49,22 @@ def flagship(spark, sf_dir):
     )
 
 
+MISSING = "placed AS (SELECT * REPLACE (CASE WHEN _row % 7 = 3 THEN NULL ELSE view END AS view) FROM seen)"
+
+
+@query(
+    "r3_missing_angles",
+    with_(PARTICLES, VIEWS.replace("placed AS", "seen AS"), MISSING, "grouped AS (SELECT *, CASE WHEN subset = 1 THEN 1 ELSE 2 END AS half FROM placed WHERE view IS NOT NULL)", RANKED, recursive=True)
+    + "SELECT p._row, rnk.view, layer, round(rank, 9) AS rank FROM p LEFT JOIN rnk USING (_row)",
+)
+def missing_angles(spark, sf_dir):
+    """A particle without an angle keeps its row, has no rank, and does not count among the others."""
+    p = particles(spark, sf_dir)
+    some = {"rot": F.when(F.col("_row") % 14 != 3, F.col("rot")), "tilt": F.when(F.col("_row") % 14 != 10, F.col("tilt"))}
+    ranked = ranking.equalised_rank(p.withColumns(some), VIEW_COUNT, half="subset")
+    return ranked.select("_row", "view", "layer", F.round("rank", 9).alias("rank"))
+
+
 @query("j17_nearest_view", with_(PARTICLES, VIEWS, recursive=True) + "SELECT _row, view FROM placed")
 def nearest(spark, sf_dir):
     return views.nearest_view(particles(spark, sf_dir), VIEW_COUNT).select("_row", "view")

@@ -172,7 +172,7 @@ def test_overlapping_ranges(spark):
 def test_samples_repeat_for_the_same_seed(spark):
     df = spark.range(200).select(F.col("id").alias("_row"))
     take = lambda part, **o: {r["_row"] for r in tables.sample_rows(df.repartition(part), 40, seed=3, **o).collect()}
-    assert take(1) == take(7) == take(3, splits=5)
+    assert take(1) == take(7) == take(3, border=5)
     assert len(take(1)) == 40
     halves = [r["subset"] for r in tables.random_halves(df, seed=1).collect()]
     assert set(halves) == {1, 2} and 60 < halves.count(1) < 140

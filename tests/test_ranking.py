@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motes.operators import ranking, views
+from motes.operators.selection import first_rows
 
 
 @pytest.mark.parametrize("asked,kept", [(50, 49), (200, 199), (350, 350), (400, 400)])
@@ -93,7 +94,7 @@ def test_selection_cut_in_pieces(spark):
     data = [(i, rng.choice([1.0, 1.0, rng.random()])) for i in range(500)]
     df = spark.createDataFrame(data, "_row bigint, v double")
     for n in (0, 1, 170, 499):
-        got = {r["_row"] for r in ranking.select_ranked(df, n, "v", splits=4, chunk=16).collect()}
+        got = {r["_row"] for r in ranking.select_ranked(df, n, "v", border=16).collect()}
         assert got == {row for row, _ in sorted(data, key=lambda d: (d[1], d[0]))[:n]}
 
 
@@ -122,3 +123,45 @@ def test_ids_continue(spark):
     assert got == {2: "P000013", 4: "P000014"}
     empty = old.filter("name = 'none'")
     assert {r["particle_id"] for r in ranking.assign_ids(new, empty, start=5).collect()} == {5, 6}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "timestamp", "decimal(20,3)"])
+def test_first_rows_of_any_type(spark, kind):
+    rng = random.Random(3)
+    values = [rng.choice([7, 7, rng.randrange(1000)]) for _ in range(700)]
+    df = spark.createDataFrame([(i, None if i % 50 == 49 else v) for i, v in enumerate(values)], "_row bigint, n bigint")
+    # numbers that a double can't tell apart, not-a-number, and equal beginnings of texts
+    made = {
+        "bigint": F.col("n") + F.lit(1 << 60),
+        "double": F.when(F.col("n") > 900, F.lit(float("nan"))).otherwise(F.col("n") / 7),
+        "string": F.concat(F.lit("the same é "), F.lpad(F.col("n").cast("string"), 4, "0")),
+        "timestamp": F.timestamp_micros(F.col("n")),
+        "decimal(20,3)": (F.col("n") / 8).cast("decimal(20,3)"),
+    }[kind]
+    df = df.withColumn("v", made.cast(kind)).repartition(3)
+    known = [(min(v, 901) if kind == "double" else v, i) for i, v in enumerate(values) if i % 50 != 49]
+    missing = [i for i in range(700) if i % 50 == 49]
+    for n in (1, 333, len(known) + 3):
+        for down in (False, True):
+            order = [i for _, i in sorted(known, key=lambda x: (-x[0] if down else x[0], x[1]))] + missing
+            for border in (40, 100_000):
+                got = {r["_row"] for r in first_rows(df, n, "v", descending=down, border=border).collect()}
+                assert got == set(order[:n]), (n, down, border)
+
+
+def test_selection_is_a_filter(spark):
+    df = spark.range(3000).select(F.col("id").alias("_row"), (F.col("id") % 991).cast("double").alias("v"))
+    plan = first_rows(df, 100, "v", border=50)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_missing_angles_have_no_rank(spark):
+    data = [(i, random.Random(i).random() * 360, random.Random(-i).random() * 180, float(i % 37), 1 + i % 2) for i in range(260)]
+    df = spark.createDataFrame([(i, None if i < 30 else r, None if 200 < i < 231 else t, s, h) for i, r, t, s, h in data], "_row bigint, rot double, tilt double, score double, subset int")
+    got = {r["_row"]: r["rank"] for r in ranking.equalised_rank(df, 30, half="subset").collect()}
+    gone = {i for i in range(260) if i < 30 or 200 < i < 231}
+    assert len(got) == 260 and {i for i, r in got.items() if r is None} == gone
+    alone = {r["_row"]: r["rank"] for r in ranking.equalised_rank(df.filter("rot is not null and tilt is not null"), 30, half="subset").collect()}
+    assert alone == {i: r for i, r in got.items() if r is not None}
+    chosen = {r["_row"] for r in ranking.select_ranked(ranking.equalised_rank(df, 30), 20, by="rank").collect()}
+    assert len(chosen) == 20 and not chosen & gone
