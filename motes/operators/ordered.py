@@ -12,17 +12,29 @@ Two ways of cutting are used: by ranges of an integer row number (``position``,
 from __future__ import annotations
 
 import json
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StringType
+from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, LongType, NumericType, StringType, StructField, StructType
+
+from motes.operators.sketches import as_number, is_nan, quantile_grid
+from motes.session import checkpointed
 
 # Row numbers per chunk: the most rows a task sorts for one group and chunk.
 CHUNK_ROWS = 1 << 20
 # Rows aimed at between two cut points of a value range, and sampled values per cut point.
 ROWS_PER_SPLIT = 2_000_000
 SAMPLED_PER_SPLIT = 16
+# Of the sketch that bounds an order statistic: its size (rank error about 0.4 %), the quantiles
+# asked of it, and how much wider than one of their steps a bound is.
+SKETCH = 1024
+GRID = 250
+SLACK = 0.008
+# Values that are sorted in one row at most.
+BORDER = 100_000
 
 
 def group_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -273,6 +285,70 @@ def value_counts(
     )
 
 
+def _interval(index: Column, grid: Column, size: Column) -> tuple[Column, Column]:
+    """Bounds between which the value at a sorted index lies if the sketch is right; NULL is open."""
+    share = index / size
+    low, high = F.floor((share - SLACK) * GRID).cast("int"), (F.ceil((share + SLACK) * GRID)).cast("int")
+    return F.when(low >= 0, F.get(grid, low)), F.when(high <= GRID, F.get(grid, high))
+
+
+def _whole_table(df: DataFrame, by: str, picks: Mapping[str, Column], border: int = BORDER) -> DataFrame | None:
+    """The order statistics of a whole numeric table as one row; None where a narrow interval stays crowded.
+
+    The bounds are numbers on the driver. All intervals are counted in one pass, and their values, at most ``border``
+    each, are sorted in one row.
+    """
+    names, kind = list(picks), df.schema[by].dataType
+    number, plain = as_number(F.col(by), kind)
+    values = df.filter(F.col(by).isNotNull()).select(F.col(by).alias("_by"), number.alias("_number"))
+    first = values.agg(F.count(F.lit(1)).alias("_n"), F.count_if(~is_nan(F.col("_number"), plain)).alias("real"), quantile_grid(F.col("_number"), plain, GRID, SKETCH).alias("grid")).first()
+    one = df.sparkSession.createDataFrame([(first["_n"] or None,)], "_n bigint")
+    at = list(one.select(*[picks[name].cast("bigint").alias(name) for name in names]).first())
+    if not first["_n"] or first["grid"] is None or any(i is None or not 0 <= i < first["real"] for i in at):
+        return None
+    low, high, before, inside = [None] * len(at), [None] * len(at), [0] * len(at), [first["real"]] * len(at)
+    grids = [first["grid"]] * len(at)
+
+    def within(p: int) -> Column:
+        test = ~is_nan(F.col("_number"), plain)
+        test = test if low[p] is None else test & (F.col("_number") >= F.lit(low[p]))
+        return test if high[p] is None else test & (F.col("_number") <= F.lit(high[p]))
+
+    crowded = list(range(len(at)))
+    while crowded:
+        tried = {}
+        for p in crowded:
+            share = (at[p] - before[p]) / inside[p]
+            tried[p] = grids[p][max(0, int((share - SLACK) * GRID))], grids[p][min(GRID, int((share + SLACK) * GRID) + 1)]
+        counts = []
+        for p, (a, b) in tried.items():
+            counts += [F.count_if(within(p) & (F.col("_number") < F.lit(a))), F.count_if(within(p) & (F.col("_number") >= F.lit(a)) & (F.col("_number") <= F.lit(b)))]
+        got = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+        still = []
+        for j, p in enumerate(crowded):
+            smaller, between = got[2 * j], got[2 * j + 1]
+            if not before[p] + smaller <= at[p] < before[p] + smaller + between:
+                return None
+            shrunk = between <= inside[p] // 2
+            low[p], high[p], before[p], inside[p] = *tried[p], before[p] + smaller, between
+            if between > border and low[p] != high[p]:
+                if not shrunk:
+                    return None
+                still.append(p)
+        crowded = still
+        if crowded:
+            again = values.agg(*[quantile_grid(F.when(within(p), F.col("_number")), plain, GRID, SKETCH).alias(f"g{p}") for p in crowded]).first()
+            for p in crowded:
+                grids[p] = again[f"g{p}"]
+    # a value that fills its interval needs no sorting
+    open_ = [p for p in range(len(at)) if low[p] != high[p]]
+    lists = values.filter(reduce(operator.or_, map(within, open_))).agg(*[F.sort_array(F.collect_list(F.when(within(p), F.col("_by"))))[at[p] - before[p]].alias(f"v{p}") for p in open_]).first() if open_ else None
+    row = [lists[f"v{p}"] if p in open_ else low[p] for p in range(len(at))]
+    schema = StructType([StructField("n", LongType()), *[StructField(f"p{p}", DoubleType() if plain == "double" else LongType()) for p in range(len(at))]])
+    found = df.sparkSession.createDataFrame([(first["_n"], *[float(v) if plain == "double" else v for v in row])], schema)
+    return found.select("n", *[F.col(f"p{p}").cast(kind).alias(name) for p, name in enumerate(names)])
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
@@ -280,20 +356,53 @@ def order_statistics(
     picks: Mapping[str, Column],
     **cutting,
 ) -> DataFrame:
-    """The values at given 0-based sorted indices, one row per group.
+    """The values at given 0-based sorted indices, one row per group; NULL values do not count.
 
     ``picks`` maps an output name to an index written in terms of the group size ``_n``.
+
+    A quantile sketch per group bounds each wanted value, exact counts tell how many are smaller than the bound and
+    whether it holds (else it is left open), and only values inside the bounds are shuffled and sorted.
     """
     keys = list(keys)
-    counts = value_counts(df.filter(F.col(by).isNotNull()), keys, by, **cutting)
-    # inside ``picks`` the group size is called _n
-    picked = counts.withColumnsRenamed({"_n": "_copies", "_total": "_n"})
-    aggs = []
-    for out, index in picks.items():
-        at = index.cast("bigint")
-        hit = (F.col("_before") <= at) & (at < F.col("_before") + F.col("_copies"))
-        aggs.append(F.max(F.when(hit, F.col(by))).alias(out))
-    return picked.groupBy(*keys).agg(F.max("_n").alias("n"), *aggs)
+    if not keys and isinstance(df.schema[by].dataType, NumericType) and not isinstance(df.schema[by].dataType, DecimalType) and not cutting:
+        whole = _whole_table(df, by, picks)
+        if whole is not None:
+            return whole
+    number, kind = as_number(F.col(by), df.schema[by].dataType)
+    values = df.filter(F.col(by).isNotNull()).select(*keys, F.col(by).alias("_by"), number.alias("_number"))
+    real = ~is_nan(F.col("_number"), kind)
+    sized = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(real).alias("_real"), quantile_grid(F.col("_number"), kind, GRID, SKETCH).alias("_grid"))
+    names = list(picks)
+    sized = sized.withColumns({f"_i{p}": picks[name].cast("bigint") for p, name in enumerate(names)})
+    ends = {}
+    for p in range(len(names)):
+        ends[f"_l{p}"], ends[f"_h{p}"] = _interval(F.col(f"_i{p}"), F.col("_grid"), F.col("_real"))
+    # a sketch made again may give other bounds, so one is kept
+    bounds = checkpointed(sized.withColumns(ends).drop("_grid", "_real"))
+
+    def between(p: int) -> Column:
+        low, high = F.col(f"_l{p}"), F.col(f"_h{p}")
+        return (low.isNull() | (F.col("_number") >= low)) & (high.isNull() | (F.col("_number") <= high))
+
+    numbers = range(len(names))
+    checks = [F.count_if(F.col("_number") < F.col(f"_l{p}")).alias(f"_b{p}") for p in numbers] + [F.count_if(between(p)).alias(f"_c{p}") for p in numbers]
+    counted = _with_groups(values.select(*keys, "_number"), bounds, keys).groupBy(*keys).agg(*checks)
+    narrowed = join_on_keys(bounds, counted, keys, "inner") if keys else bounds.crossJoin(counted)
+    holds = {p: (F.col(f"_i{p}") >= F.col(f"_b{p}")) & (F.col(f"_i{p}") < F.col(f"_b{p}") + F.col(f"_c{p}")) for p in numbers}
+    fields = [[F.when(holds[p], F.col(f"_{x}{p}")).alias(f"_{x}{p}") for x in "lh"] + [(F.col(f"_i{p}") - F.when(holds[p], F.col(f"_b{p}")).otherwise(0)).alias(f"_t{p}")] for p in numbers]
+    final = narrowed.select(*keys, "_n", *[c for three in fields for c in three])
+    wanted = F.array(*[F.when(between(p), F.struct(F.lit(p).alias("_pick"), F.col(f"_t{p}").alias("_at"))) for p in numbers])
+    inside = _with_groups(values, final, keys).select(*keys, F.col("_n").alias("_size"), "_by", F.explode(F.filter(wanted, lambda w: w.isNotNull())).alias("_w"))
+    inside = checkpointed(inside.select(*keys, "_size", "_w._pick", "_w._at", F.col("_by").alias("_value")))
+
+    counts = value_counts(inside, [*keys, "_size", "_pick", "_at"], "_value", **cutting)
+    hit = counts.filter((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n")))
+    return hit.groupBy(*keys).agg(F.max("_size").alias("n"), *[F.max(F.when(F.col("_pick") == p, F.col("_value"))).alias(name) for p, name in enumerate(names)])
+
+
+def _with_groups(values: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Each value with what is known of its group; one row stands for the whole table without keys."""
+    return join_on_keys(values, groups, keys, "inner") if keys else values.crossJoin(F.broadcast(groups))
 
 
 def percentiles(

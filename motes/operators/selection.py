@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, ByteType, DataType, DateType, IntegerType, LongType, ShortType, StringType, TimestampNTZType, TimestampType
+
 from motes.operators.ordered import ranked
+from motes.operators.sketches import as_number, quantile_grid
 
 # Size of the sketch: its rank error is about 0.1 %. Quantiles asked of it, evenly spaced.
 SKETCH = 4096
@@ -22,27 +23,6 @@ SLACK = 0.002
 BORDER = 100_000
 
 
-def _number(value: Column, kind: DataType) -> tuple[Column, str]:
-    """A number that never falls where the value rises, and its type."""
-    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType, BooleanType)):
-        return value.cast("bigint"), "bigint"
-    if isinstance(kind, DateType):
-        return F.unix_date(value).cast("bigint"), "bigint"
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp")), "bigint"
-    if isinstance(kind, StringType):
-        # the first seven bytes
-        return F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint"), "bigint"
-    return value.cast("double"), "double"
-
-
-def quantile_grid(value: Column, kind: str, size: int = GRID) -> Column:
-    """``size + 1`` evenly spaced quantiles of a sketch of the values; NULL without values. NaN does not count."""
-    sketch, get = (F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint) if kind == "bigint" else (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double)
-    some = F.count_if(value.isNotNull() & ~F.isnan(value.cast("double"))) > 0
-    return F.when(some, get(sketch(value, F.lit(SKETCH)), F.array(*[F.lit(i / size) for i in range(size + 1)])))
-
-
 @dataclass
 class _Interval:
     """Bounds of the n-th value's number (None: open), rows that come before it for sure, rows inside."""
@@ -59,19 +39,18 @@ class _Interval:
         return out if self.high is None else out & (number <= F.lit(self.high))
 
 
-def _narrowed(rows: DataFrame, kind: str, n: int, descending: bool, at: _Interval) -> _Interval:
-    """One sketch and one exact count inside an interval."""
-    number = F.col("_number")
-    inside = rows.filter(at.holds(number))
-    grid = inside.agg(quantile_grid(number, kind).alias("g")).first()["g"]
+def _narrowed(rows: DataFrame, grid: list | None, n: int, descending: bool, at: _Interval) -> _Interval:
+    """An interval inside another one, by a grid of its quantiles and one exact count."""
     if grid is None:
         return at
+    number = F.col("_number")
     share = (n - at.before) / at.inside
     share = 1 - share if descending else share
     low = grid[max(0, int((share - SLACK) * GRID))]
     high = grid[min(GRID, int((share + SLACK) * GRID) + 1)]
     sure = number > F.lit(high) if descending else number < F.lit(low)
-    got = inside.agg(F.count_if(sure).alias("sure"), F.count_if((number >= F.lit(low)) & (number <= F.lit(high))).alias("inside")).first()
+    inside = (number >= F.lit(low)) & (number <= F.lit(high))
+    got = rows.filter(at.holds(number)).agg(F.count_if(sure).alias("sure"), F.count_if(inside).alias("inside")).first()
     before = at.before + got["sure"]
     # where the sketch was off, the interval stays as it was
     return _Interval(low, high, before, got["inside"]) if before < n <= before + got["inside"] else at
@@ -82,26 +61,28 @@ def nth_row(df: DataFrame, n: int, by: str, tie: str, descending: bool = False,
 
     By value, equal values by ``tie`` ascending; NaN is the largest value. ``tie`` is a unique integer.
     """
-    number, kind = _number(F.col(by), df.schema[by].dataType)
+    number, kind = as_number(F.col(by), df.schema[by].dataType)
     rows = df.filter(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.col(tie).alias("_tie"), number.alias("_number"))
-    total = rows.count()
-    if n > total or n < 1:
+    looked = [F.count(F.lit(1)).alias("n"), quantile_grid(F.col("_number"), kind, GRID, SKETCH).alias("grid")]
+    first = rows.agg(*looked).first()
+    if n > first["n"] or n < 1:
         return None
-    at = _Interval(None, None, 0, total)
+    at, grid = _Interval(None, None, 0, first["n"]), first["grid"]
     while at.inside > border:
-        found = _narrowed(rows, kind, n, descending, at)
+        found = _narrowed(rows, grid, n, descending, at)
         # equal numbers are not narrowed any further
-        if found.inside > at.inside // 2:
-            at = found if found.inside < at.inside else at
+        stuck, at = found.inside > at.inside // 2, found
+        if stuck:
             break
-        at = found
-    between = rows.filter(at.holds(F.col("_number")))
-    order = F.col("_by").desc() if descending else F.col("_by").asc()
+        if at.inside > border:
+            grid = rows.filter(at.holds(F.col("_number"))).agg(looked[1]).first()["grid"]
+    between = rows.filter(at.holds(F.col("_number"))).select("_by", "_tie")
+    place = n - at.before - 1
     if at.inside <= border:
-        place = F.row_number().over(Window.orderBy(order, F.col("_tie")))
-        return between.withColumn("_place", place).filter(F.col("_place") == n - at.before).select("_by", "_tie").first()
-    placed = ranked(between.select("_by", "_tie"), [], "_by", tie="_tie", descending=descending, out="_place")
-    return placed.filter(F.col("_place") == n - at.before - 1).select("_by", "_tie").first()
+        order = F.col("_by").desc() if descending else F.col("_by").asc()
+        return between.sort(order, "_tie").offset(place).limit(1).first()
+    placed = ranked(between, [], "_by", tie="_tie", descending=descending, out="_place")
+    return placed.filter(F.col("_place") == place).select("_by", "_tie").first()
 
 
 def first_rows(df: DataFrame, n: int, by: str, tie: str = "_row", descending: bool = False, border: int = BORDER) -> DataFrame:

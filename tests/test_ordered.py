@@ -165,3 +165,21 @@ def test_values_compare_in_their_own_type(spark, splits, descending):
         want = {r["_row"]: r["w"] for r in df.select("_row", (F.row_number().over(Window.orderBy(order, "_row")) - 1).alias("w")).collect()}
         got = {r["_row"]: r["_rank"] for r in ordered.ranked(df, [], "v", descending=descending, splits=splits, chunk=2).collect()}
         assert got == want, kind
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint", "float", "int"])
+@pytest.mark.parametrize("border", [20, 100_000])
+def test_order_statistics_of_a_whole_table(spark, kind, border):
+    rng = random.Random(6)
+    values = [rng.choice([3, 3, rng.randrange(5000)]) for _ in range(3000)]
+    if kind == "bigint":
+        values = [v + (1 << 60) for v in values]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 7, "v bigint").select(F.col("v").cast(kind).alias("v")).repartition(3)
+    n = F.col("_n")
+    picks = {"first": F.lit(0), "low": F.floor(n * 0.1), "mid": F.floor(n / 2), "last": n - 1}
+    want = sorted(values)
+    for got in (ordered._whole_table(df, "v", picks, border=border), ordered.order_statistics(df, [], "v", picks, splits=3).select("n", *picks)):
+        if got is not None:
+            assert tuple(got.first()) == (3000, want[0], want[300], want[1500], want[-1])
+    assert border == 20 or ordered._whole_table(df, "v", picks) is not None
+    assert ordered.order_statistics(df.filter("v < 0"), [], "v", picks).first()["mid"] is None
