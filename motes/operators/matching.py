@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motes.functions.keys import simple_name
+from motes.operators.checks import require
 from motes.operators.ordered import position
 from motes.operators.summaries import first_of_key
+from motes.session import checkpointed
 
 
 def with_optics(particles: DataFrame, optics: DataFrame, key: str, keep_key: bool = False) -> DataFrame:
@@ -25,13 +28,11 @@ def with_optics(particles: DataFrame, optics: DataFrame, key: str, keep_key: boo
 
 def with_checked_optics(particles: DataFrame, optics: DataFrame, key: str) -> DataFrame:
     """Add optics fields; a repeated group or a particle without one is an error."""
-    twice = optics.groupBy(key).count().filter("count > 1").count()
-    if twice:
-        raise ValueError(f"{twice} optics groups occur more than once")
-    orphans = particles.join(optics, key, "left_anti").count()
-    if orphans:
-        raise ValueError(f"{orphans} particles have no optics group")
-    return particles.join(optics, key, "left")
+    rest = [c for c in optics.columns if c != key]
+    groups = optics.groupBy(key).agg(F.any_value(F.struct(F.lit(True), *rest)).alias("_o"), F.count(F.lit(1)).alias("_copies"))
+    once = require(groups, F.col("_copies") == 1, "an optics group occurs more than once").drop("_copies")
+    joined = require(particles.join(once, key, "left"), F.col("_o").isNotNull(), "a particle has no optics group")
+    return joined.select(*particles.columns, *[F.col("_o")[c].alias(c) for c in rest])
 
 
 def recover_optics(optics: DataFrame, particles: DataFrame, key: str, fields: Sequence[str], order: str = "_row") -> DataFrame:
@@ -73,15 +74,11 @@ def back_map(
     otherwise stays as it is. ``audit`` keeps the old key in a column of that name.
     """
     lookup = _lookup(mapping, key, source)
-    clash = lookup.filter(F.col("_source") != F.col("_other"))
-    bad = clash.count()
-    if bad:
-        raise ValueError(f"{bad} keys map to more than one source")
+    single = require(lookup, F.col("_source").eqNullSafe(F.col("_other")), F.concat(F.lit("more than one source for "), F.col(key).cast("string")))
+    joined = processed.join(single.select(key, "_source", "_copies"), key, "left")
     if strict:
-        lost = processed.join(mapping.select(key), key, "left_anti").count()
-        if lost:
-            raise ValueError(f"{lost} keys have no source; pass strict=False to keep them")
-    joined = processed.join(lookup.select(key, "_source"), key, "left")
+        joined = require(joined, F.col("_copies").isNotNull(), F.concat(F.lit("no source; pass strict=False to keep "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    joined = joined.drop("_copies")
     if audit:
         joined = joined.withColumn(audit, F.col(key))
     return joined.withColumn(key, F.coalesce("_source", key)).drop("_source")
@@ -202,23 +199,40 @@ def best_refinement(reference: DataFrame, others: Sequence[DataFrame], keys: Seq
 # --- names and paths -------------------------------------------------------
 
 
-def assign_micrographs(particles: DataFrame, micrographs: DataFrame, name: str = "mic", mic_row: str = "_row") -> DataFrame:
+def assign_micrographs(particles: DataFrame, micrographs: DataFrame, name: str = "mic", mic_row: str = "_row", batch: int = 200_000) -> DataFrame:
     """Add ``mic_row``: the first micrograph whose simplified name is part of the particle's.
 
-    Works on distinct names. A name is cut into its pieces of every length that occurs
-    among micrographs, and pieces are matched by equality, so no pair of names is compared
-    that does not match.
+    Works on distinct names. An automaton over micrograph names runs once through each particle
+    name and sees every name that ends at each place, so no row is made per piece of a name and no pair
+    of names is compared. A task holds an automaton of about ``batch`` micrograph names and as many particle
+    names; where there are more, each share of the one meets each share of the other.
     """
-    mics = micrographs.groupBy(simple_name(F.col(name)).alias("_piece")).agg(F.min(mic_row).alias("mic_row"))
-    lengths = mics.agg(F.collect_set(F.length("_piece")).alias("l"))  # at most the longest name
-    names = particles.select(simple_name(F.col(name)).alias("_simple")).distinct()
-    pieces = (
-        names.withColumn("_len", F.explode(lengths.scalar()))
-        .filter(F.col("_len") <= F.length("_simple"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_simple") - F.col("_len") + 1)))
-        .select("_simple", F.substring("_simple", F.col("_at"), F.col("_len")).alias("_piece"))
-    )
-    found = pieces.join(mics, "_piece").groupBy("_simple").agg(F.min("mic_row").alias("mic_row"))
+    mics = checkpointed(micrographs.groupBy(simple_name(F.col(name)).alias("_piece")).agg(F.min(mic_row).alias("mic_row")).filter("_piece IS NOT NULL"))
+    names = checkpointed(particles.select(simple_name(F.col(name)).alias("_simple")).filter("_simple IS NOT NULL").distinct())
+    left, right = names.count() // batch + 1, mics.count() // batch + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    texts = names.withColumn("_share", F.pmod(F.hash("_simple"), F.lit(left))).withColumn("_part", every(right))
+    patterns = mics.withColumn("_part", F.pmod(F.hash("_piece"), F.lit(right))).withColumn("_share", every(left))
+    kind = mics.schema["mic_row"].dataType.simpleString()
+
+    def search(texts: pa.Table, patterns: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        pieces = dict(zip(patterns.column("_piece").to_pylist(), patterns.column("mic_row").to_pylist(), strict=True))
+        anywhere = pieces.pop("", None)  # an empty name is part of every name
+        for piece, row in pieces.items():
+            found.add_word(piece, row)
+        found.make_automaton()
+        simple, rows = texts.column("_simple").to_pylist(), []
+        for text in simple:
+            hits = [row for _, row in found.iter(text)] if pieces else []
+            rows.append(min(hits if anywhere is None else [*hits, anywhere], default=None))
+        return pa.table({"_simple": pa.array(simple, pa.string()), "mic_row": pa.array(rows, patterns.schema.field("mic_row").type)})
+
+    on = ["_share", "_part"]
+    hits = texts.groupBy(*on).cogroup(patterns.groupBy(*on)).applyInArrow(search, f"_simple string, mic_row {kind}")
+    found = hits.filter("mic_row IS NOT NULL").groupBy("_simple").agg(F.min("mic_row").alias("mic_row"))
     return particles.withColumn("_simple", simple_name(F.col(name))).join(found, "_simple", "left").drop("_simple")
 
 
@@ -279,11 +293,10 @@ def gather_slices(particles: DataFrame, slices: DataFrame, out_stack: str, stric
     wanted = position(particles, [], "_row", "_pos").withColumn("slice", F.col("image_no") - 1)
     joined = wanted.join(slices, ["stack", "slice"], "left")
     if strict:
-        check = joined.agg(F.count_if(F.col("px").isNull()).alias("lost"), F.count_distinct("ny", "nx").alias("sizes")).first()
-        if check["lost"]:
-            raise ValueError(f"{check['lost']} slices are missing")
-        if check["sizes"] > 1:
-            raise ValueError("slices differ in size")
+        joined = require(joined, F.col("px").isNotNull(), F.concat(F.lit("a slice is missing: "), F.coalesce(image_key(F.col("image_no"), F.col("stack")), F.lit("NULL"))))
+        # sizes alone are compared first, without pixels
+        sizes = wanted.select("stack", "slice").join(slices.select("stack", "slice", "ny", "nx"), ["stack", "slice"])
+        joined = require(joined, F.col("px").isNull() | (F.struct("ny", "nx") == sizes.agg(F.min(F.struct("ny", "nx")).alias("s")).scalar()), "slices differ in size")
     return joined.select(
         "_row",
         image_key(F.col("_pos") + 1, F.lit(out_stack)).alias("image"),
@@ -302,6 +315,44 @@ def expand_ranges(entries: DataFrame, start: str, end: str, keys: Sequence[str],
     return last.select(*keys, out, *[F.col("_last")[c].alias(c) for c in fields])
 
 
+def _bins(start: Column, end: Column) -> Column:
+    """A range as bins of power-of-two width: ``(level, bin)`` stands for bin * 2^level and what follows, 2^level numbers.
+
+    From the finest level up, an end that does not fill a bin of the next level is a bin of its own; so a
+    range of length n is at most about 2 log2(n) bins.
+    """
+    one = lambda at, level, test: F.when(test, F.array(F.struct(level.alias("level"), at.alias("bin")))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+
+    def step(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        left = (a < b) & (a.bitwiseAND(F.lit(1).cast("bigint")) == 1)
+        a2 = F.when(left, a + 1).otherwise(a)
+        right = (a2 < b) & (b.bitwiseAND(F.lit(1).cast("bigint")) == 1)
+        b2 = F.when(right, b - 1).otherwise(b)
+        bins = F.concat(state["bins"], one(a, level, left), one(b2, level, right))
+        return F.struct(F.shiftright(a2, 1).alias("a"), F.shiftright(b2, 1).alias("b"), bins.alias("bins"))
+
+    first = F.struct(start.cast("bigint").alias("a"), (end.cast("bigint") + 1).alias("b"), F.array().cast("array<struct<level:int,bin:bigint>>").alias("bins"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), first, step)["bins"]
+
+
+def last_covering(points: DataFrame, point: str, entries: DataFrame, start: str, end: str, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
+    """Every row of ``points`` with the fields of the last entry of its keys whose range holds it, NULL where none does.
+
+    Ranges become bins of power-of-two width, a point is in one bin of each width that occurs, so this is an
+    equi-join whose rows grow with the logarithm of a range's length.
+    """
+    on = list(keys)
+    binned = entries.filter(F.col(start) <= F.col(end)).select(*on, order, *fields, F.explode(_bins(F.col(start), F.col(end))).alias("_b"))
+    binned = binned.select(*on, F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin"), F.struct(*fields).alias("_fields"), F.col(order).alias("_order"))
+    levels = binned.agg(F.array_sort(F.collect_set("_level")).alias("l")).scalar()  # at most 63
+    asked = points.select(*on, F.col(point).cast("bigint").alias("_point")).distinct().withColumn("_level", F.explode(levels))
+    asked = asked.withColumn("_bin", F.call_function("shiftright", F.col("_point"), F.col("_level")))
+    best = asked.join(binned, [*on, "_level", "_bin"]).groupBy(*on, "_point").agg(F.max_by("_fields", "_order").alias("_last"))
+    joined = points.withColumn("_point", F.col(point).cast("bigint")).join(best, [*on, "_point"], "left")
+    return joined.select(*points.columns, *[F.col("_last")[c].alias(c) for c in fields])
+
+
 def reconcile(registered: DataFrame, on_disk: DataFrame, crops: Mapping[str, DataFrame], keys=("tomo", "particle")) -> DataFrame:
     """Differences between the registry, the particle files and the cropped images."""
     on = list(keys)

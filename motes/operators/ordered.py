@@ -287,7 +287,7 @@ def value_counts(
 
 def _interval(index: Column, grid: Column, size: Column) -> tuple[Column, Column]:
     """Bounds between which the value at a sorted index lies if the sketch is right; NULL is open."""
-    share = index / size
+    share = F.try_divide(index, size)
     low, high = F.floor((share - SLACK) * GRID).cast("int"), (F.ceil((share + SLACK) * GRID)).cast("int")
     return F.when(low >= 0, F.get(grid, low)), F.when(high <= GRID, F.get(grid, high))
 

@@ -6,10 +6,11 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motes.functions.angles import angle_bins, direction_distance2
+from motes.operators.checks import require
 from motes.functions.keys import last_parts, stack_name
 from motes.operators.ordered import position
 
@@ -76,12 +77,10 @@ def difference_statistics(a: DataFrame, b: DataFrame, order: str = "_row", compa
     One row for all particles (half NULL) and one per half. ``*_sd_global`` is the spread
     of a half about the mean over all particles, which older reports show.
     """
-    n, m = a.count(), b.count()
-    if n != m:
-        raise ValueError(f"tables have {n} and {m} rows")
-    other = b.select(order, *[F.col(c).alias(f"_{c}") for c in ("rot", "tilt", "psi", "x", "y")])
+    other = b.select(order, F.lit(True).alias("_theirs"), *[F.col(c).alias(f"_{c}") for c in ("rot", "tilt", "psi", "x", "y")])
     d2 = direction_distance2(F.col("rot"), F.col("tilt"), F.col("_rot"), F.col("_tilt"), compat)
-    diffs = a.join(other, order).select(
+    both = a.withColumn("_mine", F.lit(True)).join(other, order, "full_outer")
+    diffs = require(both, F.col("_mine") & F.col("_theirs"), "a row number is in one table only").select(
         "subset",
         F.degrees(F.sqrt(d2)).alias("angle"),
         F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)).alias("origin"),
@@ -93,9 +92,9 @@ def difference_statistics(a: DataFrame, b: DataFrame, order: str = "_row", compa
         parts += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"), F.var_pop(c).alias(f"_{c}_var")]
     # three rows: both halves and their total
     stats = diffs.rollup("subset").agg(*parts)
-    whole = stats.filter(F.col("subset").isNull())
+    three = Window.partitionBy(F.lit(0))
     for c in names:
-        centre = whole.select(f"{c}_mean").scalar()
+        centre = F.max(F.when(F.col("subset").isNull(), F.col(f"{c}_mean"))).over(three)
         spread = F.col("n") * (F.col(f"_{c}_var") + F.pow(F.col(f"{c}_mean") - centre, 2))
         stats = stats.withColumn(f"{c}_sd_global", F.sqrt(F.try_divide(spread, F.col("n") - 1)))
     return stats.select(F.col("subset").alias("half"), "n", *[f"{c}_{s}" for c in names for s in ("mean", "sd", "sd_global")])

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motes.operators.checks import require
 from motes.operators.ordered import percentiles
 from motes.operators.selection import first_rows
 
@@ -28,10 +29,10 @@ def set_by_row(df: DataFrame, other: DataFrame, columns: Sequence[str], order: s
 
     Tables of different length do not line up, which is an error.
     """
-    mine, theirs = df.count(), other.count()
-    if mine != theirs:
-        raise ValueError(f"tables have {mine} and {theirs} rows")
-    return df.drop(*columns).join(other.select(order, *columns), order, "left")
+    mine = df.drop(*columns).withColumn("_mine", F.lit(True))
+    theirs = other.select(order, *columns, F.lit(True).alias("_theirs"))
+    both = require(mine.join(theirs, order, "full_outer"), F.col("_mine") & F.col("_theirs"), "a row number is in one table only")
+    return both.drop("_mine", "_theirs")
 
 
 def swap_columns(df: DataFrame, a: str, b: str) -> DataFrame:

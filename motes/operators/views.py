@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,8 @@ from motes.functions.fixed import VIEW_DEGREE
 
 # Side of a lookup cell in degrees; 32,400 cells cover both full circles.
 CELL = 2
+# Pairs of square and view that are compared at a time while the table is built.
+VIEWS_AT_ONCE = 500_000
 
 
 def even_views(count: int) -> list[tuple[float, float]]:
@@ -38,6 +41,41 @@ def _points(rot: np.ndarray, tilt: np.ndarray, compat: bool) -> np.ndarray:
     return np.stack([np.sin(t) * np.cos(r), np.sin(t) * np.sin(r), np.sin(t) if compat else np.cos(t)], axis=-1)
 
 
+def _refined(at: np.ndarray, compat: bool, side: int, width: int, square: np.ndarray, owner: np.ndarray, view: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells and the views that may win in them, from squares of ``width`` cells with the views that may win in those.
+
+    A quad-tree: each square keeps the views that a bound leaves, and its quarters look only at
+    these. Squares with many views between them are refined one after the other, so little is held at a time.
+    """
+    if len(view) > VIEWS_AT_ONCE and len(square) > 1:
+        half = len(square) // 2
+        cut = np.searchsorted(owner, half)
+        yield from _refined(at, compat, side, width, square[:half], owner[:cut], view[:cut])
+        yield from _refined(at, compat, side, width, square[half:], owner[cut:] - half, view[cut:])
+        return
+    middle = (square + 0.5) * width * CELL
+    centre = _points(middle[:, 0], middle[:, 1], compat)
+    gap = np.sqrt(((centre[owner] - at[view]) ** 2).sum(-1))
+    begins = np.searchsorted(owner, np.arange(len(square)))
+    reach = math.radians(width * CELL / 2) * (1 + math.sqrt(2)) * (1 + 1e-6)
+    kept = gap <= np.minimum.reduceat(gap, begins)[owner] + 2 * reach
+    owner, view = owner[kept], view[kept]
+    if width == 1:
+        yield (square[:, 0] * side + square[:, 1])[owner], view
+        return
+    quarters = (square[:, None, :] * 2 + np.array([(0, 0), (0, 1), (1, 0), (1, 1)])).reshape(-1, 2)
+    inside = (quarters * (width // 2) < side).all(1)
+    sizes = np.bincount(owner, minlength=len(square))
+    begins = np.cumsum(sizes) - sizes
+    parents = np.repeat(np.arange(len(square)), 4)[inside]
+    # every quarter inherits the views of its square
+    for some in np.array_split(np.arange(len(parents)), max(1, int(sizes[parents].sum()) // VIEWS_AT_ONCE)):
+        lengths = sizes[parents[some]]
+        offsets = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        inherited = view[np.repeat(begins[parents[some]], lengths) + offsets]
+        yield from _refined(at, compat, side, width // 2, quarters[inside][some], np.repeat(np.arange(len(some)), lengths), inherited)
+
+
 @lru_cache(maxsize=16)
 def _candidates(count: int, compat: bool) -> pa.Table:
     """Per lookup cell, every view that can be the nearest for some angle in the cell.
@@ -49,20 +87,19 @@ def _candidates(count: int, compat: bool) -> pa.Table:
     views = np.array(even_views(count))
     at = _points(views[:, 0], views[:, 1], compat)
     side = 360 // CELL
-    centre = (np.arange(side) + 0.5) * CELL
-    rot, tilt = np.meshgrid(centre, centre, indexing="ij")
-    cells = _points(rot.ravel(), tilt.ravel(), compat)
-    gap = np.sqrt(((cells[:, None, :] - at[None, :, :]) ** 2).sum(-1))
-    reach = math.radians(CELL / 2) * (1 + math.sqrt(2)) * (1 + 1e-6)
-    near = gap <= gap.min(1, keepdims=True) + 2 * reach
-    cell, view = np.nonzero(near)
+    width = 1 << (side - 1).bit_length()
+    found = list(_refined(at, compat, side, width, np.zeros((1, 2), np.int64), np.zeros(len(at), np.int64), np.arange(len(at))))
+    cell, view = (np.concatenate([f[i] for f in found]) for i in range(2))
+    order = np.lexsort((view, cell))
+    view = view[order]
+    per_cell = np.bincount(cell, minlength=side * side)
     lists = pa.ListArray.from_arrays(
-        pa.array(np.concatenate(([0], np.cumsum(near.sum(1)))), pa.int32()),
+        pa.array(np.concatenate(([0], np.cumsum(per_cell))), pa.int32()),
         pa.StructArray.from_arrays(
             [pa.array(view, pa.int32()), *(pa.array(at[view, axis]) for axis in range(3))], ["view", "x", "y", "z"]
         ),
     )
-    index = np.arange(len(cells))
+    index = np.arange(side * side)
     return pa.table({"_rc": pa.array(index // side, pa.int32()), "_tc": pa.array(index % side, pa.int32()), "_views": lists})
 
 

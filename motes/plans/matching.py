@@ -235,6 +235,20 @@ def expand_ranges(spark, sf_dir):
     return matching.expand_ranges(e, "vs", "ve", ["p_brand"], "p_partkey", ["defocus"], "tilt")
 
 
+@query(
+    "j14_last_covering",
+    """WITH e AS (SELECT p_partkey, p_brand, CAST(p_retailprice * 10 AS BIGINT) AS vs, CAST(p_retailprice * 10 + (p_partkey % 7) * 100000 AS BIGINT) AS ve, p_size AS d FROM part),
+    q AS (SELECT s_suppkey, 'Brand#' || (s_suppkey % 5 + 1) || (s_nationkey % 5 + 1) AS p_brand, CAST(s_acctbal * 20 AS BIGINT) AS tilt FROM supplier)
+    SELECT s_suppkey, q.p_brand, tilt, arg_max(d, p_partkey) AS d FROM q LEFT JOIN e ON e.p_brand = q.p_brand AND tilt BETWEEN vs AND ve GROUP BY 1, 2, 3""",
+)
+def last_covering(spark, sf_dir):
+    """Ranges of up to 600,000 numbers; no row per number."""
+    e = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.round(F.col("p_retailprice") * 10).cast("bigint").alias("vs"), F.round(F.col("p_retailprice") * 10 + (F.col("p_partkey") % 7) * 100000).cast("bigint").alias("ve"), F.col("p_size").alias("d"))
+    brand = F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 5 + 1).cast("string"), (F.col("s_nationkey") % 5 + 1).cast("string"))
+    q = table(spark, sf_dir, "supplier").select("s_suppkey", brand.alias("p_brand"), F.round(F.col("s_acctbal") * 20).cast("bigint").alias("tilt"))
+    return matching.last_covering(q, "tilt", e, "vs", "ve", ["p_brand"], "p_partkey", ["d"])
+
+
 @query(
     "j15_reconcile",
     """WITH reg AS (SELECT DISTINCT o_orderpriority AS tomo, o_custkey AS particle FROM orders WHERE o_orderkey % 3 <> 0),

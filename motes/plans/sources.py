@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motes.functions import keys
+from motes.operators import arrays
 from motes.plans.registry import query
 from motes.plans.standins import EVENTS, PARTICLES, events, particles, table, with_
 from motes.session import scratch_path
@@ -98,10 +99,10 @@ def block_catalog(spark, sf_dir):
     """SELECT 'P' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS particle, c_nationkey AS optics_group, n_name AS optics_name, c_acctbal AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 def rebuild_master(spark, sf_dir):
-    path = _project(spark, sf_dir)
+    files = blocks.BlockFiles(spark, _project(spark, sf_dir))  # one index for both blocks
     kinds = {"_rlnOpticsGroup": "int", "_rlnBalance": "double"}
-    parts = blocks.read_loop(spark, path, "particles", types=kinds)
-    optics = blocks.read_loop(spark, path, "optics", types=kinds).groupBy("_rlnOpticsGroup").agg(F.min_by("_rlnOpticsGroupName", F.struct("_file", "_row")).alias("optics_name"))
+    parts = files.loop("particles", types=kinds)
+    optics = files.loop("optics", types=kinds).groupBy("_rlnOpticsGroup").agg(F.min_by("_rlnOpticsGroupName", F.struct("_file", "_row")).alias("optics_name"))
     return parts.join(optics, "_rlnOpticsGroup").select(F.col("_rlnTomoParticleName").alias("particle"), F.col("_rlnOpticsGroup").alias("optics_group"), "optics_name", F.col("_rlnBalance").alias("balance"))
 
 
@@ -223,8 +224,8 @@ def read_defocus(spark, sf_dir):
     return acquisition.read_defocus(spark, path).select(_tomo().alias("tomo"), "view_start", "view_end", "defocus_u", "defocus_v", "astig_angle", "phase_shift")
 
 
-def _arrays(spark, sf_dir):
-    """Structured arrays of at most 1,000 customers per file, written by the tasks."""
+def _saved_arrays(spark, sf_dir, fill):
+    """Structured arrays of at most 1,000 customers per file, written by the tasks. ``fill`` makes an array of their rows."""
     import os
 
     folder = scratch_path(spark, "arrays")
@@ -233,12 +234,7 @@ def _arrays(spark, sf_dir):
         import numpy as np
         from pyarrow import fs
 
-        kind = np.dtype([("blob/path", "S40"), ("blob/idx", "<i4"), ("alignments3D/shift", "<f4", (2,)), ("ctf/df1_A", "<f8")])
-        data = np.zeros(len(pdf), kind)
-        data["blob/path"] = pdf["c_name"].str.encode("utf-8")
-        data["blob/idx"] = pdf["c_custkey"]
-        data["alignments3D/shift"] = np.stack([pdf["c_nationkey"], pdf["c_nationkey"] * 0.5], 1)
-        data["ctf/df1_A"] = pdf["c_acctbal"]
+        data = fill(pdf)
         uri = folder if "://" in folder else folder.replace("file:", "", 1)
         system, place = fs.FileSystem.from_uri(uri)
         system.create_dir(place)
@@ -255,6 +251,90 @@ def _arrays(spark, sf_dir):
     return folder
 
 
+def _arrays(spark, sf_dir):
+    def fill(pdf):
+        import numpy as np
+
+        data = np.zeros(len(pdf), [("blob/path", "S40"), ("blob/idx", "<i4"), ("alignments3D/shift", "<f4", (2,)), ("ctf/df1_A", "<f8")])
+        data["blob/path"] = pdf["c_name"].str.encode("utf-8")
+        data["blob/idx"] = pdf["c_custkey"]
+        data["alignments3D/shift"] = np.stack([pdf["c_nationkey"], pdf["c_nationkey"] * 0.5], 1)
+        data["ctf/df1_A"] = pdf["c_acctbal"]
+        return data
+
+    return _saved_arrays(spark, sf_dir, fill)
+
+
+ARRAY_FIELDS = {
+    "blob/path": "string", "blob/idx": "int", "blob/shape": "array<int>", "blob/psize_A": "double", "ctf/accel_kv": "double", "ctf/cs_mm": "double",
+    "ctf/amp_contrast": "double", "ctf/df1_A": "double", "ctf/df2_A": "double", "ctf/df_angle_rad": "double", "ctf/phase_shift_rad": "double", "ctf/bfactor": "double",
+}
+ALIGNED_FIELDS = {"alignments3D/pose": "array<double>", "alignments3D/shift": "array<double>", "alignments3D/class": "int"}
+
+
+def _external(spark, sf_dir, fields):
+    """Customers as particles of another program: a folder per nation, turned about the second axis."""
+
+    def fill(pdf):
+        import numpy as np
+
+        n = len(pdf)
+        kind = [("blob/path", "S60"), ("blob/idx", "<i4"), ("blob/shape", "<i4", (2,)), *[(f, "<f8") for f, t in ARRAY_FIELDS.items() if t == "double"]]
+        data = np.zeros(n, [*kind, ("alignments3D/pose", "<f8", (3,)), ("alignments3D/shift", "<f8", (2,)), ("alignments3D/class", "<i4")])
+        data["blob/path"] = (">J" + pdf["c_nationkey"].astype(str) + "/extract/s.mrc").str.encode("utf-8")
+        data["blob/idx"], data["blob/shape"], data["blob/psize_A"] = pdf["c_custkey"], (256, 128), 1.25
+        data["ctf/accel_kv"], data["ctf/cs_mm"], data["ctf/amp_contrast"] = 300 - pdf["c_nationkey"], 2.7, 0.1
+        data["ctf/df1_A"], data["ctf/df2_A"], data["ctf/df_angle_rad"] = pdf["c_acctbal"], pdf["c_acctbal"] + 100, pdf["c_nationkey"] / 7
+        data["alignments3D/pose"][:, 1] = np.radians(pdf["c_custkey"] % 170 + 1)
+        data["alignments3D/shift"] = np.stack([pdf["c_nationkey"], pdf["c_nationkey"] * 0.5], 1)
+        data["alignments3D/class"] = pdf["c_custkey"] % 4
+        return data
+
+    rows = stacks.read_structured(spark, _saved_arrays(spark, sf_dir, fill), fields)
+    number = F.regexp_extract("_file", r"part(\d+)", 1).cast("bigint") * 1000 + F.col("_row")
+    return rows.withColumn("_row", number)
+
+
+def _rounded_columns(df, names):
+    return df.select("_rlnImageName", "_rlnOpticsGroup", "_rlnClassNumber", "_rlnRandomSubset", *[F.round(n, 6).alias(n) for n in names])
+
+
+ORIGINS = ["_rlnAngleRot", "_rlnAngleTilt", "_rlnAnglePsi", "_rlnOriginXAngst", "_rlnOriginYAngst"]
+FIRST_SEEN = "WITH g AS (SELECT c_nationkey AS k, row_number() OVER (ORDER BY min(c_custkey)) AS og FROM customer GROUP BY 1)"
+IMAGE = """lpad(CAST(c_custkey + 1 AS VARCHAR), 6, '0') || '@J' || c_nationkey || '/extract/s.mrc' AS "_rlnImageName" """
+
+
+@query(
+    "x5_array_particles",
+    FIRST_SEEN + f"""SELECT {IMAGE}, og AS "_rlnOpticsGroup", CAST(c_custkey % 4 + 1 AS INTEGER) AS "_rlnClassNumber", CAST(1 AS INTEGER) AS "_rlnRandomSubset", 0.0::DOUBLE AS "_rlnAngleRot",
+    CAST(c_custkey % 170 + 1 AS DOUBLE) AS "_rlnAngleTilt", 0.0::DOUBLE AS "_rlnAnglePsi", c_nationkey * 1.25::DOUBLE AS "_rlnOriginXAngst", c_nationkey * 0.625::DOUBLE AS "_rlnOriginYAngst",
+    round(degrees(c_nationkey / 7.0), 6) AS "_rlnDefocusAngle" FROM customer JOIN g ON k = c_nationkey""",
+)
+def array_particles(spark, sf_dir):
+    """The pixel size comes from the images, as the alignment has none."""
+    _, particles_ = arrays.particles_from_array(_external(spark, sf_dir, ARRAY_FIELDS | ALIGNED_FIELDS))
+    return _rounded_columns(particles_, [*ORIGINS, "_rlnDefocusAngle"])
+
+
+@query(
+    "x5_array_optics",
+    FIRST_SEEN + """SELECT og AS "_rlnOpticsGroup", CAST(300 - k AS DOUBLE) AS "_rlnVoltage", 2.7::DOUBLE AS "_rlnSphericalAberration", 0.1::DOUBLE AS "_rlnAmplitudeContrast", 1.25::DOUBLE AS "_rlnImagePixelSize",
+    CAST(128 AS INTEGER) AS "_rlnImageSize", CAST(2 AS INTEGER) AS "_rlnImageDimensionality" FROM g""",
+)
+def array_optics(spark, sf_dir):
+    return arrays.particles_from_array(_external(spark, sf_dir, ARRAY_FIELDS | ALIGNED_FIELDS))[0]
+
+
+@query(
+    "x6_array_without_pose",
+    FIRST_SEEN + f"""SELECT {IMAGE}, og AS "_rlnOpticsGroup", CAST(1 AS INTEGER) AS "_rlnClassNumber", CAST(1 AS INTEGER) AS "_rlnRandomSubset", 0.0::DOUBLE AS "_rlnAngleRot",
+    0.0::DOUBLE AS "_rlnAngleTilt", 0.0::DOUBLE AS "_rlnAnglePsi", 0.0::DOUBLE AS "_rlnOriginXAngst", 0.0::DOUBLE AS "_rlnOriginYAngst" FROM customer JOIN g ON k = c_nationkey""",
+)
+def array_without_pose(spark, sf_dir):
+    _, particles_ = arrays.particles_from_array(_external(spark, sf_dir, ARRAY_FIELDS), missing_to_zero=True)
+    return _rounded_columns(particles_, ORIGINS)
+
+
 @query("s12_structured_arrays", "SELECT c_name AS path, CAST(c_custkey AS INTEGER) AS idx, CAST(c_nationkey AS DOUBLE) AS shift_x, CAST(c_nationkey * 0.5 AS DOUBLE) AS shift_y, c_acctbal AS defocus, c_custkey % 1000 AS _row FROM customer")
 def structured_arrays(spark, sf_dir):
     fields = {"blob/path": "string", "blob/idx": "int", "alignments3D/shift": "array<double>", "ctf/df1_A": "double"}

@@ -273,8 +273,8 @@ def most_similar(spark, sf_dir):
     "j19_most_similar_in_class",
     """WITH e AS (SELECT vec_id AS id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), c AS (SELECT id, label, [x - list_avg(v) FOR x IN v] AS v FROM e),
     s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS cc FROM c a JOIN c b ON a.id <> b.id AND a.label = b.label),
-    m AS (SELECT id, arg_max(other, cc) FILTER (WHERE cc > 0) AS similar, coalesce(max(cc) FILTER (WHERE cc > 0), 0) AS cc FROM s GROUP BY 1)
-    SELECT e.id, similar, round(coalesce(cc, 0), 6) AS cc FROM e LEFT JOIN m USING (id)""",
+    m AS (SELECT id, arg_max(other, cc) FILTER (WHERE cc > 0) AS "similar", coalesce(max(cc) FILTER (WHERE cc > 0), 0) AS cc FROM s GROUP BY 1)
+    SELECT e.id, m."similar", round(coalesce(cc, 0), 6) AS cc FROM e LEFT JOIN m USING (id)""",
 )
 def most_similar_in_class(spark, sf_dir):
     images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("px"))

@@ -24,8 +24,8 @@ def test_back_map_does_not_depend_on_order(spark):
 
 def test_back_map_missing_keys(spark):
     processed = spark.createDataFrame([(0, "000009@stack.mrcs"), (1, "000001@stack.mrcs")], "_row bigint, image string")
-    with pytest.raises(ValueError):
-        matching.back_map(processed, mapping(spark, MAP), "image", "source")
+    with pytest.raises(Exception, match="no source"):
+        matching.back_map(processed, mapping(spark, MAP), "image", "source").select("_row").collect()
     out = matching.back_map(processed, mapping(spark, MAP), "image", "source", strict=False)
     assert {r["image"] for r in out.collect()} == {"000009@stack.mrcs", "009619@orig.mrc"}
     report = matching.back_map_report(processed, mapping(spark, MAP), "image", "source").first()
@@ -37,8 +37,8 @@ def test_back_map_repeated_keys(spark):
     same = mapping(spark, [*MAP, MAP[0]])
     assert matching.back_map(processed, same, "image", "source").first()["image"] == "009619@orig.mrc"
     assert matching.back_map_report(processed, same, "image", "source").first()["n_repeated"] == 1
-    with pytest.raises(ValueError):
-        matching.back_map(processed, mapping(spark, [*MAP, (MAP[0][0], "1@else.mrc")]), "image", "source")
+    with pytest.raises(Exception, match="more than one source"):
+        matching.back_map(processed, mapping(spark, [*MAP, (MAP[0][0], "1@else.mrc")]), "image", "source").select("_row").collect()
 
 
 @pytest.mark.parametrize("chunk", [5, 1 << 20])
@@ -78,7 +78,13 @@ def test_micrographs_are_found_inside_names(spark):
         want[row] = min(hits) if hits else None
     p = spark.createDataFrame(parts, "_row bigint, mic string")
     m = spark.createDataFrame(mics, "_row bigint, mic string")
-    assert {r["_row"]: r["mic_row"] for r in matching.assign_micrographs(p, m).collect()} == want
+    for batch in (1, 2, 200_000):
+        assert {r["_row"]: r["mic_row"] for r in matching.assign_micrographs(p, m, batch=batch).collect()} == want
+    # a name that is empty when simplified is part of every name; a missing one of none
+    more = p.union(spark.createDataFrame([(9, None)], p.schema)), m.union(spark.createDataFrame([(3, "x/-_.mrc"), (0, None)], m.schema))
+    got = {r["_row"]: r["mic_row"] for r in matching.assign_micrographs(*more).collect()}
+    assert got == {**{row: 3 if hit is None else min(hit, 3) for row, hit in want.items()}, 9: None}
+    assert matching.assign_micrographs(p, m.limit(0)).filter("mic_row is not null").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -109,10 +115,10 @@ def test_optics_must_be_unique_and_complete(spark):
     p = spark.createDataFrame([(0, 1), (1, 2)], "_row bigint, og int")
     one = spark.createDataFrame([(1, 300.0), (2, 200.0)], "og int, kv double")
     assert matching.with_checked_optics(p, one, "og").count() == 2
-    with pytest.raises(ValueError):
-        matching.with_checked_optics(p, one.union(one), "og")
-    with pytest.raises(ValueError):
-        matching.with_checked_optics(p, one.filter("og = 1"), "og")
+    with pytest.raises(Exception, match="more than once"):
+        matching.with_checked_optics(p, one.union(one), "og").count()
+    with pytest.raises(Exception, match="no optics group"):
+        matching.with_checked_optics(p, one.filter("og = 1"), "og").count()
 
 
 def test_array_update_needs_a_match(spark):
@@ -155,12 +161,13 @@ def test_best_class_skips_missing_scores(spark):
 def test_first_of_key_and_unequal_tables(spark):
     df = spark.createDataFrame([(3, "a", None), (1, "a", "x"), (2, None, "y"), (5, None, "z")], "_row bigint, k string, v string")
     assert {(r["_row"], r["k"], r["v"]) for r in first_of_key(df, ["k"]).collect()} == {(1, "a", "x"), (2, None, "y")}
-    with pytest.raises(ValueError):
-        tables.set_by_row(df, df.filter("_row = 1"), ["v"])
+    with pytest.raises(Exception, match="one table only"):
+        tables.set_by_row(df, df.filter("_row = 1"), ["v"]).count()
     with pytest.raises(ValueError):
         tables.contiguous_blocks(df, 9)
-    with pytest.raises(ValueError):
-        difference_statistics(df, df.filter("_row = 1"))
+    posed = df.select("_row", F.lit(1).alias("subset"), *[F.lit(0.0).alias(c) for c in ("rot", "tilt", "psi", "x", "y")])
+    with pytest.raises(Exception, match="one table only"):
+        difference_statistics(posed, posed.filter("_row = 1")).collect()
 
 
 def test_overlapping_ranges(spark):
@@ -176,3 +183,29 @@ def test_samples_repeat_for_the_same_seed(spark):
     assert len(take(1)) == 40
     halves = [r["subset"] for r in tables.random_halves(df, seed=1).collect()]
     assert set(halves) == {1, 2} and 60 < halves.count(1) < 140
+
+
+def test_points_in_long_ranges(spark):
+    rng = random.Random(2)
+    ends = [(rng.randrange(-(10**9), 10**9), rng.choice([0, 1, 5, 1000, 10**9])) for _ in range(200)]
+    entries = [(i, i % 2, a, a + n) for i, (a, n) in enumerate(ends)] + [(200, 0, 5, 3), (201, 1, None, 7)]
+    points = [(i, i % 2, rng.choice([rng.randrange(-(10**9), 10**9), *ends[i % 200], sum(ends[i % 200])])) for i in range(300)] + [(300, 0, None)]
+    e = spark.createDataFrame(entries, "entry int, k int, vs bigint, ve bigint").withColumn("d", F.col("entry") * 2)
+    p = spark.createDataFrame(points, "id int, k int, at bigint")
+    got = {r["id"]: r["d"] for r in matching.last_covering(p, "at", e, "vs", "ve", ["k"], "entry", ["d"]).collect()}
+    for i, k, at in points:
+        hits = [n for n, kk, a, b in entries if kk == k and None not in (at, a) and a <= at <= b]
+        assert got[i] == (2 * max(hits) if hits else None)
+    assert e.filter("entry < 200").select(F.max(F.size(matching._bins(F.col("vs"), F.col("ve")))).alias("n")).first()["n"] <= 60
+    plan = matching.last_covering(p, "at", e, "vs", "ve", ["k"], "entry", ["d"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in plan
+
+
+def test_slices_that_do_not_fit(spark):
+    want = spark.createDataFrame([(0, 1, "s"), (1, 2, "s")], "_row bigint, image_no int, stack string")
+    have = spark.createDataFrame([("s", 0, 2, 2, [1.0]), ("s", 1, 2, 2, [2.0])], "stack string, slice int, ny int, nx int, px array<double>")
+    assert matching.gather_slices(want, have, "o").count() == 2
+    with pytest.raises(Exception, match="is missing"):
+        matching.gather_slices(want, have.filter("slice = 0"), "o").count()
+    with pytest.raises(Exception, match="differ in size"):
+        matching.gather_slices(want, have.withColumn("nx", F.col("slice")), "o").count()

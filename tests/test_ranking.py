@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,22 @@ def test_missing_angles_have_no_rank(spark):
     assert alone == {i: r for i, r in got.items() if r is not None}
     chosen = {r["_row"] for r in ranking.select_ranked(ranking.equalised_rank(df, 30), 20, by="rank").collect()}
     assert len(chosen) == 20 and not chosen & gone
+
+
+def test_many_views_in_little_memory():
+    import tracemalloc
+
+    views._candidates.cache_clear()
+    tracemalloc.start()
+    table = views._candidates(7846, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    # in each cell, whatever is nearest to an angle inside is among the candidates
+    at = views._points(*np.array(views.even_views(7846)).T, True)
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        rot, tilt = rng.uniform(0, 360, 2)
+        row = int(rot // views.CELL) * (360 // views.CELL) + int(tilt // views.CELL)
+        near = ((at - views._points(np.array([rot]), np.array([tilt]), True)) ** 2).sum(1).argmin()
+        assert near in [v["view"] for v in table["_views"][row].as_py()]

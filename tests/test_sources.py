@@ -1,10 +1,12 @@
 import json
+import math
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motes.operators import arrays
 from motes.sources import acquisition, block_files, blocks, lines, logs, stacks
 
 TABLE = """# a comment
@@ -297,3 +299,52 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     assert blocks.read_loop(spark, str(path / "good")).count() == 700
     blocks.write_loop(df.limit(0), str(path / "none"))
     assert blocks.read_loop(spark, str(path / "none")).columns == ["_file", "_row", "_v"] and blocks.read_loop(spark, str(path / "none")).count() == 0
+
+
+def array_rows(spark, **changes):
+    row = {
+        "_row": 0, "blob/path": ">>J1/extract/a.mrc", "blob/idx": 4, "blob/shape": [64, 32], "blob/psize_A": 1.5, "ctf/accel_kv": 300.0, "ctf/cs_mm": 2.7, "ctf/amp_contrast": 0.1,
+        "ctf/df1_A": 1.0, "ctf/df2_A": 2.0, "ctf/df_angle_rad": math.pi / 2, "ctf/phase_shift_rad": 0.0, "ctf/bfactor": 0.0, "alignments3D/pose": [0.0, math.pi / 3, 0.0],
+        "alignments3D/shift": [2.0, -4.0], "alignments3D/psize_A": 3.0, "alignments3D/split": 1,
+    } | changes
+    kinds = {"_row": "bigint", "blob/path": "string", "blob/idx": "int", "blob/shape": "array<int>", "alignments3D/pose": "array<double>", "alignments3D/shift": "array<double>", "alignments3D/split": "int"}
+    kept = {k: v for k, v in row.items() if v != "absent"}
+    return spark.createDataFrame([tuple(kept.values())], ", ".join(f"`{k}` {kinds.get(k, 'double')}" for k in kept))
+
+
+def test_array_to_particles(spark):
+    optics, particles = arrays.particles_from_array(array_rows(spark))
+    p = particles.first()
+    assert p["_rlnImageName"] == "000005@J1/extract/a.mrc" and (p["_rlnRandomSubset"], p["_rlnClassNumber"], p["_rlnOpticsGroup"]) == (2, 1, 1)
+    assert [p[c] for c in ("_rlnAngleRot", "_rlnAngleTilt", "_rlnAnglePsi", "_rlnOriginXAngst", "_rlnOriginYAngst", "_rlnDefocusAngle")] == pytest.approx([0, 60, 0, 6, -12, 90])
+    assert (optics.first()["_rlnImageSize"], optics.first()["_rlnImagePixelSize"]) == (32, 1.5)
+
+
+@pytest.mark.parametrize("gone,origin", [((), 6.0), (("alignments3D/psize_A",), 3.0), (("alignments3D/psize_A", "blob/psize_A"), 8.0)])
+def test_pixel_sizes_fall_back(spark, gone, origin):
+    for absent in ("absent", None):
+        df = array_rows(spark, **{"location/micrograph_psize_A": 4.0}, **dict.fromkeys(gone, absent))
+        assert arrays.shift_origins(df).first()["_rlnOriginXAngst"] == origin
+
+
+def test_arrays_without_a_pixel_size(spark):
+    none = dict.fromkeys(("alignments3D/psize_A", "blob/psize_A"), "absent")
+    for zero in (True, False):
+        with pytest.raises(ValueError, match="pixel size"):
+            arrays.shift_origins(array_rows(spark, **none), zero)
+        with pytest.raises(Exception, match="none of alignments3D/psize_A"):
+            arrays.shift_origins(array_rows(spark, **dict.fromkeys(none, None)), zero).select("_row").collect()
+
+
+@pytest.mark.parametrize("field", ["alignments3D/pose", "alignments3D/shift"])
+def test_missing_poses_and_shifts(spark, field):
+    with pytest.raises(ValueError, match="missing_to_zero"):
+        arrays.particles_from_array(array_rows(spark, **{field: "absent"}))
+    with pytest.raises(Exception, match="missing_to_zero"):
+        arrays.particles_from_array(array_rows(spark, **{field: None}))[1].select("_rlnImageName").collect()
+    for absent in ("absent", None):
+        p = arrays.particles_from_array(array_rows(spark, **{field: absent}), missing_to_zero=True)[1].first()
+        zero = ["_rlnAngleRot", "_rlnAngleTilt", "_rlnAnglePsi"] if "pose" in field else ["_rlnOriginXAngst", "_rlnOriginYAngst"]
+        assert [p[c] for c in zero] == [0.0] * len(zero) and p["_rlnDefocusV"] == 2.0
+    with pytest.raises(Exception, match="3 numbers"):
+        arrays.pose_columns(array_rows(spark, **{"alignments3D/pose": [1.0]})).collect()
