@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motes.llm.common import n_words
 from motes.llm.components import components
 from motes.session import checkpointed
 
@@ -41,7 +42,7 @@ WHOLE = 256
 # Standard errors of the estimate below the threshold at which a pair is still verified.
 SLACK = 5
 # Classes of a bucket that are compared with each other in one go.
-TILE = 1000
+TILE = 2000
 
 _K1, _K2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -145,32 +146,45 @@ def _sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return one.mapInArrow(sketch, "id long, digest long, n long, set binary, keys array<long>")
 
 
+def _surely(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[bool, bool]:
+    """Whether sets of short hashes may be similar, and whether they are even if a few of the equal ones differ."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return 100 * both >= percent * union, 100 * (both - 3) >= percent * (union + 3)
+
+
 def _tile_pairs(percent: int):
     """Pairs of different components in a tile that are, or by the finer sketch may be, similar.
 
-    The most similar first; those of whole small sets are decided here, and of them only
+    The most similar first. Small sets are compared whole, by short hashes; of these pairs only
     such as join components are needed, fewer than there are classes.
     """
     least = least_estimate(percent, FINE)
 
     def pairs(table: pa.Table) -> pa.Table:
         ids = table["class"].to_numpy()
-        label = {v: i for i, v in enumerate(dict.fromkeys(table["label"].to_pylist()))}
-        comp = np.array([label[v] for v in table["label"].to_pylist()])
-        side = np.array(table["side"].to_pylist())
+        comp = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        side = table["side"].to_numpy()
         proofs = table["proof"].to_pylist()
-        sets = [np.frombuffer(p, np.uint64, offset=1) if p[0] else None for p in proofs]
-        fine = np.stack([fine_registers(h) if h is not None else np.frombuffer(p, np.uint8, offset=1) for h, p in zip(sets, proofs)])
+        sets = [np.frombuffer(p, np.uint32, offset=1) if p[0] else None for p in proofs]
+        fine = np.stack([fine_registers(h.astype(np.uint64)) if h is not None else np.frombuffer(p, np.uint8, offset=1) for h, p in zip(sets, proofs)])
         one_block = not side.any()
         left = np.arange(len(ids)) if one_block else np.flatnonzero(side == 0)
         right = left if one_block else np.flatnonzero(side == 1)
-        found: list[tuple[float, int, int]] = []
+        # at most half a tile squared, twelve bytes each
+        values, ones, others = [], [], []
         for i in left:
-            others = right[(comp[right] != comp[i]) & ((right > i) | (not one_block))]
-            if len(others):
-                value = estimated(fine[i], fine[others], FINE_CHANCE)
-                found += [(-v, i, j) for v, j in zip(value[value >= least], others[value >= least])]
-        root = list(range(len(label)))
+            far = right[(comp[right] != comp[i]) & ((right > i) | (not one_block))]
+            if len(far):
+                value = estimated(fine[i], fine[far], FINE_CHANCE)
+                near = value >= least
+                values.append(value[near].astype(np.float32))
+                others.append(far[near].astype(np.int32))
+                ones.append(np.full(len(others[-1]), i, np.int32))
+        if not values:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        value, one, other = np.concatenate(values), np.concatenate(ones), np.concatenate(others)
+        root = list(range(int(comp.max()) + 1))
 
         def top(c: int) -> int:
             while root[c] != c:
@@ -178,17 +192,21 @@ def _tile_pairs(percent: int):
             return c
 
         kept = []
-        for _, i, j in sorted(found):
+        for k in np.argsort(-value, kind="stable"):
+            i, j = one[k], other[k]
             x, y = top(comp[i]), top(comp[j])
             if x == y:
                 continue
             if sets[i] is None or sets[j] is None:
-                kept.append((i, j))
-            elif similar(sets[i], sets[j], percent):
-                kept.append((i, j))
+                kept.append(k)
+                continue
+            may, surely = _surely(sets[i], sets[j], percent)
+            if may:
+                kept.append(k)
+            if surely:
                 root[x] = y
-        ends = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in kept]
-        return pa.table({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64())})
+        a, b = ids[one[kept]], ids[other[kept]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return pairs
 
@@ -196,9 +214,14 @@ def _tile_pairs(percent: int):
 def _open_pairs(busy: DataFrame, full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share a bucket but no component yet."""
     named = busy.join(labels, F.col("class") == F.col("id"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
-    still = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    still = named.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("members"),
+    )
+    # buckets of several bands that hold the same classes have the same pairs: one of them is enough
+    one = still.filter("lo != hi").groupBy("size", "members").agg(F.min("bucket").alias("bucket"))
     blocks = F.ceil(F.col("size") / TILE)
-    rows = named.join(checkpointed(still.filter("lo != hi").select("bucket", blocks.alias("blocks"))), "bucket")
+    rows = named.join(checkpointed(one.select("bucket", blocks.alias("blocks"))), "bucket")
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = rows.select(
@@ -210,14 +233,16 @@ def _open_pairs(busy: DataFrame, full: DataFrame, labels: DataFrame, percent: in
 
 
 def _full_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``hashes`` of the full set of each of ``classes`` (class, row), and ``proof``: the set
-    again if it is small (first byte 1), else its finer registers (0)."""
+    """``hashes`` of the full set of each of ``classes`` (class, row), and ``proof``: half of
+    each hash again if the set is small (first byte 1), else its finer registers (0)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(v.as_py(), words) for v in batch.column(1)]
+            short = [np.unique(f.astype(np.uint32)) for f in found]
+            proofs = [b"\1" + h.tobytes() if len(h) <= WHOLE else b"\0" + fine_registers(h.astype(np.uint64)).tobytes() for h in short]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([b"\1" + f.tobytes() if len(f) <= WHOLE else b"\0" + fine_registers(f).tobytes() for f in found], pa.binary())],
+                [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(proofs, pa.binary())],
                 names=["class", "hashes", "proof"],
             )
 
@@ -243,12 +268,13 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``id``, ``digest`` (of the text), ``n`` (set size) and ``component`` of every row.
+    """``id``, ``digest`` (of the text), ``n`` (set size), ``component`` and ``group`` of every row.
 
     ``component`` is the smallest id that can be reached over links of at least ``percent``
     Jaccard similarity. Null and blank texts have the empty set: each such row is a
     component of its own. Repeated rows and copies share a class. Rows with a null id take
-    part; they get null where no id can be reached. An empty table gives an empty one.
+    part; they get null where no id can be reached. ``group`` is a number of the component that rows without any id have
+    too, null for an empty set. An empty table gives an empty one.
     """
     rows = checkpointed(_sketches(docs, key, text, words))
     classes = rows.groupBy("set").agg(
@@ -278,22 +304,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         labels = components(links)
     named = classes.join(labels, F.col("class") == F.col("id"), "left").select("set", "low", "n", F.coalesce("label", "class").alias("label"))
     lowest = named.filter("n > 0").groupBy("label").agg(F.min("low").alias("component"))
-    found = named.join(lowest, "label", "left").select("set", "component")
+    found = named.join(lowest, "label", "left").select("set", "component", "label")
+    full_set = F.col("n") > 0
     return rows.select("id", "digest", "n", "set").join(found, "set").select(
-        "id", "digest", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")
+        "id", "digest", "n", F.when(full_set, F.col("component")).otherwise(F.col("id")).alias("component"), F.when(full_set, F.col("label")).alias("group")
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their group, with their own columns.
+    """One document of each group, with its own columns: that with the smallest id, ids before null.
 
-    Of rows with one id, all copies of the kept text stay; rows with a null id stay where
-    nothing with an id is linked to them.
+    Of rows with this id and text one stays, whichever columns else they have. Null and blank texts are
+    groups of their own and all stay. An empty table gives an empty one; the caller's columns may have any names.
     """
-    found = near_duplicates(docs, key, text, words, percent)
-    gone = found.filter(F.col("component").isNotNull() & ~F.col("id").eqNullSafe(F.col("component")))
-    gone = gone.select(F.struct("id", "digest").alias("gone")).distinct()
-    box = docs.select(F.struct("*").alias("row")).withColumn(
-        "gone", F.struct(F.col(f"row.{key}").cast("long").alias("id"), F.xxhash64(F.col(f"row.{text}")).alias("digest"))
-    )
-    return box.join(gone, "gone", "left_anti").select("row.*")
+    found = near_duplicates(docs, key, text, words, percent).filter("group IS NOT NULL")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first"))
+    stay = first.select(F.struct("first.id", "first.digest").alias("same"))
+    box = docs.select(F.struct("*").alias("row"))
+    blank = n_words(F.col(f"row.{text}")) == 0
+    same = F.struct(F.col(f"row.{key}").cast("long").alias("id"), F.xxhash64(F.col(f"row.{text}")).alias("digest"))
+    # equal rows meet where they lie, before anything is shuffled
+    one = box.filter(~blank).groupBy(same.alias("same")).agg(F.first("row").alias("row"))
+    return box.filter(blank).select("row.*").union(one.join(stay, "same", "left_semi").select("row.*"))

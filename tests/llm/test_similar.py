@@ -88,11 +88,36 @@ def test_keep_one(spark):
     df = awkward(spark)
     kept = nd.keep_one(df)
     assert kept.columns == df.columns
-    # 6 is near 5; blank and null texts are near nothing; repeated rows stay together
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 4, 5, 7]
+    # 6 is near 5; blank and null texts are near nothing; of repeated rows one stays
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7]
     assert nd.keep_one(nothing(spark)).count() == 0
 
 
+def test_keep_one_of_copies_without_ids(spark):
+    """A third of all rows is one row without an id; other copies differ in their other columns."""
+    text = "one two three four five six seven"
+    rows = [(None, text, "a")] * 200 + [(i, f"own words of row {i} {i + 1} {i + 2}", "b") for i in range(200)] + [(7, f"own words of row {7} {8} {9}", c) for c in "xyz"]
+    rows += [(None, "alone without an id here now", None), (900, "", "a"), (900, "", "a")]
+    kept = nd.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert Counter(r.doc_id for r in kept) == Counter({None: 2, 900: 2, **dict.fromkeys(range(200), 1)})
+    assert {r.text for r in kept if r.doc_id is None} == {text, "alone without an id here now"}
+
+
+@pytest.mark.parametrize("length", [60, 400])
+def test_a_crowd_just_below_the_threshold(spark, length):
+    """Copies with changes that are mostly no links; sets below and above those that tiles compare whole."""
+    rng = random.Random(length)
+    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(length), max(1, length // 45) if i % 10 else 1):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = sorted((r.id, r.n, r.component) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted(brute_groups(rows, 5, 80))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 99), (99, 120), (7, 7)]
     got = {r.id: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
