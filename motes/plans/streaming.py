@@ -18,15 +18,18 @@ STAGE = """SELECT session, seq, CASE WHEN event = 'session_end' THEN CASE WHEN l
     CAST(CASE WHEN event = 'session_end' THEN NULL WHEN cs IS NULL THEN 1 WHEN cs[1:3] IN ('04_', '05_') THEN 3 WHEN cs[1:3] IN ('06_', '07_', '08_') THEN 4 END AS INTEGER) AS phase"""
 
 
+def _line():
+    return F.to_json(F.struct("seq", "session", "event", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "step", "iteration", "status", "rc", "hostname"))
+
+
 def _stream(spark, sf_dir, repeat=False):
     """The run log as a folder of NDJSON files, some lines broken, read as a stream."""
     path = scratch_path(spark, "stream")
     ev = events(spark, sf_dir)
     if repeat:
         ev = ev.union(ev.filter("seq % 3 = 0"))
-    line = F.to_json(F.struct("seq", "session", "event", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "step", "iteration", "status", "rc", "hostname"))
     broken = ev.filter("seq % 100 = 0").select(F.lit('{"seq": 1, "sess').alias("value"))
-    ev.select(line.alias("value")).union(broken).repartition(4).write.text(path)
+    ev.select(_line().alias("value")).union(broken).repartition(4).write.text(path)
     return ops.event_stream(spark, path, SCHEMA, files_per_batch=2)
 
 
@@ -55,17 +58,32 @@ def unstarted(spark, sf_dir):
     return ops.with_unstarted(ops.stages(events(spark, sf_dir)), known).select("session", "state")
 
 
-@query(
-    "t3_pair_steps",
-    with_(EVENTS)
-    + """, a AS (SELECT *, row_number() OVER (PARTITION BY session, iteration, step ORDER BY seq) AS n FROM ev WHERE event = 'step_start'),
+PAIRED = """, a AS (SELECT *, row_number() OVER (PARTITION BY session, iteration, step ORDER BY seq) AS n FROM ev WHERE event = 'step_start'),
     b AS (SELECT *, row_number() OVER (PARTITION BY session, iteration, step ORDER BY seq) AS n FROM ev WHERE event = 'step_end')
-    SELECT a.session, a.iteration, a.step, a.seq, b.rc, CASE WHEN b.seq IS NULL THEN 'running' WHEN b.rc = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM a LEFT JOIN b USING (session, iteration, step, n)""",
-)
+    SELECT a.session, a.iteration, a.step, a.seq, b.rc, CASE WHEN b.seq IS NULL THEN 'running' WHEN b.rc = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM a LEFT JOIN b USING (session, iteration, step, n)"""
+
+
+@query("t3_pair_steps", with_(EVENTS) + PAIRED)
 def pair_steps(spark, sf_dir):
     return ops.pair_steps(events(spark, sf_dir)).drop("t_start", "t_end")
 
 
+@query("t3_live_steps", with_(EVENTS) + PAIRED)
+def live_steps(spark, sf_dir):
+    """The log as a stream that ends in two late events, so that all before them is known to be complete."""
+    path, out, progress = (scratch_path(spark, n) for n in ("stream", "steps", "progress"))
+    events(spark, sf_dir).select(_line().alias("value")).repartition(4).write.text(path)
+    late = {"session": F.lit("~"), "event": F.lit("step_start"), "step": F.lit("~"), "iteration": F.lit("~"), "status": F.lit(""), "rc": F.lit(0), "hostname": F.lit("")}
+    for number in range(3):
+        if number:
+            last = spark.range(1).select(F.lit(number).alias("seq"), F.make_timestamp(F.lit(2099 + number), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("ts"), *[v.alias(n) for n, v in late.items()])
+            last.select(_line().alias("value")).write.mode("append").text(path)
+        # files arrive in no particular order here, so nothing counts as late
+        pairs = ops.live_steps(ops.event_stream(spark, path, SCHEMA), delay="60 days", longest="5 days")
+        got = ops.run_to_table(pairs, out, progress)
+    return ops.latest_pairs(got).filter("session <> '~'").select("session", "iteration", "step", "seq", "rc", "result")
+
+
 @query(
     "t3_live_pairs",
     with_(EVENTS)
