@@ -249,9 +249,9 @@ def _tilts(spark, sf_dir):
     )
 
 
-def _matrices(spark, sf_dir):
+def _matrices(spark, sf_dir, flip="none"):
     lists = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("tomo"), F.lit(5).alias("n"), F.when(F.col("r_regionkey") == 1, F.lit("2,5-4  trailing")).otherwise(F.lit("2")).alias("listing"))
-    return tomo.tilt_matrices(_tilts(spark, sf_dir), ["tomo"], excluded=tomo.excluded_tilts(lists, ["tomo"], "listing", "n"))
+    return tomo.tilt_matrices(_tilts(spark, sf_dir), ["tomo"], flip=flip, excluded=tomo.excluded_tilts(lists, ["tomo"], "listing", "n"))
 
 
 @query(
@@ -276,6 +276,41 @@ def tilt_matrices(spark, sf_dir):
     return m.select("tomo", "tilt_index", "frame", *[F.round(c, 6).alias(c) for c in ("m00", "m01", "m02", "m03", "m10", "m12")])
 
 
+def _sql_product(a, b):
+    """Product of two 4 x 4 lists of lists."""
+    return f"[[list_sum([{a}[i][k] * {b}[k][j] FOR k IN range(1, 5)]) FOR j IN range(1, 5)] FOR i IN range(1, 5)]"
+
+
+def _sql_shift(x, y, z):
+    return f"[[1.0::DOUBLE, 0, 0, {x}], [0, 1, 0, {y}], [0, 0, 1, {z}], [0, 0, 0, 1]]"
+
+
+# Image from world: scaled affine, tilt about the second axis, origin, offset, and one of three flips.
+WHOLE = f""", a1 AS (SELECT *, [[i11::DOUBLE, i12, 0, -(i11 * dx + i12 * dy)], [i21, i22, 0, -(i21 * dx + i22 * dy)], [0, 0, 1, 0], [0, 0, 0, 1]] AS n, {_sql_shift(41, 52, 0)} AS o, {_sql_shift(-40, -50, 0)} AS c,
+    [[ca::DOUBLE, -sa, 0, 40], [0, 0, 1, 50], [-sa, -ca, 0, 0], [0, 0, 0, 1]] AS t, {_sql_shift(-40, 0, -50)} AS tc, {_sql_shift(-1, -30, -1)} AS w, {_sql_shift(2, 1, 0)} AS s FROM f),
+  a2 AS (SELECT *, {_sql_product("o", "n")} AS p, {_sql_product("t", "tc")} AS q, {_sql_product("w", "s")} AS r FROM a1),
+  a3 AS (SELECT *, {_sql_product("p", "c")} AS p3 FROM a2),
+  a4 AS (SELECT *, [[CASE WHEN i < 4 AND j < 4 THEN 2 * p3[i][j] ELSE p3[i][j] END FOR j IN range(1, 5)] FOR i IN range(1, 5)] AS a FROM a3),
+  a5 AS (SELECT *, {_sql_product("a", "q")} AS aq FROM a4),
+  a6 AS (SELECT *, {_sql_product("aq", "r")} AS aqr FROM a5),
+  fl(flip, m) AS (VALUES ('none', {_sql_shift(0, 0, 0)}), ('yz', [[1.0::DOUBLE, 0, 0, 0], [0, 0, 1, 0], [0, 1, 0, 0], [0, 0, 0, 1]]), ('yz_z', [[1.0::DOUBLE, 0, 0, 0], [0, 0, -1, 59], [0, 1, 0, 0], [0, 0, 0, 1]])),
+  a7 AS (SELECT tomo, flip, tilt_index, frame, {_sql_product("aqr", "m")} AS e FROM a6, fl)"""
+ENTRIES = [(i, j) for i in range(4) for j in range(4)]
+
+
+@query(
+    "x11_whole_matrices",
+    with_(GEOMETRY) + WHOLE + " SELECT tomo, flip, tilt_index, frame, " + ", ".join(f"round(e[{i + 1}][{j + 1}], 6) + 0.0 AS m{i}{j}" for i, j in ENTRIES) + " FROM a7",
+)
+def whole_matrices(spark, sf_dir):
+    """All sixteen entries for each of the three flips."""
+    out = None
+    for flip in ("none", "yz", "yz_z"):
+        m = _matrices(spark, sf_dir, flip).select("tomo", F.lit(flip).alias("flip"), "tilt_index", "frame", *[(F.round(f"m{i}{j}", 6) + 0.0).alias(f"m{i}{j}") for i, j in ENTRIES])
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 @query(
     "j16_project_picks",
     with_(GEOMETRY)
