@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motes.functions.logs import step_phase
+from motes.sources.block_files import open_path
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,22 +22,33 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def _latest(df: DataFrame) -> DataFrame:
-    """Last event, last step start and last hostname per session; mergeable, so a session
-    with a third of all events is combined on every executor first."""
-    last = F.struct("event", "status", "step", "rc", "ts")
-    started = F.col("event") == "step_start"
-    return df.groupBy("session").agg(
-        F.max_by(last, "seq").alias("last"),
-        F.max_by(F.struct("step", "iteration", "ts"), F.when(started, F.col("seq"))).alias("step"),
-        F.max_by("hostname", F.when(F.col("hostname") != "", F.col("seq"))).alias("hostname"),
-        F.max("seq").alias("seq"),
+def _marks(df: DataFrame) -> DataFrame:
+    """What an event may say of its session, each with the event's number in front."""
+    return df.select(
+        "session",
+        F.struct("seq", "event", "status", "step", "rc", "ts").alias("last"),
+        F.when(F.col("event") == "step_start", F.struct("seq", "step", "iteration", "ts")).alias("step"),
+        F.when(F.col("hostname") != "", F.struct("seq", "hostname")).alias("host"),
     )
 
 
+def _newest(marks: DataFrame) -> DataFrame:
+    """The newest marks per session. Mergeable, so a session with a third of all events is combined on
+    every executor first, and results of parts can be merged again."""
+    return marks.groupBy("session").agg(*[F.max(c).alias(c) for c in ("last", "step", "host")])
+
+
+def _latest(df: DataFrame) -> DataFrame:
+    """Last event, last step start and last hostname per session."""
+    return _newest(_marks(df)).select("session", "last", "step", F.col("host.hostname").alias("hostname"), F.col("last.seq").alias("seq"))
+
+
 def stages(df: DataFrame, now: Column | None = None) -> DataFrame:
     """Where each session stands: running, finished or aborted, its step and the step's age."""
-    latest = _latest(df)
+    return _stages(_latest(df), now)
+
+
+def _stages(latest: DataFrame, now: Column | None = None) -> DataFrame:
     ended = F.col("last.event") == "session_end"
     done = (F.col("last.event") == "step_end") & (F.col("last.step") == F.col("step.step"))
     state = F.when(ended & (F.lower("last.status") == "finished"), "finished").when(ended, "aborted").otherwise("running")
@@ -171,20 +184,49 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_stages(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Keep the current stage of every session in a table of updates, then read the newest.
+def _parts(path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the complete snapshots and of the complete updates below a path."""
+    system, inner = open_path(path)
+    found: dict[str, list[int]] = {"snapshot": [], "update": []}
+    for entry in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        kind, _, number = entry.base_name.partition("=")
+        if kind in found and system.get_file_info(f"{entry.path}/_SUCCESS").is_file:
+            found[kind].append(int(number))
+    return sorted(found["snapshot"]), sorted(found["update"])
+
+
+def _merged(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest marks of all sessions, from the last snapshot before ``upto`` and the updates since."""
+    snapshots, updates = _parts(path)
+    snapshots = [s for s in snapshots if upto is None or s < upto]
+    since = [u for u in updates if (not snapshots or u > snapshots[-1]) and (upto is None or u <= upto)]
+    names = [f"snapshot={n}" for n in snapshots[-1:]] + [f"update={n}" for n in since]
+    return _newest(spark.read.parquet(*[f"{path}/{n}" for n in names]))
 
-    Each micro-batch writes the sessions that changed into its own folder, replacing it on
-    a retry, so a lost executor or a restarted query leaves no double rows.
+
+def run_stages(stream: DataFrame, path: str, checkpoint: str, compact: int = 10) -> DataFrame:
+    """Keep where every session stands in a table of its own, and read it.
+
+    The stream has no state: a micro-batch writes the newest marks of the sessions in it, and every ``compact``
+    batches these are merged with the last snapshot into a new one. A read scans the newest snapshot and the updates
+    after it. Each batch has its own folder, replaced on a retry, and what a snapshot was made from stays until
+    the next one is there, so a lost executor or a restarted query neither loses nor doubles anything.
     """
+    spark = stream.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number}")
-
-    updates = stages(stream)
-    query = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+        _newest(_marks(batch)).write.mode("overwrite").parquet(f"{path}/update={number}")
+        if (number + 1) % compact:
+            return
+        _merged(spark, path, number).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+        snapshots, updates = _parts(path)
+        before = [s for s in snapshots if s < number][-1:]
+        system, inner = open_path(path)
+        for kind, numbers in (("snapshot", [s for s in snapshots if before and s < before[0]]), ("update", [u for u in updates if before and u <= before[0]])):
+            for n in numbers:
+                system.delete_dir(f"{inner}/{kind}={n}")
+
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()
-    cols = [c for c in updates.columns if c != "session"]
-    table = stream.sparkSession.read.parquet(path)
-    newest = table.groupBy("session").agg(F.max_by(F.struct(*cols), "batch").alias("n"))
-    return newest.select("session", *[F.col("n")[c].alias(c) for c in cols])
+    newest = _merged(spark, path)
+    return _stages(newest.select("session", "last", "step", F.col("host.hostname").alias("hostname"), F.col("last.seq").alias("seq")))

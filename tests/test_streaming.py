@@ -70,6 +70,24 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
     assert ops.run_to_table(ops.without_repeats(stream()), clean, seen).count() == 7
 
 
+def test_stages_are_compacted(spark, tmp_path):
+    logs, out, mark = tmp_path / "logs", tmp_path / "stages", str(tmp_path / "mark")
+    logs.mkdir()
+    for i in range(9):
+        steps = [event(10 * i + 1, f"s{i}", "session_start"), event(10 * i + 2, "long", "step_start", f"0{i}_x", minute=i)]
+        if i % 2:
+            steps.append(event(10 * i + 3, f"s{i - 1}", "session_end", status="finished"))
+        write(logs, f"{i}.ndjson", steps)
+        got = ops.run_stages(ops.event_stream(spark, str(logs), SCHEMA), str(out), mark, compact=3)
+        batch = ops.stages(spark.read.schema(SCHEMA).json(str(logs)))
+        assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+    # the last snapshot, the one before it, and what came after that; no state of sessions, ended or not
+    assert ops._parts(str(out)) == ([5, 8], [6, 7, 8])
+    assert not (tmp_path / "mark" / "state").exists()
+    # a batch that is done again, as after a lost driver, finds what it needs
+    assert sorted(r["session"] for r in ops._merged(spark, str(out), 8).collect()) == sorted(r["session"] for r in got.collect())
+
+
 def test_live_steps_pair_one_to_one(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
