@@ -40,7 +40,8 @@ def shell_correlation(
     Every shell has a row; one without coefficients is NULL or ``empty``.
     """
     keys = list(keys)
-    largest = a.agg(F.max(radius2()).alias("m")).scalar()
+    heads = a.groupBy(*keys).agg(F.max(radius2()).alias("m"))  # a row a key, for the largest radius and for the keys
+    largest = heads.agg(F.max("m").alias("m")).scalar()
     both = a.select(*keys, *K, "re", "im").join(
         b.select(*keys, *K, F.col("re").alias("re2"), F.col("im").alias("im2")), [*keys, *K]
     )
@@ -55,7 +56,7 @@ def shell_correlation(
         )
     )
     value = F.col("_n") / (F.sqrt(F.col("_a") * F.col("_b")) + F.lit(eps))
-    grid = a.select(*keys).distinct().withColumn("shell", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    grid = heads.select(*keys).withColumn("shell", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     step = F.sqrt(largest) / F.lit(bins * size * pixel)
     return grid.join(sums, [*keys, "shell"], "left").select(
         *keys,

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motes.operators.ordered import position
+from motes.operators.ordered import join_on_keys, position
 from motes.operators.similar import pack_size, unit_images
 
 
@@ -78,12 +78,13 @@ def mutual_information(df: DataFrame, keys: Sequence[str], bins: int, a="a", b="
         return F.when(hi > lo, F.floor((F.col(c) - lo) * (bins - 1) / (hi - lo))).otherwise(F.lit(0))
 
     joint = placed.groupBy(*keys, bin_of(a).alias("_x"), bin_of(b).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    entropy = lambda n, total: F.log2(total) - F.sum(n * F.log2(n)) / total
-    parts = []
-    for side in (["_x"], ["_y"], ["_x", "_y"]):
-        counts = joint.groupBy(*keys, *side).agg(F.sum("_n").cast("double").alias("_n"))
-        parts.append(counts.groupBy(*keys).agg(entropy(F.col("_n"), F.sum("_n")).alias(f"_h{''.join(side)}")))
-    both = join_on_keys(join_on_keys(parts[0], parts[1], keys, "inner"), parts[2], keys, "inner")
+    # both margins and the joint counts in one grouping of the (few) joint bins
+    sides = {"_x": 1, "_y": 2, "_x_y": 0}  # by the bit of what is summed over
+    sets = [[*keys, "_x"], [*keys, "_y"], [*keys, "_x", "_y"]]
+    counts = joint.groupingSets(sets, *keys, "_x", "_y").agg(F.grouping_id().bitwiseAND(F.lit(3).cast("bigint")).alias("_side"), F.sum("_n").cast("double").alias("_n"))
+    total = F.sum(F.when(F.col("_side") == 0, F.col("_n")))
+    entropy = lambda side: F.log2(total) - F.sum(F.when(F.col("_side") == side, F.col("_n") * F.log2("_n"))) / total
+    both = counts.groupBy(*keys).agg(*[entropy(side).alias(f"_h{name}") for name, side in sides.items()])
     value = F.when(F.abs("_h_x_y") > 1e-12, (F.col("_h_x") + F.col("_h_y")) / (2 * F.col("_h_x_y"))).otherwise(F.lit(0.0))
     return both.select(*keys, value.alias(out))
 
