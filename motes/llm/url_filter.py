@@ -3,7 +3,7 @@
 A rule is a host and the beginning of a path. The index file holds the sorted xxhash
 digests of ``host + path`` of all rules, their offsets, and the strings themselves. For a
 batch of URLs all pairs of a host suffix and a path beginning, of those lengths that rules
-have, are digested and probed with one vectorised binary search; a hit counts only if
+have, and no longer than a rule's, are digested and probed with one vectorised binary search; a hit counts only if
 the stored string is equal, so collisions can't mislead.
 """
 
@@ -23,7 +23,7 @@ from motes.session import shared_folder
 # Rules per index file; more rules make more files, each probed in turn.
 RULES_PER_FILE = 5_000_000
 
-_HEAD = 2  # uint64 words: number of rules, number of path lengths
+_HEAD = 3  # uint64 words: number of rules, number of path lengths, length of the longest host
 
 
 def pack(rules: list[tuple[str, str, str]]) -> bytes:
@@ -32,16 +32,17 @@ def pack(rules: list[tuple[str, str, str]]) -> bytes:
     Of rules with equal host and path, ``block`` stays.
     """
     best: dict[bytes, int] = {}
-    lengths = set()
+    lengths, widest = set(), 0
     for host, path, verdict in rules:
         if host:
             name = (host + path).encode()
             best[name] = max(best.get(name, 0), int(verdict == "block"))
             lengths.add(len(path))
+            widest = max(widest, len(host))
     rows = sorted((xxhash.xxh64_intdigest(name), name, block) for name, block in best.items())
     ends = np.cumsum([0, *[len(name) for _, name, _ in rows]]).astype("<u8")
     parts = [
-        np.array([len(rows), len(lengths)], "<u8"),
+        np.array([len(rows), len(lengths), widest], "<u8"),
         np.array(sorted(lengths), "<u8"),
         np.array([digest for digest, _, _ in rows], "<u8"),
         ends,
@@ -55,7 +56,7 @@ class Index:
 
     def __init__(self, path: str):
         raw = np.memmap(path, "u1", "r")
-        n, m = (int(x) for x in raw[: 8 * _HEAD].view("<u8"))
+        n, m, self.widest = (int(x) for x in raw[: 8 * _HEAD].view("<u8"))
         at = 8 * _HEAD
         self.lengths = [int(x) for x in raw[at : at + 8 * m].view("<u8")]
         at += 8 * m
@@ -72,7 +73,11 @@ class Index:
         sizes: list[tuple[int, int]] = []
         owners: list[int] = []
         for i, (host, path) in enumerate(zip(hosts, paths)):
+            # no rule fits a suffix that is longer than every rule's host
             suffix = host
+            if len(host) > self.widest:
+                dot = host.find(".", len(host) - self.widest - 1)
+                suffix = host[dot + 1 :] if dot >= 0 else ""
             while suffix:
                 for length in self.lengths:
                     if length <= len(path):
@@ -151,7 +156,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", per_file: i
     ``rules`` has ``host``, ``path`` and ``verdict`` (allow or block). Without a rule a
     page is allowed, unless it has no host (null, empty or malformed URL): then blocked.
     Repeated rows are judged alike; no page is moved, so a host with a third of all pages
-    is no burden. Rules are collected file by file, at most ``per_file`` of them at once.
+    is no burden. Of a host only the suffixes no longer than the longest host of a rule are looked up, so a very long one
+    costs no more. An empty table gives an empty one; the caller's columns are inside ``row`` and may have any names.
+    Rules are collected file by file, at most ``per_file`` of them at once.
     """
     spark = pages.sparkSession
     rules = rules.select("host", "path", "verdict").na.drop().distinct()

@@ -33,6 +33,15 @@ def test_urls(spark, tmp_path):
     assert uf.url_filter(pages, table.limit(0)).filter("rule IS NOT NULL").count() == 0
 
 
+def test_very_long_hosts(tmp_path):
+    rules = [("b.a", "/x", "block"), ("a", "/", "allow"), ("long.host.of.a.rule", "/", "block")]
+    (tmp_path / "i").write_bytes(uf.pack(rules))
+    index = uf.Index(str(tmp_path / "i"))
+    hosts = ["c." * 100_000 + "b.a", "c" * 300_000, "." * 200_000, "x.long.host.of.a.rule", "long.host.of.a.rule", "xlong.host.of.a.rule"]
+    got = index.longest(hosts, ["/x"] * len(hosts))
+    assert got == [("b.a/x", "block"), None, None, *[("long.host.of.a.rule/", "block")] * 2, None]
+
+
 def test_url_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(uf.xxhash, "xxh64_intdigest", lambda b: len(b) % 3)
     (tmp_path / "x").write_bytes(uf.pack([("a", "/", "block"), ("bb", "/", "allow"), ("cccc", "/", "block"), ("dddd", "/", "allow")]))
