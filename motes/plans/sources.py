@@ -234,7 +234,7 @@ def _saved_arrays(spark, sf_dir, fill):
         import numpy as np
         from pyarrow import fs
 
-        data = fill(pdf)
+        data = fill(pdf.sort_values("c_custkey").reset_index(drop=True))
         uri = folder if "://" in folder else folder.replace("file:", "", 1)
         system, place = fs.FileSystem.from_uri(uri)
         system.create_dir(place)
