@@ -26,6 +26,9 @@ PACK_BYTES = 32 << 20
 # Directions of the bound, and images of the sample that they come from.
 DIRECTIONS = 8
 SAMPLE = 2000
+# Packs are dealt to so many shares, or more where these exceed the size.
+SHARES = 8
+SHARE_BYTES = 32 << 20
 # Rounding of a bound; a little more is multiplied and nothing is missed.
 MARGIN = 1e-9
 
@@ -110,14 +113,31 @@ def _first_look(key_kind: str, directions: np.ndarray):
     return batches
 
 
+def _as_bytes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield part.assign(us=[np.stack(us).astype(np.float64).tobytes() for us in part["us"]])
+
+
+def _bytes_schema(packs: DataFrame, group: Sequence[str], kind: str) -> str:
+    named = ", ".join(f"`{c}` {packs.schema[c].dataType.simpleString()}" for c in group)
+    rest = f"pack bigint, ids array<{kind}>, asks array<boolean>, cc array<double>, low_t array<double>, high_t array<double>, rest double, least double, us binary"
+    return f"{named}, {rest}" if named else rest
+
+
+def _shares(packs: DataFrame) -> int:
+    """How many shares of bounded size the packs are dealt to; each meets each other in a task of its own."""
+    seen = packs.agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.size("ids").cast("bigint") * F.size(F.get("us", F.lit(0)))).alias("size")).first()
+    return max(1, min(seen["n"], max(SHARES, -(-(seen["size"] or 0) // SHARE_BYTES))))
+
+
 def _second_look(key: str, directions: np.ndarray):
     """What a pack's images find in another pack; pairs whose bound is too low are not multiplied."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples(index=False):
-                a, b = np.stack(row.us), np.stack(row.us2)
                 i, j = np.asarray(row.ids), np.asarray(row.ids2)
+                a, b = np.frombuffer(row.us).reshape(len(i), -1), np.frombuffer(row.us2).reshape(len(j), -1)
                 ta, tb = a @ directions, b @ directions
                 ra, rb = (np.sqrt(np.maximum(0.0, 1.0 - (t * t).sum(1))) for t in (ta, tb))
                 least = np.where(np.asarray(row.asks, bool), np.maximum(np.asarray(row.cc), 0.0), 2.0)
@@ -181,16 +201,17 @@ def most_similar(images: DataFrame, group: Sequence[str], key: str = "id", pixel
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packs.schema)
     looked = checkpointed(packs.mapInPandas(_first_look(kind, directions), f"{fields}, {found}"))
 
-    # of two packs first only the bounds meet, a few numbers each
-    bounds = looked.select(*group, "pack", "low_t", "high_t", "rest", "least")
-    last = bounds.groupBy(*group).agg(F.max("pack").alias("_last"))
-    asking = join_on_keys(bounds, last, group, "inner") if group else bounds.crossJoin(F.broadcast(last))
-    tiles = asking.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))).filter("_to <> pack and least <= 1")
-    others = bounds.select(*group, F.col("pack").alias("_to"), *[F.col(c).alias(f"{c}2") for c in ("low_t", "high_t", "rest")])
-    open_tiles = join_on_keys(tiles, others, [*group, "_to"], "inner").filter(_tile_bound(directions.shape[1]) >= F.col("least") - MARGIN)
-    left = join_on_keys(open_tiles.select(*group, "pack", "_to"), looked.select(*group, "pack", "ids", "us", "asks", "cc"), [*group, "pack"], "inner")
-    members = looked.select(*group, F.col("pack").alias("_to"), F.col("ids").alias("ids2"), F.col("us").alias("us2"))
-    pairs = join_on_keys(left, members, [*group, "_to"], "inner").select("ids", "us", "asks", "cc", "ids2", "us2")
+    # Each share of the packs reads each other share from the checkpoint, so nothing is shuffled per pair of packs; the
+    # bounds decide which pairs go on, with the pixels as bytes.
+    last = looked.groupBy(*group).agg(F.max("pack").alias("_last"))
+    shared = join_on_keys(looked, last, group, "inner").filter("_last > 0") if group else looked
+    packed = shared.select(*group, "pack", "ids", "asks", "cc", "low_t", "high_t", "rest", "least", "us").mapInPandas(_as_bytes, _bytes_schema(shared, group, kind))
+    shared = checkpointed(packed.repartition(_shares(shared)))
+    others = shared.select(*[F.col(c).alias(f"{c}2") for c in (*group, "pack", "ids", "us", "low_t", "high_t", "rest")])
+    meet = (F.col("pack") != F.col("pack2")) & (_tile_bound(directions.shape[1]) >= F.col("least") - MARGIN)
+    for c in group:
+        meet = F.col(c).eqNullSafe(F.col(f"{c}2")) & meet
+    pairs = shared.filter("least <= 1").join(others.hint("shuffle_replicate_nl"), meet, "inner").select("ids", "us", "asks", "cc", "ids2", "us2")
     elsewhere = pairs.mapInPandas(_second_look(key, directions), f"{key} {kind}, similar {kind}, cc double, multiplied bigint")
     own = looked.select(F.explode(F.arrays_zip("ids", "similar", "cc", "asks")).alias("_o"), F.size("ids").alias("_m")).filter("_o.asks")
     at_home = own.select(F.col("_o.ids").alias(key), F.col("_o.similar").alias("similar"), F.col("_o.cc").alias("cc"), F.col("_m").cast("bigint").alias("multiplied"))

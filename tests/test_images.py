@@ -291,3 +291,23 @@ def test_packs_that_cannot_win_are_not_multiplied(spark):
     np.fill_diagonal(cc, -1)
     assert all(r["cc"] == pytest.approx(cc[r["id"]].max()) and cc[r["id"], r["similar"]] == pytest.approx(cc[r["id"]].max()) for r in rows)
     assert sum(r["multiplied"] for r in rows) < 0.5 * len(images) ** 2
+
+
+def test_pixels_are_not_shuffled_per_pair_of_packs(spark):
+    rng = np.random.default_rng(4)
+    images = rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in im], None if i % 3 == 0 else i % 3) for i, im in enumerate(images)]
+    df = spark.createDataFrame(rows, "id bigint, px array<double>, view int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for group in ([], ["view"]):
+            out = similar.most_similar(df, group, pack=4)
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            assert "CartesianProduct" in plan and "_to" not in plan
+            got = {r["id"]: r["similar"] for r in out.collect()}
+            for i, a in enumerate(images):
+                cc = {j: np.corrcoef(a, b)[0, 1] for j, b in enumerate(images) if j != i and (not group or j % 3 == i % 3)}
+                assert cc[got[i]] == pytest.approx(max(cc.values()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
