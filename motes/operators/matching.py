@@ -318,33 +318,34 @@ def expand_ranges(entries: DataFrame, start: str, end: str, keys: Sequence[str],
 def _bins(start: Column, end: Column) -> Column:
     """A range as bins of power-of-two width: ``(level, bin)`` stands for bin * 2^level and what follows, 2^level numbers.
 
-    From the finest level up, an end that does not fill a bin of the next level is a bin of its own; so a
-    range of length n is at most about 2 log2(n) bins.
+    At each level, an end that does not fill a bin of the next level is a bin of its own; so a
+    range of length n is at most about 2 log2(n) bins, and only levels that fit in the range are looked at.
     """
-    one = lambda at, level, test: F.when(test, F.array(F.struct(level.alias("level"), at.alias("bin")))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+    a, b = start.cast("bigint"), end.cast("bigint") + 1
+    shift = lambda value, level: F.call_function("shiftright", value, level)
+    odd = lambda value: value.bitwiseAND(F.lit(1).cast("bigint")) == 1
 
-    def step(state: Column, level: Column) -> Column:
-        a, b = state["a"], state["b"]
-        left = (a < b) & (a.bitwiseAND(F.lit(1).cast("bigint")) == 1)
-        a2 = F.when(left, a + 1).otherwise(a)
-        right = (a2 < b) & (b.bitwiseAND(F.lit(1).cast("bigint")) == 1)
-        b2 = F.when(right, b - 1).otherwise(b)
-        bins = F.concat(state["bins"], one(a, level, left), one(b2, level, right))
-        return F.struct(F.shiftright(a2, 1).alias("a"), F.shiftright(b2, 1).alias("b"), bins.alias("bins"))
+    def ends(level: Column) -> Column:
+        first, stop = -shift(-a, level), shift(b, level)
+        at = lambda bin: F.struct(level.alias("level"), bin.alias("bin"))
+        return F.array(F.when((first < stop) & odd(first), at(first)), F.when((first < stop) & odd(stop), at(stop - 1)))
 
-    first = F.struct(start.cast("bigint").alias("a"), (end.cast("bigint") + 1).alias("b"), F.array().cast("array<struct<level:int,bin:bigint>>").alias("bins"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), first, step)["bins"]
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(b - a)) - 1), ends)))
 
 
 def last_covering(points: DataFrame, point: str, entries: DataFrame, start: str, end: str, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
     """Every row of ``points`` with the fields of the last entry of its keys whose range holds it, NULL where none does.
 
-    Ranges become bins of power-of-two width, a point is in one bin of each width that occurs, so this is an
-    equi-join whose rows grow with the logarithm of a range's length.
+    Ranges become bins of power-of-two width, of which each keeps its last entry; a point is in one bin of each width
+    that occurs. So this is an equi-join on a unique key, whose rows grow with the points and the logarithm of a
+    range's length, however many ranges hold a point.
     """
     on = list(keys)
-    binned = entries.filter(F.col(start) <= F.col(end)).select(*on, order, *fields, F.explode(_bins(F.col(start), F.col(end))).alias("_b"))
+    # a small file is one task otherwise, and its bins are many
+    spread = entries.filter(F.col(start) <= F.col(end)).repartition(entries.sparkSession.sparkContext.defaultParallelism)
+    binned = spread.select(*on, order, *fields, F.explode(_bins(F.col(start), F.col(end))).alias("_b"))
     binned = binned.select(*on, F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin"), F.struct(*fields).alias("_fields"), F.col(order).alias("_order"))
+    binned = binned.groupBy(*on, "_level", "_bin").agg(F.max_by("_fields", "_order").alias("_fields"), F.max("_order").alias("_order"))
     levels = binned.agg(F.array_sort(F.collect_set("_level")).alias("l")).scalar()  # at most 63
     asked = points.select(*on, F.col(point).cast("bigint").alias("_point")).distinct().withColumn("_level", F.explode(levels))
     asked = asked.withColumn("_bin", F.call_function("shiftright", F.col("_point"), F.col("_level")))

@@ -209,3 +209,23 @@ def test_slices_that_do_not_fit(spark):
         matching.gather_slices(want, have.filter("slice = 0"), "o").count()
     with pytest.raises(Exception, match="differ in size"):
         matching.gather_slices(want, have.withColumn("nx", F.col("slice")), "o").count()
+
+
+def test_ranges_over_one_point_meet_it_once_a_width(spark):
+    entries = spark.range(400).select(F.lit("a").alias("k"), F.col("id").alias("entry"), (F.col("id") % 7 - 3).alias("vs"), (F.lit(1 << 20) + F.col("id") % 5).alias("ve"), (F.col("id") * 2).alias("d"))
+    points = spark.range(300).select("id", F.lit("a").alias("k"), (F.col("id") * 3500).alias("at"))
+    out = matching.last_covering(points, "at", entries, "vs", "ve", ["k"], "entry", ["d"])
+    got = {r["id"]: r["d"] for r in out.collect()}
+    for i in range(300):
+        hits = [n for n in range(400) if n % 7 - 3 <= i * 3500 <= (1 << 20) + n % 5]
+        assert got[i] == (2 * max(hits) if hits else None)
+    grouped = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert any("_level" in line.split("]")[0] and "_bin" in line.split("]")[0] for line in grouped)
+
+
+def test_bins_cover_a_range_once(spark):
+    rows = [(a, a + n) for a in (-70, -8, -1, 0, 1, 5, 64) for n in (0, 1, 2, 7, 8, 63, 100)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint").select("a", "b", matching._bins(F.col("a"), F.col("b")).alias("bins"))
+    for r in df.collect():
+        held = sorted(x for b in r["bins"] for x in range(b["bin"] << b["level"], (b["bin"] + 1) << b["level"]))
+        assert held == list(range(r["a"], r["b"] + 1))
