@@ -89,10 +89,11 @@ def best_per_voxel(df: DataFrame, keys: Sequence[str], resolution="resolution",
 
 
 def best_count_map(
-    df: DataFrame, mask: DataFrame | None, volume: Sequence[str], voxel: Sequence[str] = VOXEL, resolution="resolution", count="count", threshold=0.2
+    df: DataFrame, mask: DataFrame | None, volume: Sequence[str], voxel: Sequence[str] = VOXEL, resolution="resolution", count="count", threshold=0.2, by: Column | None = None
 ) -> DataFrame:
     """Particle count of the best resolution (finite, at least 0.5) per voxel.
 
+    The smallest ``by`` wins (the resolution, unless given), then the smallest resolution and count.
     Voxels outside the mask or without a valid value get the volume's largest count.
     """
     valid = _finite(resolution) & (F.col(resolution) >= 0.5)
@@ -102,7 +103,7 @@ def best_count_map(
         valid = valid & F.col("_in").isNotNull()
     top = df.groupBy(*volume).agg(F.max(count).alias("_top"))
     best = df.groupBy(*volume, *voxel).agg(
-        F.min_by(count, F.when(valid, F.struct(resolution, count))).alias("_best")
+        F.min_by(count, F.when(valid, F.struct((F.col(resolution) if by is None else by).alias("_by"), resolution, count))).alias("_best")
     )
     return best.join(top, list(volume)).select(*volume, *voxel, F.coalesce("_best", "_top").alias(count))
 

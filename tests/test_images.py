@@ -311,3 +311,12 @@ def test_pixels_are_not_shuffled_per_pair_of_packs(spark):
                 assert cc[got[i]] == pytest.approx(max(cc.values()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_counts_weigh_in_the_best_resolution(spark, tmp_path):
+    from motes.plans import catalog
+
+    rows = [(0, [0.51] * 64, 3), (10**6, [0.5] * 64, 3)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    # 3.03 with a count of 0 against 3.00 with one of 10^8, which costs 0.1
+    assert {r["count"] for r in catalog.PLANS["a15_best_count_map"](spark, str(tmp_path)).collect()} == {0}
