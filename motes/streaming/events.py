@@ -117,7 +117,7 @@ def latest_pairs(pairs: DataFrame) -> DataFrame:
 PAIR = "session string, iteration string, step string, seq long, t_start long, end_seq long, t_end long, rc int, result string"
 
 
-def live_steps(stream: DataFrame, delay: str = "1 day", longest: str = "1 day") -> DataFrame:
+def live_steps(stream: DataFrame, delay: str = "1 day", longest: str = "1 day", buckets: int = 1024) -> DataFrame:
     """The n-th start of a step with its n-th end, as a stream: the live form of ``pair_steps``.
 
     Starts and ends of a step are taken by ``seq``, which grows with ``ts``, once the watermark
@@ -127,6 +127,9 @@ def live_steps(stream: DataFrame, delay: str = "1 day", longest: str = "1 day")
     without end is given once as ``running``, when it is ``longest`` old; its place stays
     taken, and an end that comes later gives a second row with its result, under the same
     ``seq``. ``latest_pairs`` keeps the last word. An end without start waits for its start.
+
+    Steps are dealt to ``buckets`` by hash, and a bucket is one entry of the state with one timer: calling Python once
+    a step and batch would take far longer than the work itself. The number is fixed for the life of a checkpoint.
     """
     import pandas as pd
 
@@ -134,35 +137,41 @@ def live_steps(stream: DataFrame, delay: str = "1 day", longest: str = "1 day")
     wait = pd.Timedelta(longest).value // 1_000_000
     names = [c.split()[0] for c in PAIR.split(", ")]
 
-    def pair(key, batches, state):
-        # waiting: not yet passed; starts: open, with whether they were given; ends: without start
-        waiting, starts, ends = ([tuple(x) for x in json.loads(x)] for x in (state.get if state.exists else ("[]", "[]", "[]")))
+    def pair(_, batches, state):
+        # of each step: waiting: not yet passed; starts: open, with whether they were given; ends: without start
+        steps = {tuple(key): [[tuple(x) for x in part] for part in parts] for key, *parts in (json.loads(state.get[0]) if state.exists else [])}
         for batch in batches:
-            for seq, event, at, rc in zip(batch["seq"], batch["event"], batch["at"], batch["rc"]):
-                waiting.append((int(seq), event == "step_start", int(at), None if pd.isna(rc) else int(rc)))
+            rcs = [None if pd.isna(rc) else int(rc) for rc in batch["rc"]]
+            keys = zip(*[[None if pd.isna(x) else x for x in batch[c]] for c in on])
+            for key, seq, event, at, rc in zip(keys, batch["seq"].tolist(), batch["event"], batch["at"].tolist(), rcs):
+                steps.setdefault(key, [[], [], []])[0].append((seq, event == "step_start", at, rc))
         now = state.getCurrentWatermarkMs()
-        out = []
-
-        def give(start, end, result):
-            out.append((*key, *start[:2], *(end or (None, None, None)), result))
-
-        passed = sorted(x for x in waiting if x[2] // 1000 < now)
-        waiting = [x for x in waiting if x[2] // 1000 >= now]
-        for seq, starting, at, rc in passed:
-            if starting:
-                starts.append((seq, at, False))
-            else:
-                ends.append((seq, at, rc))
-        while starts and ends:
-            start, end = starts.pop(0), ends.pop(0)
-            give(start, end, "PASS" if end[2] == 0 else "FAIL")
-        for i, (seq, at, given) in enumerate(starts):
-            if not given and at // 1000 + wait <= now:
-                starts[i] = (seq, at, True)
-                give(starts[i], None, "running")
-        if waiting or starts or ends:
-            state.update(tuple(json.dumps(x) for x in (waiting, starts, ends)))
-            due = [x[2] // 1000 + 1 for x in waiting] + [at // 1000 + wait for _, at, given in starts if not given]
+        out, kept, due = [], [], []
+        for key, (waiting, starts, ends) in steps.items():
+
+            def give(start, end, result, key=key):
+                out.append((*key, *start[:2], *(end or (None, None, None)), result))
+
+            passed = sorted(x for x in waiting if x[2] // 1000 < now)
+            waiting = [x for x in waiting if x[2] // 1000 >= now]
+            for seq, starting, at, rc in passed:
+                if starting:
+                    starts.append((seq, at, False))
+                else:
+                    ends.append((seq, at, rc))
+            paired = min(len(starts), len(ends))
+            for start, end in zip(starts[:paired], ends[:paired]):
+                give(start, end, "PASS" if end[2] == 0 else "FAIL")
+            starts, ends = starts[paired:], ends[paired:]
+            for i, (seq, at, given) in enumerate(starts):
+                if not given and at // 1000 + wait <= now:
+                    starts[i] = (seq, at, True)
+                    give(starts[i], None, "running")
+            if waiting or starts or ends:
+                kept.append((key, waiting, starts, ends))
+                due += [x[2] // 1000 + 1 for x in waiting] + [at // 1000 + wait for _, at, given in starts if not given]
+        if kept:
+            state.update((json.dumps(kept),))
             if due:
                 state.setTimeoutTimestamp(max(min(due), now + 1))
         elif state.exists:
@@ -172,8 +181,8 @@ def live_steps(stream: DataFrame, delay: str = "1 day", longest: str = "1 day")
     # a start with a null key meets no end, as in ``pair_steps``
     known = " AND ".join(f"{c} IS NOT NULL" for c in on)
     steps = stream.filter(f"(event = 'step_start' OR event = 'step_end' AND {known}) AND seq IS NOT NULL AND ts IS NOT NULL")
-    steps = steps.withWatermark("ts", delay).select(*on, "seq", "event", "ts", F.unix_micros("ts").alias("at"), "rc")
-    pairs = steps.groupBy(*on).applyInPandasWithState(pair, PAIR, "waiting string, starts string, ends string", "append", "EventTimeTimeout")
+    steps = steps.withWatermark("ts", delay).select(F.pmod(F.xxhash64(*on), F.lit(buckets)).alias("bucket"), *on, "seq", "event", "ts", F.unix_micros("ts").alias("at"), "rc")
+    pairs = steps.groupBy("bucket").applyInPandasWithState(pair, PAIR, "steps string", "append", "EventTimeTimeout")
     return pairs.withColumns({c: F.timestamp_micros(c) for c in ("t_start", "t_end")})
 
 

@@ -118,3 +118,17 @@ def test_verdict(spark):
     crit = quality.check_rows(rows, F.col("name"), F.col("good"), "critical", F.lit(""))
     r = quality.verdict(quality.all_checks(warn, crit)).first()
     assert (r["checks"], r["passed"], r["failed"], r["critical"], r["ok"]) == (4, 2, 2, 1, False)
+
+
+def test_steps_share_entries_of_the_state(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    out, mark = str(tmp_path / "pairs"), str(tmp_path / "mark")
+    steps = [event(2 * i + k, f"s{i}", ("step_start", "step_end")[k], "x", rc=i % 2, minute=k) for i in range(120) for k in (0, 1)]
+    for n, part in enumerate((steps, [event(1, "z", "step_start", "w", minute=50)], [event(2, "z", "step_start", "w", minute=51)])):
+        write(logs, f"{n}.ndjson", part)
+        pairs = ops.live_steps(ops.event_stream(spark, str(logs), SCHEMA), delay="5 minutes", longest="10 minutes", buckets=4)
+        got = ops.run_to_table(pairs, out, mark)
+        if not n:
+            assert 0 < spark.read.format("statestore").load(mark).count() <= 4
+    assert {(r["session"], r["result"]) for r in got.collect() if r["session"] != "z"} == {(f"s{i}", ("PASS", "FAIL")[i % 2]) for i in range(120)}
