@@ -27,7 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 FORMAT = "motes_blocks"
 MANIFEST = "_manifest.json"
-CHUNK = 8 << 20
+# Bytes of text that a task holds at once; as lines, cells and batches they take many times as much.
+CHUNK = 1 << 20
 # As for Spark's own files: a range is no smaller than this unless the caller's bound is.
 SMALLEST = 4 << 20
 

@@ -348,3 +348,10 @@ def test_missing_poses_and_shifts(spark, field):
         assert [p[c] for c in zero] == [0.0] * len(zero) and p["_rlnDefocusV"] == 2.0
     with pytest.raises(Exception, match="3 numbers"):
         arrays.pose_columns(array_rows(spark, **{"alignments3D/pose": [1.0]})).collect()
+
+
+def test_a_task_holds_little_text_at_once(tmp_path):
+    path = tmp_path / "long.star"
+    path.write_bytes(b"data_particles\n\nloop_\n_a #1\n" + b"%099d\n" % 7 * 60_000)
+    sizes = [len(data) for _, data in block_files.whole_lines(str(path), 0, path.stat().st_size)]
+    assert sum(sizes) == path.stat().st_size and max(sizes) <= 2 << 20
