@@ -40,8 +40,8 @@ def shell_correlation(
     Every shell has a row; one without coefficients is NULL or ``empty``.
     """
     keys = list(keys)
-    heads = a.groupBy(*keys).agg(F.max(radius2()).alias("m"))  # a row a key, for the largest radius and for the keys
-    largest = heads.agg(F.max("m").alias("m")).scalar()
+    heads = a.groupBy(*keys).agg(F.max(radius2()).alias("_radius2"))  # a row a key, for the largest radius and for the keys
+    largest = heads.agg(F.max("_radius2").alias("_radius2")).scalar()
     both = a.select(*keys, *K, "re", "im").join(
         b.select(*keys, *K, F.col("re").alias("re2"), F.col("im").alias("im2")), [*keys, *K]
     )
