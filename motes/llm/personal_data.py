@@ -346,27 +346,33 @@ def personal_data(docs: DataFrame, text: str = "text", keep: list[str] | None =
     return one.mapInArrow(find, row_and(one, FIELDS))
 
 
+def marked(text: str, spans: list[Span]) -> str:
+    """The text with every span replaced by its kind; of overlapping ones the first leaves its mark."""
+    at, parts = 0, []
+    for s, e, kind in spans:
+        if s >= at:
+            parts += [text[at:s], f"<{kind.upper()}>"]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
+
+
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets.
 
-    Overlapping spans become one mark, of the first. A null text stays null.
+    Overlapping spans become one mark, of the first. A null text stays null. Spans are found and replaced
+    in one pass: a task with two passes holds two Python workers, which stay beside those of later stages.
     """
-    found = personal_data(docs, text).select("row", "spans")
+    weights = fitted(docs, text)
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, spans in zip(batch.column(1), batch.column(2)):
-                t, at, parts = value.as_py(), 0, []
-                for spec in spans.as_py().split(",") if t and spans.as_py() else []:
-                    kind, s, e = spec.split(":")
-                    if int(s) >= at:
-                        parts += [t[at : int(s)], f"<{kind.upper()}>"]
-                    at = max(at, int(e))
-                out.append(t if not parts else "".join([*parts, t[at:]]))
+            for value in batch.column(1):
+                t = value.as_py()
+                out.append(marked(t, all_spans(t, base_spans(t), weights)) if t else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "hidden"])
 
-    box = found.select("row", F.col(f"row.{text}").alias("_text"), "spans")
+    box = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_text"))
     clean = box.mapInArrow(hide, row_and(box, "hidden string"))
     columns = [F.col("hidden").alias(c) if c == text else F.length("hidden").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns]
     return clean.select(*columns)

@@ -167,3 +167,18 @@ def test_personal_data_rows(spark):
     assert clean.columns == df.columns
     assert next(r for r in clean.collect() if r.doc_id == 7).text == "mail <EMAIL> or <PHONE>, MIT License"
     assert pii.redacted(nothing(spark)).count() == 0
+
+
+def test_redaction_is_one_python_pass(spark):
+    texts = ["mail a.b@host.example.com or +1 (988) 555-2485", "4111 1111 1111 1111 and 10.0.0.255", "+1 4111 1111 1111 1111", "é 1.2.3.4", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.redacted(df)
+    # each pass of a task holds a Python worker of its own
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    spans = {r["row"].doc_id: r["spans"] for r in pii.personal_data(df).collect()}
+    for r in out.collect():
+        want, at, t = "", 0, texts[r.doc_id]
+        for kind, s, e in (x.split(":") for x in spans[r.doc_id].split(",") if x):
+            want += t[at : int(s)] + f"<{kind.upper()}>" if int(s) >= at else ""
+            at = max(at, int(e))
+        assert r.text == (t and want + t[at:])
