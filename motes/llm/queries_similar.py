@@ -24,9 +24,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_exact_substrings")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents without strings that recur."""
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    """What is left of all documents without strings that recur, and how many of their words lie
+    in passages of over 50 words that another document has too."""
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], words=51)
+    return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_shared_words")
 
 
 @query("op5_prefix_forest")

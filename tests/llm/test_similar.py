@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -168,6 +169,44 @@ def test_exact_substrings(spark, monkeypatch, most):
         assert tuple(r)[1:] == want[r.doc_id], r.doc_id
 
 
+def brute_shared(bodies, words):
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in bodies]
+    windows = [[b[p[i][0] : p[i + words - 1][1]] for i in range(len(p) - words + 1)] for b, p in zip(bodies, places)]
+    rows = Counter(w for ws in windows for w in set(ws))
+    return [len({i + k for i, w in enumerate(ws) if rows[w] > 1 for k in range(words)}) for ws in windows]
+
+
+@pytest.mark.parametrize("most", [es.MOST_UNITS, 1])
+def test_shared_passages_below_the_span(spark, monkeypatch, most):
+    """Passages of over 50 words that have fewer than 400 bytes are reported, and not removed."""
+    monkeypatch.setattr(es, "MOST_UNITS", most)
+    rng = random.Random(11)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+    planted = [words(n) for n in (50, 51, 52, 55)]
+    texts = [" ".join([words(rng.randint(0, 200)), p, words(rng.randint(0, 90))]) for p in planted for _ in range(3)]
+    texts += [planted[1], f"{planted[2]}\n{words(30)}\t{planted[2]}", planted[3].replace(" ", "  ", 1)]
+    own = words(60)
+    texts += [f"{own} {words(5)} {own}", *[words(70)] * 2, *[words(20)] * 2, words(300), "x" * 900, None, "", " \n"]
+    near = words(400).split(" ")
+    texts += [" ".join([*near[:k], "changed", *near[k + 1 :]]) for k in (30, 200, 330)]
+    texts += passages()
+    want = brute_shared([(t or "").encode() for t in texts], 51)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in es.without_repeats(df, words=51).select("row.doc_id", "n_shared_words", "n_bytes", "n_removed", F.size("spans"), "kept_sha256").collect()}
+    cut = brute_cut([(t or "").encode() for t in texts])
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert got[i] == (want[i], *cut[i]), (i, text)
+    assert [want[i] >= 51 for i in range(13)] == [False] * 3 + [True] * 10
+    assert not any(got[i][2] for i in range(3, 13))  # too short for the rule of 400 bytes
+    rows = es.without_repeats(awkward(spark), words=51)
+    assert rows.count() == awkward(spark).count() and "n_shared_words" in rows.columns
+    assert es.without_repeats(nothing(spark), words=51).count() == 0
+
+
 def test_cover_and_chunks(monkeypatch):
     assert {(a - b) % es.PERIOD for a in es.COVER for b in es.COVER} == set(range(es.PERIOD))
     body = random.Random(3).randbytes(5000)
@@ -182,6 +221,32 @@ def test_cover_and_chunks(monkeypatch):
     assert sorted(by_start(whole)) == list(range(5000 - es.SPAN + 1))
 
 
+def test_word_windows_in_chunks(monkeypatch):
+    rng = random.Random(4)
+    bodies = [b" \n".join(rng.randbytes(rng.randint(1, 9)).hex().encode() for _ in range(n)) for n in (900, 0, 50, 51, 70)]
+    bodies += [b"y" * 3000 + b" z" * 80, b"", bodies[0]]
+
+    def by_start(found):
+        out = {}
+        for d, h, lo, n, windows in found:
+            for i, anchor, first, end, m in zip(d.tolist(), h.tolist(), lo.tolist(), np.cumsum(n).tolist(), n.tolist()):
+                out |= {(i, first + k): (anchor, int(windows[end - m + k])) for k in range(m)}
+        return out
+
+    whole = by_start(es.word_units(bodies, 51))
+    for size in (700, 1200, 1537, 20000):
+        monkeypatch.setattr(es, "CHUNK", size)
+        monkeypatch.setattr(es, "_UP", es._UP[: size + 400])
+        monkeypatch.setattr(es, "_DOWN", es._DOWN[: size + 400])
+        assert by_start(es.word_units(bodies, 51)) == whole
+        for i, body in enumerate(bodies):
+            alone = [x for _, _, lo, n, _ in es.word_units([body], 51) for x in zip(lo.tolist(), n.tolist())]
+            assert alone == [x[1:] for d, _, lo, n, _ in es.word_units(bodies, 51) for x in zip(d.tolist(), lo.tolist(), n.tolist()) if x[0] == i]
+        monkeypatch.undo()
+    assert sorted(whole) == [(i, k) for i, b in enumerate(bodies) for k in range(len(b.split()) - 50)]
+    assert len({w for _, w in whole.values()}) == len({b" \n".join(b.split()[k : k + 51]) for b in bodies for k in range(len(b.split()) - 50)})
+
+
 def test_substrings_of_awkward_rows(spark):
     df = awkward(spark)
     assert es.without_repeats(df).count() == df.count()
